@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["simhash", "toxicity", "quality"]
+MODULES = ["simhash", "toxicity", "quality", "embeddings", "byte_bpe", "token_counts", "media", "mixing"]
 
 
 def queries() -> dict:
