@@ -102,6 +102,22 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.mapInArrow(run, schema)
 
 
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """docs with bpe_ids and bpe_exact, whether they decode to the text's bytes, added in one pass."""
+    path, pattern = _setup(path, pattern)
+    names, schema = docs.columns, StructType([*docs.schema.fields, *StructType.fromDDL("bpe_ids array<int>, bpe_exact boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path, pattern)
+        for batch in common.slices(batches, "text", 2 << 20):
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            ids = [c.encode(t) for t in texts]
+            exact = [c.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], [*names, "bpe_ids", "bpe_exact"])
+
+    return docs.mapInArrow(run, schema)
+
+
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode and decode give, without shipping the ids."""
     path, pattern = _setup(path, pattern)

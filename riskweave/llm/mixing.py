@@ -54,7 +54,7 @@ def key() -> Column:
 
 
 def planned(sizes: DataFrame) -> DataFrame:
-    """Rows (doc_id, source, size) with source_size, target, taken (words) and copies (whole documents)."""
+    """Rows (doc_id, source, size) with source_size, target, key, epochs (whole), last (words of the cut epoch) and taken (words)."""
     count = sizes.count()
     digits = 1
     while count > BUCKET * 16**digits:
@@ -71,35 +71,30 @@ def planned(sizes: DataFrame) -> DataFrame:
     budget, epoch = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
     got = got.withColumns({"start": start, "epochs": F.floor(budget / epoch).cast("long")}).withColumn("left", budget - F.col("epochs") * F.col("source_size"))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("left") - F.col("start")))
-    # of the document at the cut the nearer of all or nothing; a document without words is kept once, as it costs nothing
-    whole = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (last * 2 > F.col("size")).cast("long"))
-    return got.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"), whole.cast("int").alias("copies"))
+    return got.select("doc_id", "source", "size", "source_size", "target", "key", "epochs", last.cast("long").alias("last"), (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def plan(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, copies) for each row with doc_id, text and source."""
+    """planned() for each row with doc_id, text and source."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"))
     return planned(common.written(slim, "sizes"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix in whole documents: each row as often as its copies say, with its own columns only."""
+    """The mix in whole documents: each row as often as it is taken, with its own columns only.
+
+    The cut is a place in the order of keys, so a row a source is all that the documents have to meet. The document at
+    the cut is kept if at least half of it fits; one without words is kept once, as it costs nothing."""
     names = docs.columns
+    rows = common.written(plan(docs), "plan")
+    at = lambda c, d, n: F.struct(c.alias("key"), d.alias("doc_id"), n.alias("size"))
+    inside = F.when((F.col("size") > 0) & (F.col("last") * 2 >= F.col("size")), at(F.col("key"), F.col("doc_id"), F.col("size")))
+    cuts = common.written(rows.groupBy("source").agg(F.max("epochs").alias("rw_epochs"), F.max(inside).alias("rw_cut")).withColumnRenamed("source", "rw_source"), "cuts")
     size = words(F.col("text"))
-    slim = common.written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
-    # rows alike in these three columns get their copies dealt out between them
-    got = planned(slim).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("rw_copies"), F.count("*").alias("rw_rows"))
-    got = got.withColumnsRenamed({"doc_id": "rw_id", "source": "rw_source", "size": "rw_size"})
-    on = F.col("doc_id").eqNullSafe(F.col("rw_id")) & F.col("source").eqNullSafe(F.col("rw_source")) & (size == F.col("rw_size"))
-    both = docs.join(got.where("rw_copies > 0"), on)
-    repeated = got.where("rw_rows > 1")
-    if repeated.isEmpty():
-        times = F.col("rw_copies")
-    else:
-        nth = F.row_number().over(Window.partitionBy("rw_id", "rw_source", "rw_size").orderBy("text"))
-        both = both.withColumn("rw_nth", nth)
-        times = F.floor(F.col("rw_copies") / F.col("rw_rows")) + (F.col("rw_nth") <= F.col("rw_copies") % F.col("rw_rows")).cast("int")
-    return both.withColumn("rw_times", times.cast("int")).where("rw_times > 0").withColumn("rw_copy", F.explode(F.sequence(F.lit(1), F.col("rw_times")))).select(*names)
+    both = docs.withColumn("rw_size", size).join(cuts, F.col("source").eqNullSafe(F.col("rw_source")))
+    more = F.coalesce(at(key(), F.col("doc_id").cast("long"), F.col("rw_size")) <= F.col("rw_cut"), F.lit(False)).cast("int")
+    times = F.when(F.col("rw_size") == 0, 1).otherwise(F.col("rw_epochs") + more).cast("int")
+    return both.withColumn("rw_times", times).where("rw_times > 0").withColumn("rw_copy", F.explode(F.sequence(F.lit(1), F.col("rw_times")))).select(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
