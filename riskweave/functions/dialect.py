@@ -84,9 +84,9 @@ def glob_regex(glob: str) -> str:
         if c == "*":
             while i + 1 < len(glob) and glob[i + 1] == "*":
                 i += 1
-            out.append("(?:.|\\n)*")
+            out.append("[\\s\\S]*")
         elif c == "?":
-            out.append("(?:.|\\n)")
+            out.append("[\\s\\S]")
         elif c == "[":
             j = i + 1
             if j < len(glob) and glob[j] == "!":

@@ -28,7 +28,7 @@ THREAD_SAFE = [
 EVICTIONS = ["expire", "setExpire", "setTTL", "evict", "clear"]
 
 IGNORE = "riskweave-ignore"
-TOKEN = "\"(?:[^\"\\\\]|\\\\.)*\"|'(?:[^'\\\\]|\\\\.)*'|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|\\+\\+|--|[+*/%&|^!=<>-]=|&&|\\|\\||->|::|[^\\sA-Za-z0-9_$]"
+TOKEN = "\"[^\"\\\\]*(?:\\\\.[^\"\\\\]*)*\"|'[^'\\\\]*(?:\\\\.[^'\\\\]*)*'|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|\\+\\+|--|[+*/%&|^!=<>-]=|&&|\\|\\||->|::|[^\\sA-Za-z0-9_$]"
 
 
 def side_lines(diffs: DataFrame) -> DataFrame:
