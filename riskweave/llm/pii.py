@@ -26,7 +26,7 @@ SECRET = "riskweave"
 #: Rounds of new attempts before giving up with an error.
 ROUNDS = 50
 
-EMAIL = r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]++\.)+[A-Za-z]{2,}"
+EMAIL = r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}+\.){1,10}[A-Za-z]{2,24}"
 NAMED = r"(?i:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-./+]{0,200}[0-9])[A-Za-z0-9_\-./+]{8,}+"
 CODE = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])|sk-[A-Za-z0-9\-_]{20,}+|eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]++"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
