@@ -269,9 +269,9 @@ def duck(rule: Rule) -> str | None:
     if s == "interface":
         return of(f"(contains(lower(raw_diff), 'interface ') OR contains(lower(raw_diff), '@interface')) AND {m('raw_diff', a, 'm')}")
     if s == "foreach_remove":
-        # a removal with a loop before it and no closing brace between, over added lines
-        joined = f"array_to_string({added}, chr(10))"
-        return of(m(f"regexp_replace({joined}, '(?m)^.*Iterator\\.remove\\s*\\(\\).*$', '', 'g')", (r"(?m)" + a[0] + r"[^\n]*(?:\n\+\s*(?:[^}\s\n][^\n]*)?)*\n\+\s*[^}\s\n][^\n]*" + b[0],)))
+        # an added line never starts with a closing brace, so a loop stays open: a removal with a loop line before it
+        at = f"({added})[i]"
+        return of(f"len(list_filter(range(1, len({added}) + 1), lambda i: {m(at, b[:1])} AND NOT {m(at, b[1:])} AND NOT {m(at, a)} AND {m(f'array_to_string(({added})[1:i - 1], chr(10))', a)})) > 0")
     if s == "signature":
         g = lambda sign, k: f"regexp_extract_all(raw_diff, {quote('(?m)^' + sign + esc(a[0]))}, {k})"
         return of(f"len(list_filter(list_zip({g('-', 1)}, {g('-', 2)}), lambda x: len(list_filter(list_zip({g('[+]', 1)}, {g('[+]', 2)}), lambda y: x[1] = y[1] AND x[2] <> y[2])) > 0)) > 0")

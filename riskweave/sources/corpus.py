@@ -88,13 +88,13 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_orderkey")
     path = F.concat(pick(DIRS, k + F.col("patch_no")), F.lit("mod"), (k % 97).cast("string"), pick(EXTS, k * 3 + F.col("patch_no") * 5))
     sign = pick(["+", "-", " "], F.col("l_suppkey") + F.col("l_linenumber"))
-    text = pick(LINES, k * 7 + F.col("l_partkey") * 3 + F.col("l_linenumber"))
+    text = pick(LINES, k * 7 + F.col("pos"))
     return rows.select(k.cast("long").alias("diff_id"), "patch_no", path.alias("file"), "pos", sign.alias("sign"), text.alias("text"))
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(diff_id, raw_diff): unified diffs. Every seventh diff is of a new file, every eleventh of a deleted one, every thirteenth lacks git headers."""
-    lines = code_lines(spark, sf_dir).withColumn("line", F.concat("sign", "text"))
+    lines = code_lines(spark, sf_dir).withColumn("line", F.concat("sign", F.lit(" "), "text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
     patch = lines.groupBy("diff_id", "patch_no", "file").agg(body.alias("body"), F.count("*").cast("string").alias("n"))
     f, d = F.col("file"), F.col("diff_id")
@@ -117,7 +117,7 @@ def _sql_pick(values: list[str], index: str) -> str:
 CTE = f"""code_lines AS (
   SELECT CAST(l_orderkey AS BIGINT) AS diff_id, patch_no,
     {_sql_pick(DIRS, "l_orderkey + patch_no")} || 'mod' || CAST(l_orderkey % 97 AS VARCHAR) || {_sql_pick(EXTS, "l_orderkey * 3 + patch_no * 5")} AS file,
-    pos, {_sql_pick(["+", "-", " "], "l_suppkey + l_linenumber")} AS sign, {_sql_pick(LINES, "l_orderkey * 7 + l_partkey * 3 + l_linenumber")} AS text
+    pos, {_sql_pick(["+", "-", " "], "l_suppkey + l_linenumber")} AS sign, {_sql_pick(LINES, "l_orderkey * 7 + pos")} AS text
   FROM (SELECT *, CASE WHEN pos > 4 THEN 1 ELSE 0 END AS patch_no FROM (
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INTEGER) AS pos FROM lineitem))),
 diff_patches AS (
@@ -125,6 +125,6 @@ diff_patches AS (
     || CASE WHEN diff_id % 7 = 0 THEN '--- /dev/null' ELSE '--- a/' || file END || chr(10)
     || CASE WHEN diff_id % 11 = 0 AND diff_id % 7 <> 0 THEN '+++ /dev/null' ELSE '+++ b/' || file END || chr(10)
     || '@@ -10,' || CAST(count(*) AS VARCHAR) || ' +10,' || CAST(count(*) AS VARCHAR) || ' @@' || chr(10)
-    || string_agg(sign || text, chr(10) ORDER BY pos) AS text
+    || string_agg(sign || ' ' || text, chr(10) ORDER BY pos) AS text
   FROM code_lines GROUP BY diff_id, patch_no, file),
 diffs AS (SELECT diff_id, string_agg(text, chr(10) ORDER BY patch_no) AS raw_diff FROM diff_patches GROUP BY diff_id)"""

@@ -77,7 +77,7 @@ def hit(spark, rule_id, raw, files=("src/service/A.java",), semantics="compat"):
         ("null.optional_unsafe_get", " x.get()", " x.get() // checked"),
         ("null.autoboxing_npe", "+Integer a = b", "+ a = b"),
         ("collection.raw_type", "+ List x = new ArrayList<>()", "+ var x = 1"),
-        ("collection.concurrent_modification", "+ for (A a : items) {\n+  items.remove(a)", "+ for (A a : items) {\n+ }\n+ items.remove(a)"),
+        ("collection.concurrent_modification", "+ for (A a : items) {\n+  items.remove(a)", "+ items.remove(a)\n+ for (A a : items) {"),
         ("collection.aslist_modify", "+ xs = Arrays.asList(a)\n+ xs.add(1)", "+ xs = Arrays.asList(a)\n+ ys.add(1)"),
         ("collection.map_compute_opportunity", "if (!map.containsKey(k)) map.put(k, v)", "map.put(k, v)"),
         ("api.method_signature_changed", "- public int f(int a)\n+ public int f(long a)", "- public int f(int a)\n+ public int g(long a)"),
