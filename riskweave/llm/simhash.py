@@ -33,10 +33,12 @@ from riskweave.llm import common
 BLOCK = 4096
 #: Up to this many rows of a list, all its pairs are compared in one vector step per offset.
 SHORT = 48
+#: One fingerprint in so many tells which lists are long.
+PROBE = 16
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
 PAIRS = 96
 #: Shingle hashes kept of a document for verification: up to so many distinct shingles the Jaccard similarity is exact.
-SKETCH = 512
+SKETCH = 1024
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -119,74 +121,107 @@ def indexed(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
     return fps.select(F.explode(F.array(*keys)).alias("key"), "id", "fp")
 
 
-def lists(index: DataFrame) -> DataFrame:
-    """The index dealt out by key and sorted, lists over BLOCK rows split into blocks that meet pairwise.
+def lists(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
+    """The index of fps dealt out by key and sorted, lists over BLOCK rows split into blocks that meet pairwise.
 
-    At most rows / BLOCK keys are that long, so the table of them is bounded and may be broadcast."""
-    counts = index.groupBy("key").count()
-    hot = counts.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
+    Which lists are that long is estimated from one fingerprint in PROBE; the estimate decides how work is dealt out, never
+    what is compared. At most about rows / BLOCK keys are that long, so their table is bounded and may be broadcast."""
+    index = indexed(fps, sets)
+    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets).groupBy("key").count()
+    hot = probe.where(F.col("count") * PROBE > BLOCK).select("key", F.ceil(F.col("count") * PROBE / BLOCK).cast("int").alias("parts"))
     salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    mine = index.join(F.broadcast(hot), "key", "left").select("key", "id", "fp", F.when(F.col("parts").isNull(), 0).otherwise(salt).alias("s"), other.alias("o"))
-    block = mine.select("key", F.least("s", "o").alias("i"), F.greatest("s", "o").alias("j"), F.col("s"), "id", "fp")
-    return block.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-
-
-def forest(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """A spanning forest of the links at `most` differing bits within one list."""
-    left = np.arange(len(ids))
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            d = np.bitwise_count(fps[left] ^ fps[at]).sum(axis=1)
-            near = d <= most
-            got, left = left[near], left[~near]
-            if len(got):
-                yield np.full(len(got), ids[at]), ids[got], d[near]
-                queue.extend(got)
-
-
-def leaders(ids: np.ndarray, fps: np.ndarray, most: int, tight: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Candidates of one long list: rows within `tight` bits of a leader are its twins, and every row meets every leader within `most`."""
-    free = np.ones(len(ids), bool)
-    while free.any():
-        at = int(np.argmax(free))
-        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1)
-        near = (d <= most) & (np.arange(len(ids)) != at)
-        if near.any():
-            yield np.full(int(near.sum()), ids[at]), ids[near], d[near]
-        free &= d > tight
-        free[at] = False
-
-
-def pairs(blocks: DataFrame, most: int, min_bytes: int, tight: int | None) -> DataFrame:
-    """(a, b, d): pairs of a list at `most` differing bits whose tally of shared positional bytes is at least min_bytes.
-
-    tight None: of long lists a spanning forest of the links; else candidates through leaders."""
+    mine = index.join(F.broadcast(hot), "key", "left").select("key", "id", "fp", "parts", salt.alias("s"), other.alias("o"))
+    block = mine.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o"))).alias("key"), "id", "fp")
+    return block.repartition("key").sortWithinPartitions("key", "id")
+
+
+def spanning(ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest, by differing bits, of the links at `most` bits within one list (Prim; n steps over n rows)."""
+    n = len(ids)
+    near, best, left = np.zeros(n, np.int64), np.full(n, 1 << 30), np.ones(n, bool)
+    found, at = [], 0
+    left[0] = False
+    for _ in range(n - 1):
+        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1).astype(np.int64)
+        closer = left & (d < best)
+        best[closer], near[closer] = d[closer], at
+        at = int(np.argmin(np.where(left, best, 1 << 40)))
+        left[at] = False
+        if best[at] <= most:
+            found.append((ids[near[at]], ids[at], best[at]))
+    x = np.array(found, np.int64).reshape(-1, 3)
+    return x[:, 0], x[:, 1], x[:, 2]
+
+
+def thinned(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Which of the links (u, v) at d differing bits between n rows form a minimum spanning forest (Boruvka)."""
+    keep = np.zeros(len(u), bool)
+    label = np.arange(n)
+    order = np.argsort(d, kind="stable")
+    rank = np.empty(len(u), np.int64)
+    rank[order] = np.arange(len(u))
+    live = np.arange(len(u))
+    while len(live):
+        a, b = label[u[live]], label[v[live]]
+        live = live[a != b]
+        if not len(live):
+            break
+        a, b = label[u[live]], label[v[live]]
+        first = np.full(n, len(u))
+        np.minimum.at(first, a, rank[live])
+        np.minimum.at(first, b, rank[live])
+        picked = order[np.unique(first[first < len(u)])]
+        keep[picked] = True
+        # each component takes the smaller label over its picked links, until nothing changes
+        a, b = label[u[picked]], label[v[picked]]
+        root = np.arange(n)
+        while True:
+            low = np.minimum(root[a], root[b])
+            new = root.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        label = root[label]
+    return keep
+
+
+def pairs(blocks: DataFrame, most: int, min_bytes: int) -> DataFrame:
+    """(a, b, d): of each list a minimum spanning forest of its pairs at `most` differing bits or fewer whose tally of
+    shared positional bytes is at least min_bytes.
+
+    Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs, and a list gives
+    fewer pairs than it has rows, however dense it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
         def some(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            cut = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(ids)]
             run_of = np.repeat(np.arange(len(starts)), ends - starts)
             long = (ends - starts) > SHORT
             few = np.flatnonzero(~long[run_of])
             r, x, f = run_of[few], ids[few], fps[few]
+            links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             for step in range(1, SHORT):
-                at = np.flatnonzero(r[step:] == r[:-step]) if len(r) > step else []
+                at = np.flatnonzero(r[step:] == r[:-step]) if len(r) > step else np.zeros(0, np.int64)
                 if not len(at):
                     break
                 diff = f[at] ^ f[at + step]
-                d = np.bitwise_count(diff).sum(axis=1)
+                d = np.bitwise_count(diff).sum(axis=1).astype(np.int64)
                 # count filtering: the tally of equal positional bytes, then the verification
                 ok = (d <= most) & ((diff.view(np.uint8) == 0).sum(axis=1) >= min_bytes) & (x[at] != x[at + step])
-                found.append((x[at][ok], x[at + step][ok], d[ok]))
-            for s, e in zip(starts[long], ends[long], strict=True):
-                found += forest(ids[s:e], fps[s:e], most) if tight is None else leaders(ids[s:e], fps[s:e], most, tight)
+                links.append((at[ok], at[ok] + step, d[ok]))
+            if links:
+                u, v, d = (np.concatenate([y[i] for y in links]) for i in range(3))
+                keep = thinned(u, v, d, len(x))
+                found.append((x[u[keep]], x[v[keep]], d[keep]))
+            found += [spanning(ids[s:e], fps[s:e], most) for s, e in zip(starts[long], ends[long], strict=True)]
             a, b, d = (np.concatenate([y[i] for y in found]) if found else np.zeros(0, np.int64) for i in range(3))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
 
@@ -194,12 +229,12 @@ def pairs(blocks: DataFrame, most: int, min_bytes: int, tight: int | None) -> Da
             if not batch.num_rows:
                 continue
             n = batch.num_rows
-            key = np.stack([np.asarray(batch.column(i)).astype(np.int64) for i in range(3)], axis=1)
-            ids = np.asarray(batch.column(4))
-            fps = np.frombuffer(b"".join(batch.column(5).to_pylist()), "<u8").reshape(n, -1)
+            key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(n, -1)
             if rest is not None:
                 key, ids, fps = np.concatenate([rest[0], key]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], fps])
-            last = int(np.flatnonzero((key != key[-1]).any(axis=1))[-1]) + 1 if (key != key[-1]).any() else 0
+            other = np.flatnonzero(key != key[-1])
+            last = int(other[-1]) + 1 if len(other) else 0
             rest = [key[last:], ids[last:], fps[last:]]
             if last:
                 yield some(key[:last], ids[:last], fps[:last])
@@ -214,7 +249,7 @@ def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataF
     rows = common.written(fingerprints(docs, k), "fingerprints")
     # equal fingerprints are one node, named by its smallest document
     nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
-    edges = pairs(lists(indexed(nodes, byte_sets(8, max_distance))), max_distance, 8 - max_distance, None)
+    edges = pairs(lists(nodes.select("id", "fp"), byte_sets(8, max_distance)), max_distance, 8 - max_distance)
     roots = common.components(edges.select("a", "b"), "simhash")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -258,14 +293,17 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     most = int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
     rows = common.written(fingerprints(docs, k, bits // 64, SKETCH), "fingerprints")
     nodes = common.written(rows.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).where("id is not null"), "nodes")
-    found = pairs(lists(indexed(nodes.select("id", "fp"), byte_sets(bits // 8, None))), most, 2, int(bits * p / 2))
+    found = pairs(lists(nodes.select("id", "fp"), byte_sets(bits // 8, None)), most, 2)
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
+    # only nodes with a candidate have their sketches moved again
+    ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
+    linked = common.written(nodes.drop("fp").join(ids, "id", "left_semi"), "linked")
     nearest = edges.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
-    sure = common.written(verified(nearest, nodes, similarity), "verified")
+    sure = common.written(verified(nearest, linked, similarity), "verified")
     first = common.written(common.components(sure, "near"), "near")
     ra, rb = first.select(F.col("node").alias("a"), F.col("root").alias("ra")), first.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = edges.join(nearest, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    roots = common.components(sure.unionByName(verified(apart, nodes, similarity)), "similar")
+    roots = common.components(sure.unionByName(verified(apart, linked, similarity)), "similar")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return rows.drop("sketch").join(named, ["fp", "n_shingles"], "left")
 
