@@ -35,6 +35,8 @@ BLOCK = 4096
 SHORT = 48
 #: One fingerprint in so many tells which lists are long.
 PROBE = 16
+#: Rows of a group of candidates that are compared in one block, at least.
+GROUP = 256
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
 PAIRS = 96
 #: Shingle hashes kept of a document for verification: up to so many distinct shingles the Jaccard similarity is exact.
@@ -194,7 +196,8 @@ def pairs(blocks: DataFrame, most: int, min_bytes: int) -> DataFrame:
     shared positional bytes is at least min_bytes.
 
     Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs, and a list gives
-    fewer pairs than it has rows, however dense it is."""
+    fewer pairs than it has rows, however dense it is. That holds for bits only: links by another measure are sought
+    among all the rows that the forests connect (`within`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
@@ -281,13 +284,69 @@ def verified(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
+def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sketches: list[bytes], sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the parts of one block: all pairs at `most` bits or fewer are verified but those already in one part."""
+    label, found = np.unique(part, return_inverse=True)[1], []
+    both = len(set(side.tolist())) > 1
+    for i in range(len(ids) - 1):
+        rest = slice(i + 1, None)
+        ok = label[rest] != label[i]
+        if both:
+            ok &= side[rest] != side[i]
+        # the similarity is at most the ratio of the sizes
+        ok &= np.minimum(sizes[rest], sizes[i]) >= least * np.maximum(sizes[rest], sizes[i])
+        at = np.flatnonzero(ok) + i + 1
+        d = np.bitwise_count(fps[at] ^ fps[i]).sum(axis=1)
+        for j in at[d <= most][np.argsort(d[d <= most], kind="stable")].tolist():
+            if label[i] != label[j] and sketch_jaccard(sketches[i], sketches[j], int(sizes[i]), int(sizes[j])) >= least:
+                found.append((int(ids[i]), int(ids[j])))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
+    """(a, b): what connects, beyond `sure`, the rows linked by similarity within each group that the candidates `edges` connect.
+
+    A group that `sure` connects whole is done. In the others every pair at `most` bits or fewer is verified unless its rows
+    are in one verified component by then, so only verified links are ever thinned. Large groups are split into blocks that
+    meet pairwise; a block gives fewer links than it has rows."""
+    group, part = common.components(edges.select("a", "b"), "group"), common.components(sure, "part")
+    member = group.select(F.col("node").alias("id"), F.col("root").alias("grp")).join(part.select(F.col("node").alias("id"), F.col("root").alias("part")), "id", "left")
+    member = common.written(member.select("id", "grp", F.coalesce("part", "id").alias("part")), "members")
+    size = F.greatest(F.lit(GROUP), F.sqrt("n") * 16)
+    left = member.groupBy("grp").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("grp", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+    rows = member.join(left, "grp").withColumn("s", F.pmod(F.xxhash64("id", F.lit("side")), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(F.xxhash64("grp", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "s", "id", "part").join(nodes, "id")
+    # sides are told apart only where two meet
+    dealt = rows.select("key", "id", "part", "s", "fp", "n_shingles", "sketch").repartition("key").sortWithinPartitions("key", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            _, ids, parts, side, fps, sizes, sketches = zip(*held, strict=True)
+            links = joined(np.array(ids), np.frombuffer(b"".join(fps), "<u8").reshape(len(ids), -1), np.array(parts), np.array(side), list(sketches), np.array(sizes), least, most)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[0][0] != row[0]:
+                    yield out()
+                held.append(row)
+        if held:
+            yield out()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, n_shingles, component_id): documents linked, transitively, by a Jaccard similarity of their k-word shingles.
 
     Candidates come from 256-bit fingerprints: at similarity s two of them differ in about acos(2s / (1 + s)) / pi of
     the bits; pairs up to four standard deviations beyond that are verified. First each node's nearest candidate is
-    verified; of the others only those between what is still apart, which loses no link and saves most of the work
-    in large groups."""
+    verified, of the other edges of the forests only those between what is still apart. That is only a start that saves
+    most of the work in large groups: in each group of candidates that it leaves in parts all pairs are then verified."""
     bits = 256
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
@@ -297,13 +356,14 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
     # only nodes with a candidate have their sketches moved again
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    linked = common.written(nodes.drop("fp").join(ids, "id", "left_semi"), "linked")
+    linked = common.written(nodes.join(ids, "id", "left_semi"), "linked")
     nearest = edges.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     sure = common.written(verified(nearest, linked, similarity), "verified")
     first = common.written(common.components(sure, "near"), "near")
     ra, rb = first.select(F.col("node").alias("a"), F.col("root").alias("ra")), first.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = edges.join(nearest, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    roots = common.components(sure.unionByName(verified(apart, linked, similarity)), "similar")
+    sure = common.written(sure.unionByName(verified(apart, linked, similarity)), "sure")
+    roots = common.components(sure.unionByName(within(edges, sure, linked, similarity, most)), "similar")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", "n_shingles", F.coalesce("root", "id").alias("component_id"))
     return rows.drop("sketch").join(named, ["fp", "n_shingles"], "left")
 
