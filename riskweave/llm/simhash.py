@@ -86,14 +86,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int = 3, words64: int = 1, sketch: int = 0) -> DataFrame:
-    """(doc_id, fp binary[, sketch binary, n_sketch]) for each row with doc_id and text."""
-    schema = "doc_id long, fp binary" + (", sketch binary, n_shingles int" if sketch else "")
+    """(doc_id, fp binary[, digest binary, sketch binary, n_shingles]) for each row with doc_id and text.
+
+    With a sketch, a shingle counts once however often it occurs, as in the Jaccard similarity that the fingerprint
+    stands for; the digest names the set of distinct shingles."""
+    schema = "doc_id long, fp binary" + (", digest binary, sketch binary, n_shingles int" if sketch else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            fps, kept, sizes = [], [], []
+            fps, digests, kept, sizes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = hashes(text, k)
+                if sketch:
+                    h = np.unique(h)
+                    digests.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
                 fps.append(fingerprint(h, words64).astype("<u8").tobytes())
                 if sketch:
                     u = np.unique((h >> np.uint64(32)).astype(np.uint32))
@@ -102,8 +108,8 @@ def fingerprints(docs: DataFrame, k: int = 3, words64: int = 1, sketch: int = 0)
             cols = [batch.column(0), pa.array(fps, pa.binary())]
             names = ["doc_id", "fp"]
             if sketch:
-                cols += [pa.array(kept, pa.binary()), pa.array(sizes, pa.int32())]
-                names += ["sketch", "n_shingles"]
+                cols += [pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), pa.array(sizes, pa.int32())]
+                names += ["digest", "sketch", "n_shingles"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
@@ -341,7 +347,7 @@ def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, mo
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, n_shingles, component_id): documents linked, transitively, by a Jaccard similarity of their k-word shingles.
+    """(doc_id, digest, component_id): documents linked, transitively, by a Jaccard similarity of their k-word shingles.
 
     Candidates come from 256-bit fingerprints: at similarity s two of them differ in about acos(2s / (1 + s)) / pi of
     the bits; pairs up to four standard deviations beyond that are verified. First each node's nearest candidate is
@@ -351,7 +357,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
     rows = common.written(fingerprints(docs, k, bits // 64, SKETCH), "fingerprints")
-    nodes = common.written(rows.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("id"), F.min("sketch").alias("sketch")).where("id is not null"), "nodes")
+    # equal sets of shingles are one node, named by its smallest document
+    nodes = common.written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "n_shingles", "sketch")]).where("id is not null"), "nodes")
     found = pairs(lists(nodes.select("id", "fp"), byte_sets(bits // 8, None)), most, 2)
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
     # only nodes with a candidate have their sketches moved again
@@ -364,8 +371,8 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     apart = edges.join(nearest, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
     sure = common.written(sure.unionByName(verified(apart, linked, similarity)), "sure")
     roots = common.components(sure.unionByName(within(edges, sure, linked, similarity, most)), "similar")
-    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", "n_shingles", F.coalesce("root", "id").alias("component_id"))
-    return rows.drop("sketch").join(named, ["fp", "n_shingles"], "left")
+    named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))
+    return rows.select("doc_id", "digest").join(named, "digest", "left")
 
 
 def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

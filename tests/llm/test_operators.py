@@ -120,6 +120,21 @@ def test_simhash_links_among_closer_pairs_that_fail(spark, monkeypatch, group):
     assert got == want
 
 
+def test_similar_components_counts_a_shingle_once(spark):
+    """A line repeated many times changes neither the set of shingles much nor makes other texts equal."""
+    rng = random.Random(6)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(10):
+        base, line = words(300), words(12)
+        texts += [" ".join(base[:150] + line * n + base[150:]) for n in (1, 30)]
+    line = words(7)
+    texts += [" ".join(line * 60 + words(60)) for _ in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    assert got == {i: i - i % 2 if i < 20 else i for i in range(30)} == brute_similar(texts)
+
+
 # --- 2, 3 -------------------------------------------------------------------------------------------------------------
 def test_segments_are_the_maximal_ones():
     def brute(scores):
