@@ -112,12 +112,16 @@ def probability(total: float, m: Model) -> float:
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-def sample(labels: DataFrame, column: str, train) -> DataFrame:
+def labelled(labels: DataFrame, column: str, train) -> DataFrame:
+    """(doc_id, y): the labelled documents, each once."""
+    return labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(column).alias("y"))
+
+
+def sample(known: DataFrame) -> DataFrame:
     """(doc_id, y, part): up to SAMPLE labelled documents of each class, those whose keyed hash is smallest. part 0 and 1 fit tokens, 2 calibrates."""
-    known = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy("doc_id").agg(F.max(column).alias("y"))
     key = F.xxhash64(F.col("doc_id"), F.lit("sample"))
     some = [known.where(F.col("y") == y).orderBy(key, "doc_id").limit(SAMPLE) for y in (0, 1)]
-    return some[0].unionByName(some[1]).select(F.col("doc_id").cast("long").alias("doc_id"), "y", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part"))
+    return some[0].unionByName(some[1]).select("doc_id", "y", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int").alias("part"))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -159,13 +163,17 @@ def _background(docs: DataFrame, words: set[str]) -> dict[str, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
-    """Learns from the labelled documents for which `train`, a condition on labels, holds (all without it)."""
+    """Learns from the labelled documents for which `train`, a condition on labels, holds (all without it).
+
+    Tokens and curve are learnt from a sample bounded by class; the classes' shares are those of all labelled documents."""
     train = F.lit(True) if train is None else train
-    known = common.written(sample(labels, "toxic", train), "toxic-sample")
+    every = labelled(labels, "toxic", train)
+    known = common.written(sample(every), "toxic-sample")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = common.written(docs.join(F.broadcast(known), "doc_id"), "toxic-docs")  # at most 2 * SAMPLE rows of known
     size = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
-    m = Model(base=size.get(1, 0) / max(1, sum(size.values())))
+    total = {r["y"]: r["count"] for r in docs.select("doc_id").join(every, "doc_id").groupBy("y").count().collect()}
+    m = Model(base=total.get(1, 0) / max(1, sum(total.values())))
     if len(size) < 2:
         return m
     rows = common.written(_counts(own.where("part < 2")), "toxic-counts")
@@ -177,10 +185,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     some = rows.where(f"word <> '' and t + c >= {LEAST_DOCS}").withColumn("d", F.log((F.col("t") + 0.5) / nt) - F.log((F.col("c") + 0.5) / nc))
     some = some.withColumn("z", F.abs(F.col("d")) / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))).orderBy(F.desc("z"), "word").limit(TERMS)
     found = {r["word"]: (r["t"], r["c"]) for r in some.collect()}
-    every = _background(docs, set(found))
-    spread, lam_terms, rest = max(1, every.get("", 1)), [], 1.0
+    seen = _background(docs, set(found))
+    spread, lam_terms, rest = max(1, seen.get("", 1)), [], 1.0
     for w, (t, c) in found.items():
-        alpha = PRIOR * max(1, every.get(w, 0)) / spread
+        alpha = PRIOR * max(1, seen.get(w, 0)) / spread
         odds = lambda n, of, a=alpha: math.log((n + a) / max(1e-9, of + PRIOR - n - a))
         d = odds(t, nt) - odds(c, nc)
         if abs(d) < LEAST_Z * math.sqrt(1 / (t + alpha) + 1 / (c + alpha)):
@@ -210,7 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
     got = fitting.select("text", F.col("y").cast("int").alias("y")).mapInArrow(again, "y int, x double").collect()
     if len({r["y"] for r in got}) == 2:
         x = np.array([[1.0, math.log1p(r["x"]), float(r["x"] > 0)] for r in got])
-        m.a, m.b, m.c = map(float, logistic(x, np.array([r["y"] for r in got], float)))
+        y = np.array([r["y"] for r in got])
+        # a class that the sample cuts weighs what all its documents do
+        weight = np.where(y == 1, total[1] / size[1], total[0] / size[0])
+        m.a, m.b, m.c = map(float, logistic(x, y.astype(float), weight / weight.mean()))
         m.b, m.fitted = max(0.0, m.b), True
     return m
 
@@ -230,12 +241,12 @@ def _decay(terms: list[tuple[float, float]], rest: float) -> float:
     return max(0.05, hi)
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps of a logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | float = 1.0, ridge: float = 1e-2) -> np.ndarray:
+    """Newton steps of a logistic regression, rows weighted."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= np.linalg.solve(x.T @ (x * (weight * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (weight * (p - y)) + ridge * w)
     return w
 
 

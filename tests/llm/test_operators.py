@@ -179,6 +179,25 @@ def test_toxicity_and_quality_held_out(spark):
     assert np.mean([(r.quality_score >= 0.3) == bool(r.quality) for r in q]) > 0.95
 
 
+def test_toxicity_shares_are_those_of_all_labels(spark, monkeypatch):
+    """A bound on the sample that cuts the clean class changes neither the base nor what the scores add up to."""
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 9 == 0
+        words = [f"w{rng.randrange(300)}" for _ in range(40)]
+        if rng.random() < (0.6 if bad else 0.1):
+            words[rng.randrange(40)] = "vilest"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    m = toxicity.fit(docs, labels)
+    assert m.base == pytest.approx(1 / 9)
+    scores = [r.toxic_score for r in toxicity.scored(docs, m).collect()]
+    assert m.fitted and sum(scores) / len(scores) == pytest.approx(1 / 9, abs=0.05)
+
+
 def test_toxicity_and_quality_rows(spark, docs, labels, none):
     for m, name in ((toxicity, "toxic_score"), (quality, "quality_score")):
         got = m.scored(docs, m.fit(docs, labels))
