@@ -9,7 +9,7 @@ quadratically, so an index entry joins several bytes:
   bytes - d positional bytes. The index has every set of that many bytes, so no link is missed; an entry's list
   can differ in d bytes only, which bounds it by 256**d distinct fingerprints.
 * similarity mode: wide fingerprints under `PAIRS` pairs of bytes find candidates for a Jaccard similarity, which is
-  then verified on the documents' shingle sketches.
+  then verified on the documents' whole sets of shingle hashes.
 
 Edge cases, for both: a null text counts as empty; texts without words share the fingerprint zero and so one group;
 repeated rows and equal texts fall into one group; an empty table gives an empty result; other columns are ignored
@@ -39,8 +39,8 @@ PROBE = 16
 GROUP = 256
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
 PAIRS = 96
-#: Shingle hashes kept of a document for verification: up to so many distinct shingles the Jaccard similarity is exact.
-SKETCH = 1024
+#: Sets of up to so many shingle hashes are kept by their upper halves, which hardly ever agree by chance then; larger ones whole.
+NARROW = 1024
 
 
 def shingles(words: list[bytes], k: int) -> list[bytes]:
@@ -85,36 +85,61 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def fingerprints(docs: DataFrame, k: int = 3, words64: int = 1, sketch: int = 0) -> DataFrame:
-    """(doc_id, fp binary[, digest binary, sketch binary, n_shingles]) for each row with doc_id and text.
+def fingerprints(docs: DataFrame, k: int = 3, words64: int = 1, distinct: bool = False) -> DataFrame:
+    """(doc_id, fp binary[, digest binary]) for each row with doc_id and text.
 
-    With a sketch, a shingle counts once however often it occurs, as in the Jaccard similarity that the fingerprint
+    If distinct, a shingle counts once however often it occurs, as in the Jaccard similarity that the fingerprint
     stands for; the digest names the set of distinct shingles."""
-    schema = "doc_id long, fp binary" + (", digest binary, sketch binary, n_shingles int" if sketch else "")
+    schema = "doc_id long, fp binary" + (", digest binary" if distinct else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            fps, digests, kept, sizes = [], [], [], []
+            fps, digests = [], []
             for text in batch.column(1).to_pylist():
                 h = hashes(text, k)
-                if sketch:
+                if distinct:
                     h = np.unique(h)
-                    digests.append(xxhash.xxh3_128_digest(h.astype("<u8").tobytes()))
+                    digests.append(digest(h))
                 fps.append(fingerprint(h, words64).astype("<u8").tobytes())
-                if sketch:
-                    u = np.unique((h >> np.uint64(32)).astype(np.uint32))
-                    kept.append(u[:sketch].astype("<u4").tobytes())
-                    sizes.append(len(u))
             cols = [batch.column(0), pa.array(fps, pa.binary())]
             names = ["doc_id", "fp"]
-            if sketch:
-                cols += [pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), pa.array(sizes, pa.int32())]
-                names += ["digest", "sketch", "n_shingles"]
+            if distinct:
+                cols.append(pa.array(digests, pa.binary()))
+                names.append("digest")
             yield pa.RecordBatch.from_arrays(cols, names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def digest(h: np.ndarray) -> bytes:
+    """A name for a set of hashes, given distinct and sorted."""
+    return xxhash.xxh3_128_digest(h.astype("<u8").tobytes())
+
+
+def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """nodes(id, digest, fp) with hashes, the bytes of the set of distinct shingle hashes, and n_shingles, their number.
+
+    The sets are made from the texts again, of the documents that name a node only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            keep, kept, sizes = [], [], []
+            for i, (text, name) in enumerate(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                h = np.unique(hashes(text, k))
+                # another text may have the same doc_id
+                if digest(h) == name:
+                    keep.append(i)
+                    kept.append((np.unique(h >> np.uint64(32)).astype("<u4") if len(h) <= NARROW else h.astype("<u8")).tobytes())
+                    sizes.append(len(h))
+            cols = [batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())], ["id", "digest", "fp", "n_shingles", "hashes"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    made = texts.join(nodes.select("id", "digest", "fp"), "id").select("id", "digest", "fp", "text").mapInArrow(run, "id long, digest binary, fp binary, n_shingles int, hashes binary")
+    # rows may be repeated
+    return made.groupBy("id", "digest").agg(*[F.min(c).alias(c) for c in ("fp", "n_shingles", "hashes")])
+
+
 def byte_sets(n_bytes: int, max_distance: int | None) -> list[tuple[int, ...]]:
     """The sets of byte positions that index a fingerprint."""
     if max_distance is not None:
@@ -264,33 +289,33 @@ def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataF
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def sketch_jaccard(a: bytes, b: bytes, na: int, nb: int) -> float:
-    """Jaccard similarity of two shingle sets from their smallest hashes; exact if neither has more than SKETCH."""
-    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+def jaccard(a: bytes, b: bytes, na: int, nb: int) -> float:
+    """Jaccard similarity of two sets of na and nb shingle hashes."""
+    x, y = (np.frombuffer(v, "<u4" if n <= NARROW else "<u8") for v, n in ((a, na), (b, nb)))
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    top = min([v[-1] for v, n in ((x, na), (y, nb)) if n > len(v)], default=np.uint32(2**32 - 1))
-    x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    if x.dtype != y.dtype:
+        x, y = (v if v.itemsize == 4 else np.unique(v >> np.uint64(32)).astype("<u4") for v in (x, y))
     both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+    return both / (len(x) + len(y) - both)
 
 
 def verified(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The (a, b) of edges whose sketches have a Jaccard similarity of at least `least`."""
-    left = nodes.select(F.col("id").alias("a"), F.col("sketch").alias("sa"), F.col("n_shingles").alias("na"))
-    right = nodes.select(F.col("id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("nb"))
+    """The (a, b) of edges whose sets of shingles have a Jaccard similarity of at least `least`."""
+    left = nodes.select(F.col("id").alias("a"), F.col("hashes").alias("sa"), F.col("n_shingles").alias("na"))
+    right = nodes.select(F.col("id").alias("b"), F.col("hashes").alias("sb"), F.col("n_shingles").alias("nb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, sa, sb, na, nb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "sa", "sb", "na", "nb"))
-            ok = [i for i in range(len(a)) if sketch_jaccard(sa[i], sb[i], na[i], nb[i]) >= least]
+            ok = [i for i in range(len(a)) if min(na[i], nb[i]) >= least * max(na[i], nb[i]) - 1e-6 and jaccard(sa[i], sb[i], na[i], nb[i]) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], ["a", "b"])
 
     both = edges.select("a", "b").join(left, "a").join(right, "b")
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sketches: list[bytes], sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
+def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[bytes], sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the parts of one block: all pairs at `most` bits or fewer are verified but those already in one part."""
     label, found = np.unique(part, return_inverse=True)[1], []
     both = len(set(side.tolist())) > 1
@@ -300,11 +325,11 @@ def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray,
         if both:
             ok &= side[rest] != side[i]
         # the similarity is at most the ratio of the sizes
-        ok &= np.minimum(sizes[rest], sizes[i]) >= least * np.maximum(sizes[rest], sizes[i])
+        ok &= np.minimum(sizes[rest], sizes[i]) >= least * np.maximum(sizes[rest], sizes[i]) - 1e-6
         at = np.flatnonzero(ok) + i + 1
         d = np.bitwise_count(fps[at] ^ fps[i]).sum(axis=1)
         for j in at[d <= most][np.argsort(d[d <= most], kind="stable")].tolist():
-            if label[i] != label[j] and sketch_jaccard(sketches[i], sketches[j], int(sizes[i]), int(sizes[j])) >= least:
+            if label[i] != label[j] and jaccard(sets[i], sets[j], int(sizes[i]), int(sizes[j])) >= least:
                 found.append((int(ids[i]), int(ids[j])))
                 label[label == label[j]] = label[i]
     return found
@@ -324,14 +349,14 @@ def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, mo
     rows = member.join(left, "grp").withColumn("s", F.pmod(F.xxhash64("id", F.lit("side")), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select(F.xxhash64("grp", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "s", "id", "part").join(nodes, "id")
     # sides are told apart only where two meet
-    dealt = rows.select("key", "id", "part", "s", "fp", "n_shingles", "sketch").repartition("key").sortWithinPartitions("key", "id")
+    dealt = rows.select("key", "id", "part", "s", "fp", "n_shingles", "hashes").repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            _, ids, parts, side, fps, sizes, sketches = zip(*held, strict=True)
-            links = joined(np.array(ids), np.frombuffer(b"".join(fps), "<u8").reshape(len(ids), -1), np.array(parts), np.array(side), list(sketches), np.array(sizes), least, most)
+            _, ids, parts, side, fps, sizes, sets = zip(*held, strict=True)
+            links = joined(np.array(ids), np.frombuffer(b"".join(fps), "<u8").reshape(len(ids), -1), np.array(parts), np.array(side), list(sets), np.array(sizes), least, most)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
@@ -356,14 +381,14 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     bits = 256
     p = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * p + 4 * np.sqrt(bits * p * (1 - p)))
-    rows = common.written(fingerprints(docs, k, bits // 64, SKETCH), "fingerprints")
+    rows = common.written(fingerprints(docs, k, bits // 64, distinct=True), "fingerprints")
     # equal sets of shingles are one node, named by its smallest document
-    nodes = common.written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("fp", "n_shingles", "sketch")]).where("id is not null"), "nodes")
+    nodes = common.written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "nodes")
     found = pairs(lists(nodes.select("id", "fp"), byte_sets(bits // 8, None)), most, 2)
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
-    # only nodes with a candidate have their sketches moved again
+    # only nodes with a candidate have their sets made and moved
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    linked = common.written(nodes.join(ids, "id", "left_semi"), "linked")
+    linked = common.written(shingle_sets(docs, nodes.join(ids, "id", "left_semi"), k), "linked")
     nearest = edges.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     sure = common.written(verified(nearest, linked, similarity), "verified")
     first = common.written(common.components(sure, "near"), "near")

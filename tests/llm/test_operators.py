@@ -135,6 +135,23 @@ def test_similar_components_counts_a_shingle_once(spark):
     assert got == {i: i - i % 2 if i < 20 else i for i in range(30)} == brute_similar(texts)
 
 
+def test_similar_components_is_exact_for_long_texts(spark):
+    """Pairs of 3,000 shingles just above and below the threshold, and a pair with one set on each side of NARROW."""
+    rng = random.Random(7)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for i in range(16):
+        core, own = words(2704), 332 if i % 2 else 345  # 2,700 shingles in both, so a similarity of 0.803 or 0.797
+        texts += [" ".join(core + words(own)) for _ in range(2)]
+    core = words(1000)
+    texts += [" ".join(core), " ".join(core + words(100))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(df).collect()}
+    want = brute_similar(texts)
+    assert sum(i != r for i, r in want.items()) == 9
+    assert got == want
+
+
 # --- 2, 3 -------------------------------------------------------------------------------------------------------------
 def test_segments_are_the_maximal_ones():
     def brute(scores):
