@@ -2,8 +2,8 @@
 
 A word's lattice has an arc for each match of a piece of an existing vocabulary; the word's lattice probability is the sum
 over all segmentations, by a forward recursion in log space. The vocabulary's scores (ranks) give the first piece
-probabilities, proportional to 1 / (rank + 1); forward-backward counts over the distinct training words replace them: some
-rounds on a bounded sample of the words, the last on every one. Each training word also has an arc of its own over the
+probabilities, proportional to 1 / (rank + 1); forward-backward counts over the distinct training words replace them,
+each round over every one. Each training word also has an arc of its own over the
 whole word, weighted by its discounted count; the discounts' mass weights the pieces:
 
     P(word) = max(c - D, 0) / N + D V / N * lattice(word)
@@ -37,9 +37,8 @@ from riskweave.llm import common, vocab
 
 #: Share of all tokens from which a word is broadcast.
 FREQUENT = 1e-6
-#: Rounds of forward-backward counts on a sample of about SAMPLE distinct words, before the one on all.
-ROUNDS = 3
-SAMPLE = 40_000
+#: Rounds of forward-backward counts, each over all distinct training words.
+ROUNDS = 4
 #: Added to a piece's expected count.
 SMOOTH = 0.05
 #: Distinct words that a worker counts before it hands them on.
@@ -251,9 +250,8 @@ def scored(docs: DataFrame, path: str | None = None) -> DataFrame:
     usable = np.isfinite(lp)
     lat = lattice(path)
     if total:
-        some = train.where(F.pmod(F.xxhash64("word"), F.lit(max(1, distinct // SAMPLE))) == 0).repartition(common.shuffle_width(spark))
-        for rows in [some] * ROUNDS + [train]:
-            counts = expected(rows, path, lp)
+        for _ in range(ROUNDS):
+            counts = expected(train, path, lp)
             counts[lat.end] += 1
             lp = maximised(counts, usable)
     frequent = {r["word"].encode(): (r["c"], r["lp"]) for r in likelihoods(common_words, path, lp).collect()}

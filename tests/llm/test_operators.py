@@ -272,6 +272,16 @@ def test_lattice(spark, docs, none):
     assert lattice_lm.scored(none.withColumn("train", F.lit(True))).count() == 0
 
 
+def test_lattice_counts_all_words_in_every_round(docs, monkeypatch):
+    """However many distinct words there are beside any bound on a sample."""
+    monkeypatch.setattr(lattice_lm, "SAMPLE", 100, raising=False)
+    seen, whole = [], lattice_lm.expected
+    monkeypatch.setattr(lattice_lm, "expected", lambda words, path, lp: seen.append(words.count()) or whole(words, path, lp))
+    lattice_lm.scored(docs.withColumn("train", F.lit(True)))
+    words = {w for r in docs.collect() for w in lattice_lm.tokens(r.text)}
+    assert len(words) > 900 and seen == [len(words)] * 4
+
+
 # --- 6 ----------------------------------------------------------------------------------------------------------------
 def test_pii(spark, docs, none):
     texts = [
