@@ -103,6 +103,7 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
         F.transform(F.filter(F.array(F.lit("newFixedThreadPool"), F.lit("newCachedThreadPool")), lambda w: added & F.array_contains(g2, F.concat(w, F.lit(" (")))), lambda w: one("CALL_ADDED", w)),
         when(added & text.rlike("\\.get\\s*\\(\\s*\\)"), one("CALL_ADDED", "get", "blocking_get=true")),
         when(~added & text.rlike("\\.set\\s*\\(") & text.rlike("(?i)atomic"), one("CALL_REMOVED", "atomic_set")),
+        *[when(call(name), one(pm("CALL"), name)) for name in ("acquire", "await")],
     ))
 
 
@@ -123,17 +124,47 @@ def type_downgrades(lines: DataFrame) -> DataFrame:
     return old.join(new, ["diff_id", "grp", "file", "var"])
 
 
+def loop_removes(lines: DataFrame) -> DataFrame:
+    """(diff_id, grp, file, n, ignores): added lines of tokenised `lines` that call remove inside a loop.
+
+    One scan over a side's tokens: a loop's word opens it, its body lasts to the matching brace, or without braces to the
+    next semicolon; loops that were opened outside the added lines aren't seen."""
+    keep = ["diff_id", "grp", "file"]
+    side = lines.where("side = 'added'").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("n", "t", "ignores"))).alias("x"))
+    side = side.where(F.exists("x", lambda r: F.array_contains(r["t"], "remove")) & F.exists("x", lambda r: F.arrays_overlap(r["t"], F.array(F.lit("for"), F.lit("while"), F.lit("do")))))
+    toks = F.flatten(F.transform("x", lambda r: F.transform(r["t"], lambda w, i: F.struct(r["n"].alias("n"), w.alias("w"), (F.get(r["t"], i + 1) == "(").alias("call"), F.coalesce(F.get(r["t"], i - 1) == "new", F.lit(False)).alias("new")))))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("paren"), F.lit(False).alias("open"), none.alias("loops"), none.alias("hits"))
+
+    def step(a: Column, t: Column) -> Column:
+        w, head = t["w"], t["w"].isin("for", "while", "do")
+        body = a["open"] & (a["paren"] == 0)
+        hit = (w == "remove") & F.coalesce(t["call"], F.lit(False)) & ~t["new"] & (a["open"] | (F.size(a["loops"]) > 0))
+        return F.struct(
+            F.when(w == "{", a["depth"] + 1).when(w == "}", a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+            F.when(head, F.lit(0)).when(w == "(", a["paren"] + 1).when(w == ")", a["paren"] - 1).otherwise(a["paren"]).alias("paren"),
+            F.when(head, F.lit(True)).when(body & w.isin("{", "}", ";"), F.lit(False)).otherwise(a["open"]).alias("open"),
+            F.when(body & (w == "{"), F.concat(a["loops"], F.array(a["depth"] + 1))).when(w == "}", F.filter(a["loops"], lambda d: d < a["depth"])).otherwise(a["loops"]).alias("loops"),
+            F.when(hit, F.concat(a["hits"], F.array(t["n"]))).otherwise(a["hits"]).alias("hits"),
+        )
+
+    found = side.select(*keep, "x", F.aggregate(toks, start, step, lambda a: a["hits"]).alias("hits"))
+    return found.select(*keep, F.explode(F.filter("x", lambda r: F.array_contains(F.col("hits"), r["n"]))).alias("r")).select(*keep, "r.n", "r.ignores")
+
+
 def changes(diffs: DataFrame) -> DataFrame:
     """Distinct (diff_id, seq, file, kind, symbol, meta, ignores); seq orders them as they were found."""
     lines = inline_ignores(side_lines(diffs))
     made = token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])
-    found = tokenised(lines.where("text <> ''")).select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c"))
+    split = tokenised(lines.where("text <> ''"))
+    found = split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c"))
     rows = found.select("diff_id", "grp", "file", ((F.col("side") == "removed").cast("int") * -1_000_000 + F.col("n") * 100 + F.col("k") + 2_000_000).alias("at"), "c.kind", "c.symbol", "c.meta", "ignores")
     down = type_downgrades(lines).select("diff_id", "grp", "file", F.lit(4_000_000).alias("at"), F.lit("TYPE_CHANGED").alias("kind"), F.col("var").alias("symbol"), F.concat(F.lit("downgrade=true;from="), "old", F.lit(";to="), "new").alias("meta"), F.array().cast("array<string>").alias("ignores"))
     both = found.groupBy("diff_id", "grp", "file").agg(
         F.bool_or((F.col("side") == "removed") & (F.col("c.symbol") == "equals")).alias("eq"), F.bool_or((F.col("side") == "added") & (F.col("c.symbol") == "==")).alias("ref"))
     refs = both.where("eq and ref").select("diff_id", "grp", "file", F.lit(5_000_000).alias("at"), F.lit("UNKNOWN").alias("kind"), F.lit("equals_to_ref").alias("symbol"), F.lit("").alias("meta"), F.array().cast("array<string>").alias("ignores"))
-    every = rows.where("symbol not in ('equals', '==')").unionByName(down).unionByName(refs)
+    loops = loop_removes(split).select("diff_id", "grp", "file", (F.col("n") * 100 + 2_000_099).alias("at"), F.lit("CALL_ADDED").alias("kind"), F.lit("remove").alias("symbol"), F.lit("in_loop=true").alias("meta"), "ignores")
+    every = rows.where("symbol not in ('equals', '==')").unionByName(down).unionByName(refs).unionByName(loops)
     return every.groupBy("diff_id", "file", "kind", "symbol", "meta").agg(F.min(F.struct("grp", "at", "ignores")).alias("x")).select("diff_id", (F.col("x.grp") * 10_000_000 + F.col("x.at")).alias("seq"), "file", "kind", "symbol", "meta", "x.ignores")
 
 

@@ -122,3 +122,19 @@ def test_rule_files(spark, tmp_path):
 def test_empty_input(spark):
     none = spark.createDataFrame([], "diff_id long, raw_diff string")
     assert audit.decisions(audit.Engine(spark).audit(none)).count() == 0
+
+
+def test_remove_inside_a_loop(spark):
+    """Seen over lines and on one line, not after the loop, not without one and not on the removed side."""
+    cases = {
+        "lines": ["+for (String x : xs) {", "+  if (x.isEmpty()) {", "+    xs.remove(x);", "+  }", "+}"], "one": ["+for (String x : xs) { xs.remove(x); }"], "bare": ["+while (it.hasNext())", "+  xs.remove(it.next());"],
+        "do": ["+do {", "+  xs.remove(0);", "+} while (!xs.isEmpty());"], "after": ["+for (String x : xs) {", "+  use(x);", "+}", "+xs.remove(y);"], "bare after": ["+for (String x : xs) use(x);", "+xs.remove(y);"],
+        "none": ["+xs.remove(y);"], "removed": ["-for (String x : xs) { xs.remove(x); }"], "ignored": ["+for (String x : xs) {", "+  xs.remove(x); // riskweave-ignore: all", "+}"],
+    }
+    rows = [(k, "diff --git a/A.java b/A.java\n--- a/A.java\n+++ b/A.java\n@@ -1,9 +1,9 @@\n" + "\n".join(v) + "\n") for k, v in cases.items()]
+    rows.append(("calls", rows[0][1].split("+for")[0] + "+sem.acquire();\n-latch.await();\n"))
+    diffs = spark.createDataFrame(rows, "diff_id string, raw_diff string")
+    got = {r.diff_id for r in detect.signals(diffs).where("signal_id = 'runtime.collection_mutation_inside_loop'").collect()}
+    assert got == {"lines", "one", "bare", "do"}
+    calls = {(r.kind, r.symbol) for r in detect.changes(diffs).where("diff_id = 'calls'").collect()}
+    assert {("CALL_ADDED", "acquire"), ("CALL_REMOVED", "await")} <= calls
