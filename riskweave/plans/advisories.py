@@ -80,8 +80,8 @@ R.add(
     "java_normalize", lambda s, d: base(s, d).select("k", F.when(F.col("k") % 3 == 0, "org.x:lib").otherwise("lib").alias("name")).select("k", F.when(F.col("name").contains(":"), F.split_part("name", F.lit(":"), F.lit(1))).alias("group_id"), F.substring_index("name", ":", -1).alias("artifact_id")),
     "SELECT k, CASE WHEN k % 3 = 0 THEN 'org.x' END AS group_id, 'lib' AS artifact_id FROM base", BASE,
 )
-_id = F.when(F.col("k") % 4 == 0, F.concat(F.lit("prorule.java.high.x"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("prorule.ghsa-"), F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.lit("-9f5a-33b3_java")))
-R.add("id_normalize", lambda s, d: base(s, d).select("k", A.new_java_id(_id, A.severity_of(F.col("score"))).alias("rule_id")), f"SELECT k, CASE WHEN k % 4 = 0 THEN 'prorule.java.high.x' || CAST(k AS VARCHAR) ELSE 'prorule.java.' || {_SEV('score')} || '.ghsa_' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '_9f5a_33b3' END AS rule_id FROM base", BASE)
+_id = lambda: F.when(F.col("k") % 4 == 0, F.concat(F.lit("prorule.java.high.x"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("prorule.ghsa-"), F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.lit("-9f5a-33b3_java")))
+R.add("id_normalize", lambda s, d: base(s, d).select("k", A.new_java_id(_id(), A.severity_of(F.col("score"))).alias("rule_id")), f"SELECT k, CASE WHEN k % 4 = 0 THEN 'prorule.java.high.x' || CAST(k AS VARCHAR) ELSE 'prorule.java.' || {_SEV('score')} || '.ghsa_' || lpad(CAST(k % 10000 AS VARCHAR), 4, '0') || '_9f5a_33b3' END AS rule_id FROM base", BASE)
 _sev = lambda: pick(["critical", "HIGH", "medium", "low", ""], F.col("z"))
 _TIER = f"CASE lower({sql_pick(['critical', 'HIGH', 'medium', 'low', ''], 'z')}) WHEN 'critical' THEN 'tier1' WHEN 'high' THEN 'tier2' WHEN 'medium' THEN 'tier3' WHEN 'low' THEN 'tier4' ELSE CASE WHEN score >= 9 THEN 'tier1' WHEN score >= 7 THEN 'tier2' WHEN score >= 4 THEN 'tier3' ELSE 'tier4' END END"
 R.add("tier_assign", lambda s, d: base(s, d).select("k", A.tier(_sev(), F.col("score")).alias("tier")), f"SELECT k, {_TIER} AS tier FROM base", BASE)

@@ -1,6 +1,8 @@
 """Queries against their DuckDB equivalents on the smallest tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 
@@ -42,5 +44,11 @@ def test_registry():
     assert set(o) <= set(q) and len(q) > 150
 
 
+def test_registry_needs_no_session():
+    """In a process of its own, as an earlier test may have started a session."""
+    code = "import __spark_entry__ as e; from pyspark import SparkContext; assert set(e.oracle_sql()) <= set(e.queries()) and SparkContext._active_spark_context is None"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=120)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
