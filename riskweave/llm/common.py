@@ -56,6 +56,10 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def texts(batch: pa.RecordBatch) -> list[str | None]:
+    return batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds about `limit` bytes of the text column, or a single longer text."""
     for batch in batches:
