@@ -7,7 +7,8 @@ the rank-based encoder does.
 
 Edge cases: a null or empty text has no tokens; special-token strings are ordinary text; long matches cost n log n;
 repeated rows and ties don't matter, as a text's ids depend on it alone; an empty table gives an empty result; other
-columns are kept by `encode`, whose own columns are named bpe_*."""
+columns are kept by `encode`, `decode` and `round_trip`, but for columns named like their own (bpe_ids, bpe_exact, bpe_bytes), which are
+replaced."""
 
 from __future__ import annotations
 
@@ -26,7 +27,7 @@ from pyspark.sql.types import StructType
 from riskweave.llm import common, vocab
 
 #: Matches that a worker remembers.
-CACHE = 600_000
+CACHE = 150_000
 
 
 class Codec:
@@ -75,8 +76,9 @@ def _setup(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with bpe_ids added."""
+    """docs with bpe_ids added; a column of that name is replaced."""
     path, pattern = _setup(path, pattern)
+    docs = docs.drop("bpe_ids")
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("bpe_ids", _ints())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +91,9 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """tokens, which have bpe_ids, with bpe_bytes added."""
+    """tokens, which have bpe_ids, with bpe_bytes added; a column of that name is replaced."""
     path, pattern = _setup(path, None)
+    tokens = tokens.drop("bpe_bytes")
     names, schema = tokens.columns, StructType([*tokens.schema.fields, *StructType.fromDDL("bpe_bytes binary").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,8 +106,9 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """docs with bpe_ids and bpe_exact, whether they decode to the text's bytes, added in one pass."""
+    """docs with bpe_ids and bpe_exact, whether they decode to the text's bytes, added in one pass; columns of these names are replaced."""
     path, pattern = _setup(path, pattern)
+    docs = docs.drop("bpe_ids", "bpe_exact")
     names, schema = docs.columns, StructType([*docs.schema.fields, *StructType.fromDDL("bpe_ids array<int>, bpe_exact boolean").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

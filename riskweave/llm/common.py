@@ -56,6 +56,17 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores as it takes not to be a column of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column(batch.schema.get_field_index("text")).cast(pa.string()).to_pylist()
 

@@ -79,9 +79,13 @@ def unit(raw: np.ndarray) -> np.ndarray:
 def classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Slim rows (vec_id, k1, k2, ok) and classes of equal vectors (k1, k2, id, n, label, embedding)."""
     e = F.col("embedding").cast("array<double>")
+    # labels of any type are told apart by a hash of their text; zero is one label, whatever its sign
+    kind = dict(vectors.dtypes)["label"]
+    label = F.col("label") + F.lit(0.0).cast(kind) if kind in ("float", "double") else F.col("label")
+    label = F.when(F.col("label").isNotNull(), F.xxhash64(label.cast("string")))
     bad = F.exists("e", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("e").isNotNull() & ~bad & F.exists("e", lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), e.alias("e")).withColumn("ok", ok)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), label.alias("label"), e.alias("e")).withColumn("ok", ok)
     rows = rows.withColumn("e", F.transform("e", lambda x: x + F.lit(0.0)))  # no negative zeros
     rows = rows.withColumns({"k1": F.xxhash64("label", "e"), "k2": F.xxhash64(F.lit("2"), "e", "label")})
     made = rows.where("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("e").alias("e"))

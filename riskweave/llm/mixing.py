@@ -11,7 +11,7 @@ the water level where the targets' sum is reached.
 
 Edge cases: a null text has no words; documents without words are taken 0 words; a source without words has the target 0;
 rows that repeat a doc_id and size are interchangeable; null doc_ids share one key; an empty table gives an empty
-result; other columns are kept by `mixed` and ignored by `plan`."""
+result; other columns are kept by `mixed`, whatever their names, and ignored by `plan`."""
 
 from __future__ import annotations
 
@@ -86,15 +86,15 @@ def mixed(docs: DataFrame) -> DataFrame:
     The cut is a place in the order of keys, so a row a source is all that the documents have to meet. The document at
     the cut is kept if at least half of it fits; one without words is kept once, as it costs nothing."""
     names = docs.columns
+    own_size, own_source, own_epochs, own_cut, own_times, own_copy = common.fresh(docs, "rw_size", "rw_source", "rw_epochs", "rw_cut", "rw_times", "rw_copy")
     rows = common.written(plan(docs), "plan")
     at = lambda c, d, n: F.struct(c.alias("key"), d.alias("doc_id"), n.alias("size"))
     inside = F.when((F.col("size") > 0) & (F.col("last") * 2 >= F.col("size")), at(F.col("key"), F.col("doc_id"), F.col("size")))
-    cuts = common.written(rows.groupBy("source").agg(F.max("epochs").alias("rw_epochs"), F.max(inside).alias("rw_cut")).withColumnRenamed("source", "rw_source"), "cuts")
-    size = words(F.col("text"))
-    both = docs.withColumn("rw_size", size).join(cuts, F.col("source").eqNullSafe(F.col("rw_source")))
-    more = F.coalesce(at(key(), F.col("doc_id").cast("long"), F.col("rw_size")) <= F.col("rw_cut"), F.lit(False)).cast("int")
-    times = F.when(F.col("rw_size") == 0, 1).otherwise(F.col("rw_epochs") + more).cast("int")
-    return both.withColumn("rw_times", times).where("rw_times > 0").withColumn("rw_copy", F.explode(F.sequence(F.lit(1), F.col("rw_times")))).select(*names)
+    cuts = common.written(rows.groupBy("source").agg(F.max("epochs").alias(own_epochs), F.max(inside).alias(own_cut)).withColumnRenamed("source", own_source), "cuts")
+    both = docs.withColumn(own_size, words(F.col("text"))).join(cuts, F.col("source").cast("string").eqNullSafe(F.col(own_source)))
+    more = F.coalesce(at(key(), F.col("doc_id").cast("long"), F.col(own_size)) <= F.col(own_cut), F.lit(False)).cast("int")
+    times = F.when(F.col(own_size) == 0, 1).otherwise(F.col(own_epochs) + more).cast("int")
+    return both.withColumn(own_times, times).where(F.col(own_times) > 0).withColumn(own_copy, F.explode(F.sequence(F.lit(1), F.col(own_times)))).select(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

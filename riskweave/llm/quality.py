@@ -7,7 +7,7 @@ apart turns margins into probabilities.
 
 Edge cases: a null or empty text has only the indicator of the empty text; labels that are null or of unknown documents
 aren't learnt from; repeated labels of a document count once (the larger); without labels of both classes every score
-is the share of good labels (0 without any). Other columns are kept by `scored`. An empty table gives an empty result."""
+is the share of good labels (0 without any). Other columns are kept by `scored`, but for one named quality_score, which is replaced. An empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -58,7 +58,7 @@ class Grams:
                 shape = p.sub(s, shape)
             if len(self.words) >= CACHE:
                 self.words.clear()
-            got = self.words[w] = (_slot(b"w", w.lower()), shape[:16])
+            got = self.words[w] = (_slot(b"w", w.lower()), shape)
         return got
 
     def of(self, text: str | None) -> np.ndarray:
@@ -163,7 +163,8 @@ def _weighted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def scored(docs: DataFrame, m: Model) -> DataFrame:
-    """docs with quality_score added."""
+    """docs with quality_score added; a column of that name is replaced."""
+    docs = docs.drop("quality_score")
     names, schema = docs.columns, StructType([*docs.schema.fields]).add("quality_score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

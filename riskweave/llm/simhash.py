@@ -1,19 +1,24 @@
 """SimHash near-dedup over a byte-position inverted index with count filtering.
 
-A fingerprint is a row of positional bytes. Each distinct fingerprint is indexed under sets of positional bytes;
-for every pair that meets under a set the positional bytes in common are tallied, pairs that reach the guaranteed
-minimum are kept and verified. Lists of a single positional byte would hold 1/256 of all rows each and be tallied
-quadratically, so an index entry joins several bytes:
-
-* exact mode (bits, max_distance d): two fingerprints that differ in at most d bits share at least
-  bytes - d positional bytes. The index has every set of that many bytes, so no link is missed; an entry's list
-  can differ in d bytes only, which bounds it by 256**d distinct fingerprints.
+A fingerprint is a row of positional bytes. Each distinct fingerprint is indexed under sets of positional bytes. For
+every pair that meets under a set the positional bytes in common are tallied; pairs that reach the minimum are kept and
+verified. Lists of a single positional byte would hold 1/256 of all rows each and be tallied quadratically, so an index
+entry joins several bytes:
+
+* exact mode (bits, max_distance d): two fingerprints that differ in at most d bits share at least bytes - d positional
+  bytes, which is the minimum of the tally. The index has sets of bytes - d - 1 bytes such that whichever d bytes differ some set is
+  without them, so no link is missed. A long list is dealt out by one more positional byte, of which such a pair shares one
+  at least; that leaves d bytes free, which bounds a list by 256**d distinct fingerprints.
 * similarity mode: wide fingerprints under `PAIRS` pairs of bytes find candidates for a Jaccard similarity, which is
-  then verified on the documents' whole sets of shingle hashes.
+  then verified on the documents' whole sets of shingle hashes. Bits that may differ outnumber the bytes there, so the
+  tally has no guaranteed minimum beyond the pair of the index.
+
+A pair is taken in the first list that it shares only, and a list gives a spanning forest of its pairs, so rows that
+are found stay in proportion to fingerprints however dense a group is.
 
 Edge cases, for both: a null text counts as empty; texts without words share the fingerprint zero and so one group;
 repeated rows and equal texts fall into one group; an empty table gives an empty result; other columns are ignored
-(`fingerprints`) or kept (`dedup`). Long texts are hashed in blocks, so memory is bounded by the text itself.
+(`fingerprints`) or kept, whatever their names (`dedup`). Long texts are hashed in blocks, so memory is bounded by the text itself.
 """
 
 from __future__ import annotations
@@ -29,12 +34,14 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import common
 
-#: A list longer than this is split into blocks, compared block by block.
+#: A list longer than this is dealt out: by a further byte, or in blocks that meet pairwise.
 BLOCK = 4096
 #: Up to this many rows of a list, all its pairs are compared in one vector step per offset.
 SHORT = 48
 #: One fingerprint in so many tells which lists are long.
 PROBE = 16
+#: Long lists, at most, whose table is broadcast; more are joined by key.
+BROADCAST = 50_000
 #: Rows of a group of candidates that are compared in one block, at least.
 GROUP = 256
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
@@ -142,49 +149,63 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 def byte_sets(n_bytes: int, max_distance: int | None) -> list[tuple[int, ...]]:
     """The sets of byte positions that index a fingerprint."""
-    if max_distance is not None:
-        return list(itertools.combinations(range(n_bytes), n_bytes - max_distance))
-    every = list(itertools.combinations(range(n_bytes), 2))
-    return [every[i] for i in np.random.default_rng(1).permutation(len(every))[: min(PAIRS, len(every))]]
+    if max_distance is None:
+        every = list(itertools.combinations(range(n_bytes), 2))
+        return [every[i] for i in np.random.default_rng(1).permutation(len(every))[: min(PAIRS, len(every))]]
+    # what a set leaves out: positions so chosen that any max_distance of them are left out together by some set
+    left = set(itertools.combinations(range(n_bytes), max_distance))
+    out = []
+    while left:
+        best = max(itertools.combinations(range(n_bytes), max_distance + 1), key=lambda x: (sum(y in left for y in itertools.combinations(x, max_distance)), x))
+        left -= set(itertools.combinations(best, max_distance))
+        out.append(tuple(i for i in range(n_bytes) if i not in best))
+    return out
 
 
 def indexed(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """The inverted index of fps(id, fp): a row (key, id, fp) for each set of positional bytes."""
-    keys = [F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in s])) for i, s in enumerate(sets)]
-    return fps.select(F.explode(F.array(*keys)).alias("key"), "id", "fp")
+    """The inverted index of fps(id, fp): a row (key, s, id, fp) for each set s of positional bytes."""
+    entry = [F.struct(F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in x])).alias("key"), F.lit(i).cast("short").alias("s")) for i, x in enumerate(sets)]
+    return fps.select(F.explode(F.array(*entry)).alias("e"), "id", "fp").select("e.key", "e.s", "id", "fp")
 
 
-def lists(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """The index of fps dealt out by key and sorted, lists over BLOCK rows split into blocks that meet pairwise.
+def long_lists(fps: DataFrame, sets: list[tuple[int, ...]]) -> tuple[DataFrame, int]:
+    """(key, parts) of the lists over BLOCK rows, and their number.
 
     Which lists are that long is estimated from one fingerprint in PROBE; the estimate decides how work is dealt out, never
-    what is compared. At most about rows / BLOCK keys are that long, so their table is bounded and may be broadcast."""
+    what is compared. Blocks grow with the root of a list, so that the copies of its rows are in proportion to the power 1.5."""
+    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets).groupBy("key").agg((F.count("*") * PROBE).alias("n"))
+    hot = common.written(probe.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.sqrt("n") * 64)).cast("int").alias("parts")), "long-lists")
+    return hot, hot.count()
+
+
+def candidates(fps: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int, exact: bool) -> DataFrame:
+    """(a, b, d): pairs of fps(id, fp) that share a set, differ in `most` bits or fewer (d), and share min_bytes bytes or more.
+
+    They connect the same rows as all such pairs do, and for exact ones (any two bytes that differ are left out by some
+    set) those at any smaller distance too."""
     index = indexed(fps, sets)
-    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets).groupBy("key").count()
-    hot = probe.where(F.col("count") * PROBE > BLOCK).select("key", F.ceil(F.col("count") * PROBE / BLOCK).cast("int").alias("parts"))
-    salt = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
-    mine = index.join(F.broadcast(hot), "key", "left").select("key", "id", "fp", "parts", salt.alias("s"), other.alias("o"))
-    block = mine.select(F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("s", "o"), F.greatest("s", "o"))).alias("key"), "id", "fp")
-    return block.repartition("key").sortWithinPartitions("key", "id")
-
-
-def spanning(ids: np.ndarray, fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest, by differing bits, of the links at `most` bits within one list (Prim; n steps over n rows)."""
-    n = len(ids)
-    near, best, left = np.zeros(n, np.int64), np.full(n, 1 << 30), np.ones(n, bool)
-    found, at = [], 0
-    left[0] = False
-    for _ in range(n - 1):
-        d = np.bitwise_count(fps ^ fps[at]).sum(axis=1).astype(np.int64)
-        closer = left & (d < best)
-        best[closer], near[closer] = d[closer], at
-        at = int(np.argmin(np.where(left, best, 1 << 40)))
-        left[at] = False
-        if best[at] <= most:
-            found.append((ids[near[at]], ids[at], best[at]))
-    x = np.array(found, np.int64).reshape(-1, 3)
-    return x[:, 0], x[:, 1], x[:, 2]
+    hot, n_hot = long_lists(fps, sets)
+    none = F.lit(-1).cast("short")
+    if not n_hot:
+        return pairs(index.select("key", "s", none.alias("r"), "id", "fp"), sets, most, min_bytes)
+    both = index.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "key", "left")
+    if exact:
+        # the positions that a set leaves out: a link shares one of them at least
+        rest = [[p for p in range(max(map(max, sets)) + 1) if p not in x] for x in sets]
+        table = F.array(*[F.array(*[F.lit(p).cast("short") for p in x]) for x in rest])
+        deep = F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.element_at(table, F.col("s").cast("int") + 1))
+        got = both.select("key", "s", F.explode(deep).alias("r"), "id", "fp")
+        key = F.when(F.col("r") < 0, F.col("key")).otherwise(F.xxhash64("key", "r", F.substr("fp", F.col("r") + 1, F.lit(1))))
+        return pairs(got.select(key.alias("key"), "s", "r", "id", "fp"), sets, most, min_bytes)
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    own = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part, part))
+    first = common.written(pairs(both.select(own.alias("key"), "s", none.alias("r"), "id", "fp"), sets, most, min_bytes), "own-blocks")
+    # blocks of one list meet; only what isn't connected yet is sought there
+    label = common.components(first.select("a", "b"), "own-blocks").select(F.col("node").alias("id"), "root")
+    rows = both.where("parts is not null").join(label, "id", "left").select("key", "s", "id", "fp", "parts", part.alias("p"), F.coalesce("root", "id").alias("label"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("o <> p")
+    meet = rows.select(F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("key"), "s", (F.col("p") > F.col("o")).cast("short").alias("r"), "id", "fp", "label")
+    return first.unionByName(pairs(meet, sets, most, min_bytes))
 
 
 def thinned(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -222,60 +243,119 @@ def thinned(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def pairs(blocks: DataFrame, most: int, min_bytes: int) -> DataFrame:
-    """(a, b, d): of each list a minimum spanning forest of its pairs at `most` differing bits or fewer whose tally of
-    shared positional bytes is at least min_bytes.
-
-    Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs, and a list gives
-    fewer pairs than it has rows, however dense it is. That holds for bits only: links by another measure are sought
-    among all the rows that the forests connect (`within`)."""
+def near(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs (i, j, differing bits) of rows of one list at `most` bits or fewer, in parts, each once.
+
+    Where few bits vary, every way to flip `most` of them is looked up; otherwise rows are compared."""
+    n, width = fps.shape
+    free = np.bitwise_or.reduce(fps ^ fps[0], axis=0)
+    bits = [i for i in range(64) if int(free[0]) >> i & 1] if width == 1 else []
+    flips = sum(len(list(itertools.combinations(bits, k))) for k in range(1, most + 1)) if width == 1 and most <= 2 else n
+    if flips * 8 < n:
+        order = np.argsort(fps[:, 0], kind="stable")
+        x = fps[order, 0]
+        for k in range(1, most + 1):
+            for flip in itertools.combinations(bits, k):
+                other = x ^ np.uint64(sum(1 << i for i in flip))
+                at = np.searchsorted(x, other)
+                found = np.flatnonzero((at < n) & (x[np.minimum(at, n - 1)] == other) & (other > x))
+                if len(found):
+                    yield order[found], order[at[found]], np.full(len(found), k)
+        return
+    step = max(1, (1 << 20) // (n * width))
+    for at in range(0, n, step):
+        upto = min(n, at + step)
+        d = np.bitwise_count(fps[at:upto, None, :] ^ fps[None, at:, :]).sum(axis=2, dtype=np.int16)
+        i, j = np.nonzero(d <= most)
+        ok = j > i
+        yield i[ok] + at, j[ok] + at, d[i[ok], j[ok]].astype(np.int64)
+
+
+def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int) -> DataFrame:
+    """(a, b, d) of rows (key, s, r, id, fp[, label]): of each list, which is a key, a minimum spanning forest of its pairs at
+    `most` differing bits or fewer whose tally of shared positional bytes is at least min_bytes.
+
+    A pair counts in the first set s that it shares only. Without label, r is a further positional byte of the list's, -1 for none, and a
+    pair counts in the first of these it shares only. With it, r is the side, and pairs of different sides and labels count.
+
+    Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs. That holds for
+    bits only: links by another measure are sought among all the rows that the forests connect (`within`)."""
+    sides = "label" in blocks.columns
+    spots = np.array(sets)
+    rest = np.array([[p for p in range(spots.max() + 1) if p not in x] for x in sets]) if not sides else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None
-
-        def some(key: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[np.ndarray] | None = None
+
+        def counted(u: np.ndarray, v: np.ndarray, cols: list[np.ndarray]) -> np.ndarray:
+            """Which of the pairs of rows count: the tally, the first list, and sides or labels."""
+            _, s, r, ids, fps, label = cols
+            out = np.zeros(len(u), bool)
+            for at in range(0, len(u), 1 << 14):
+                a, b = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+                same = (fps[a] ^ fps[b]).view(np.uint8) == 0
+                ok = (same.sum(axis=1) >= min_bytes) & (ids[a] != ids[b]) & (same[:, spots].all(axis=2).argmax(axis=1) == s[a])
+                if sides:
+                    ok &= (r[a] != r[b]) & (label[a] != label[b])
+                else:
+                    deep = np.flatnonzero(r[a] >= 0)
+                    if len(deep):
+                        own = rest[s[a[deep]]]
+                        ok[deep] &= own[np.arange(len(deep)), np.take_along_axis(same[deep], own, axis=1).argmax(axis=1)] == r[a[deep]]
+                out[at : at + (1 << 14)] = ok
+            return out
+
+        def some(cols: list[np.ndarray]) -> pa.RecordBatch:
+            key, _, _, ids, fps, label = cols
+            # rows of one label are one node
+            node = np.unique(label, return_inverse=True)[1] if sides else np.arange(len(ids))
             cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(ids)]
             run_of = np.repeat(np.arange(len(starts)), ends - starts)
             long = (ends - starts) > SHORT
             few = np.flatnonzero(~long[run_of])
-            r, x, f = run_of[few], ids[few], fps[few]
-            links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            links = [np.zeros((3, 0), np.int64)]
+
+            def add(u: np.ndarray, v: np.ndarray, d: np.ndarray) -> None:
+                ok = counted(u, v, cols)
+                links.append(np.stack([u[ok], v[ok], d[ok]]))
+                if sum(x.shape[1] for x in links[1:]) > 4 * len(ids):
+                    every = np.concatenate(links, axis=1)
+                    links[:] = [every[:, thinned(node[every[0]], node[every[1]], every[2], len(ids))]]
+
             for step in range(1, SHORT):
-                at = np.flatnonzero(r[step:] == r[:-step]) if len(r) > step else np.zeros(0, np.int64)
+                at = np.flatnonzero(run_of[few[step:]] == run_of[few[:-step]]) if len(few) > step else np.zeros(0, np.int64)
                 if not len(at):
                     break
-                diff = f[at] ^ f[at + step]
-                d = np.bitwise_count(diff).sum(axis=1).astype(np.int64)
-                # count filtering: the tally of equal positional bytes, then the verification
-                ok = (d <= most) & ((diff.view(np.uint8) == 0).sum(axis=1) >= min_bytes) & (x[at] != x[at + step])
-                links.append((at[ok], at[ok] + step, d[ok]))
-            if links:
-                u, v, d = (np.concatenate([y[i] for y in links]) for i in range(3))
-                keep = thinned(u, v, d, len(x))
-                found.append((x[u[keep]], x[v[keep]], d[keep]))
-            found += [spanning(ids[s:e], fps[s:e], most) for s, e in zip(starts[long], ends[long], strict=True)]
-            a, b, d = (np.concatenate([y[i] for y in found]) if found else np.zeros(0, np.int64) for i in range(3))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
+                u, v = few[at], few[at + step]
+                d = np.bitwise_count(fps[u] ^ fps[v]).sum(axis=1).astype(np.int64)
+                add(u[d <= most], v[d <= most], d[d <= most])
+            for a, b in zip(starts[long], ends[long], strict=True):
+                for u, v, d in near(ids[a:b], fps[a:b], most):
+                    add(u + a, v + a, d)
+            u, v, d = np.concatenate(links, axis=1)
+            keep = thinned(node[u], node[v], d, len(ids))
+            u, v, d = ids[u[keep]], ids[v[keep]], d[keep]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n = batch.num_rows
-            key, ids = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-            fps = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u8").reshape(n, -1)
-            if rest is not None:
-                key, ids, fps = np.concatenate([rest[0], key]), np.concatenate([rest[1], ids]), np.concatenate([rest[2], fps])
-            other = np.flatnonzero(key != key[-1])
+            key, s, r, ids, label = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1, 2, 3, 5))
+            fps = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(batch.num_rows, -1)
+            cols = [key, s, r, ids, fps, label]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            other = np.flatnonzero(cols[0] != cols[0][-1])
             last = int(other[-1]) + 1 if len(other) else 0
-            rest = [key[last:], ids[last:], fps[last:]]
+            held = [x[last:] for x in cols]
             if last:
-                yield some(key[:last], ids[:last], fps[:last])
-        if rest is not None:
-            yield some(*rest)
+                yield some([x[:last] for x in cols])
+        if held is not None:
+            yield some(held)
 
-    return blocks.mapInArrow(run, "a long, b long, d int")
+    rows = blocks if sides else blocks.withColumn("label", F.col("id"))
+    return rows.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, d int")
 
 
 def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
@@ -283,14 +363,14 @@ def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataF
     rows = common.written(fingerprints(docs, k), "fingerprints")
     # equal fingerprints are one node, named by its smallest document
     nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
-    edges = pairs(lists(nodes.select("id", "fp"), byte_sets(8, max_distance)), max_distance, 8 - max_distance)
+    edges = candidates(nodes.select("id", "fp"), byte_sets(8, max_distance), max_distance, 8 - max_distance, True)
     roots = common.components(edges.select("a", "b"), "simhash")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
-def jaccard(a: bytes, b: bytes, na: int, nb: int) -> float:
-    """Jaccard similarity of two sets of na and nb shingle hashes."""
+def jaccard(a, b, na: int, nb: int) -> float:
+    """Jaccard similarity of two sets of na and nb shingle hashes, given as bytes."""
     x, y = (np.frombuffer(v, "<u4" if n <= NARROW else "<u8") for v, n in ((a, na), (b, nb)))
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -307,15 +387,20 @@ def verified(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, sa, sb, na, nb = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("a", "b", "sa", "sb", "na", "nb"))
-            ok = [i for i in range(len(a)) if min(na[i], nb[i]) >= least * max(na[i], nb[i]) - 1e-6 and jaccard(sa[i], sb[i], na[i], nb[i]) >= least]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in ok], pa.int64()), pa.array([b[i] for i in ok], pa.int64())], ["a", "b"])
+            sa, sb = batch.column(2), batch.column(3)
+            na, nb = np.asarray(batch.column(4)), np.asarray(batch.column(5))
+            # sets are looked at where they lie, one pair at a time
+            some = np.flatnonzero(np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-6).tolist()
+            ok = pa.array([i for i in some if jaccard(sa[i].as_buffer(), sb[i].as_buffer(), int(na[i]), int(nb[i])) >= least], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(ok), batch.column(1).take(ok)], ["a", "b"])
 
     both = edges.select("a", "b").join(left, "a").join(right, "b")
+    # the similarity is at most the ratio of the sizes
+    both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6)
     return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list[bytes], sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
+def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list, sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
     """A spanning forest of the links between the parts of one block: all pairs at `most` bits or fewer are verified but those already in one part."""
     label, found = np.unique(part, return_inverse=True)[1], []
     both = len(set(side.tolist())) > 1
@@ -352,19 +437,25 @@ def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, mo
     dealt = rows.select("key", "id", "part", "s", "fp", "n_shingles", "hashes").repartition("key").sortWithinPartitions("key", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []  # of one block
 
         def out() -> pa.RecordBatch:
-            _, ids, parts, side, fps, sizes, sets = zip(*held, strict=True)
-            links = joined(np.array(ids), np.frombuffer(b"".join(fps), "<u8").reshape(len(ids), -1), np.array(parts), np.array(side), list(sets), np.array(sizes), least, most)
+            col = lambda i: [x for b in held for x in b.column(i)]
+            num = lambda i: np.concatenate([np.asarray(b.column(i)) for b in held])
+            fps = np.frombuffer(b"".join(x.as_py() for x in col(4)), "<u8").reshape(sum(b.num_rows for b in held), -1)
+            links = joined(num(1), fps, num(2), num(3), [x.as_buffer() for x in col(6)], num(5), least, most)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column(0))
+            cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for i, j in itertools.pairwise(cut):
+                if held and held[0].column(0)[0].as_py() != int(key[i]):
                     yield out()
-                held.append(row)
+                held.append(batch.slice(i, j - i))
         if held:
             yield out()
 
@@ -384,7 +475,7 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     rows = common.written(fingerprints(docs, k, bits // 64, distinct=True), "fingerprints")
     # equal sets of shingles are one node, named by its smallest document
     nodes = common.written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "nodes")
-    found = pairs(lists(nodes.select("id", "fp"), byte_sets(bits // 8, None)), most, 2)
+    found = candidates(nodes.select("id", "fp"), byte_sets(bits // 8, None), most, 2, False)
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
     # only nodes with a candidate have their sets made and moved
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()

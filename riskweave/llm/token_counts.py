@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from riskweave.llm import common, vocab
 
-CACHE = 600_000
+CACHE = 300_000
 UNKNOWN_PENALTY = 10.0
 NEVER = -1e6
 
