@@ -42,10 +42,14 @@ SHORT = 48
 PROBE = 16
 #: Long lists, at most, whose table is broadcast; more are joined by key.
 BROADCAST = 50_000
+#: Nodes with a candidate, at most, whose ids (8 bytes each) are broadcast to pick their texts; more are joined by key.
+PICKED = 4_000_000
 #: Rows of a group of candidates that are compared in one block, at least.
 GROUP = 256
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
 PAIRS = 96
+#: Of these, so many are taken before what they connect is left out.
+FIRST = 8
 #: Sets of up to so many shingle hashes are kept by their upper halves, which hardly ever agree by chance then; larger ones whole.
 NARROW = 1024
 
@@ -126,25 +130,25 @@ def digest(h: np.ndarray) -> bytes:
 def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """nodes(id, digest, fp) with hashes, the bytes of the set of distinct shingle hashes, and n_shingles, their number.
 
-    The sets are made from the texts again, of the documents that name a node only."""
+    The sets are made from the texts again, of the documents that name a node only. These are picked where texts are read, while
+    their ids can be broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            keep, kept, sizes = [], [], []
-            for i, (text, name) in enumerate(zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            names, kept, sizes = [], [], []
+            for text in batch.column(1).to_pylist():
                 h = np.unique(hashes(text, k))
-                # another text may have the same doc_id
-                if digest(h) == name:
-                    keep.append(i)
-                    kept.append((np.unique(h >> np.uint64(32)).astype("<u4") if len(h) <= NARROW else h.astype("<u8")).tobytes())
-                    sizes.append(len(h))
-            cols = [batch.column(i).take(pa.array(keep, pa.int64())) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())], ["id", "digest", "fp", "n_shingles", "hashes"])
+                names.append(digest(h))
+                kept.append((np.unique(h >> np.uint64(32)).astype("<u4") if len(h) <= NARROW else h.astype("<u8")).tobytes())
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), pa.array(kept, pa.binary())], ["id", "digest", "n_shingles", "hashes"])
 
+    ids = nodes.select("id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    made = texts.join(nodes.select("id", "digest", "fp"), "id").select("id", "digest", "fp", "text").mapInArrow(run, "id long, digest binary, fp binary, n_shingles int, hashes binary")
-    # rows may be repeated
-    return made.groupBy("id", "digest").agg(*[F.min(c).alias(c) for c in ("fp", "n_shingles", "hashes")])
+    made = texts.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi").mapInArrow(run, "id long, digest binary, n_shingles int, hashes binary")
+    # rows may be repeated, and other texts may have the same doc_id
+    made = made.groupBy("id", "digest").agg(F.min("n_shingles").alias("n_shingles"), F.min("hashes").alias("hashes"))
+    return made.join(nodes.select("id", "digest", "fp"), ["id", "digest"]).select("id", "digest", "fp", "n_shingles", "hashes")
 
 
 def byte_sets(n_bytes: int, max_distance: int | None) -> list[tuple[int, ...]]:
@@ -162,50 +166,68 @@ def byte_sets(n_bytes: int, max_distance: int | None) -> list[tuple[int, ...]]:
     return out
 
 
-def indexed(fps: DataFrame, sets: list[tuple[int, ...]]) -> DataFrame:
-    """The inverted index of fps(id, fp): a row (key, s, id, fp) for each set s of positional bytes."""
-    entry = [F.struct(F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in x])).alias("key"), F.lit(i).cast("short").alias("s")) for i, x in enumerate(sets)]
-    return fps.select(F.explode(F.array(*entry)).alias("e"), "id", "fp").select("e.key", "e.s", "id", "fp")
+def indexed(fps: DataFrame, sets: list[tuple[int, ...]], some: range) -> DataFrame:
+    """The inverted index of fps(id, fp, ...): a row (key, s, ...) for each set s of positional bytes of `some`."""
+    entry = [F.struct(F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in sets[i]])).alias("key"), F.lit(i).cast("short").alias("s")) for i in some]
+    return fps.select(F.explode(F.array(*entry)).alias("e"), *fps.columns).select("e.key", "e.s", *fps.columns)
 
 
-def long_lists(fps: DataFrame, sets: list[tuple[int, ...]]) -> tuple[DataFrame, int]:
-    """(key, parts) of the lists over BLOCK rows, and their number.
+def with_long_lists(fps: DataFrame, sets: list[tuple[int, ...]], some: range) -> tuple[DataFrame, bool]:
+    """The index with parts, the number of blocks of a list over BLOCK rows and null for others, and whether there is such a list.
 
     Which lists are that long is estimated from one fingerprint in PROBE; the estimate decides how work is dealt out, never
     what is compared. Blocks grow with the root of a list, so that the copies of its rows are in proportion to the power 1.5."""
-    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets).groupBy("key").agg((F.count("*") * PROBE).alias("n"))
+    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets, some).groupBy("key").agg((F.count("*") * PROBE).alias("n"))
     hot = common.written(probe.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.sqrt("n") * 64)).cast("int").alias("parts")), "long-lists")
-    return hot, hot.count()
-
-
-def candidates(fps: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int, exact: bool) -> DataFrame:
-    """(a, b, d): pairs of fps(id, fp) that share a set, differ in `most` bits or fewer (d), and share min_bytes bytes or more.
-
-    They connect the same rows as all such pairs do, and for exact ones (any two bytes that differ are left out by some
-    set) those at any smaller distance too."""
-    index = indexed(fps, sets)
-    hot, n_hot = long_lists(fps, sets)
-    none = F.lit(-1).cast("short")
-    if not n_hot:
-        return pairs(index.select("key", "s", none.alias("r"), "id", "fp"), sets, most, min_bytes)
-    both = index.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "key", "left")
-    if exact:
-        # the positions that a set leaves out: a link shares one of them at least
-        rest = [[p for p in range(max(map(max, sets)) + 1) if p not in x] for x in sets]
-        table = F.array(*[F.array(*[F.lit(p).cast("short") for p in x]) for x in rest])
-        deep = F.when(F.col("parts").isNull(), F.array(none)).otherwise(F.element_at(table, F.col("s").cast("int") + 1))
-        got = both.select("key", "s", F.explode(deep).alias("r"), "id", "fp")
-        key = F.when(F.col("r") < 0, F.col("key")).otherwise(F.xxhash64("key", "r", F.substr("fp", F.col("r") + 1, F.lit(1))))
-        return pairs(got.select(key.alias("key"), "s", "r", "id", "fp"), sets, most, min_bytes)
-    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    own = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part, part))
-    first = common.written(pairs(both.select(own.alias("key"), "s", none.alias("r"), "id", "fp"), sets, most, min_bytes), "own-blocks")
-    # blocks of one list meet; only what isn't connected yet is sought there
-    label = common.components(first.select("a", "b"), "own-blocks").select(F.col("node").alias("id"), "root")
-    rows = both.where("parts is not null").join(label, "id", "left").select("key", "s", "id", "fp", "parts", part.alias("p"), F.coalesce("root", "id").alias("label"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("o <> p")
-    meet = rows.select(F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("key"), "s", (F.col("p") > F.col("o")).cast("short").alias("r"), "id", "fp", "label")
-    return first.unionByName(pairs(meet, sets, most, min_bytes))
+    index = indexed(fps, sets, some)
+    if not (n_hot := hot.count()):
+        return index.withColumn("parts", F.lit(None).cast("int")), False
+    return index.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "key", "left"), True
+
+
+def exact_candidates(fps: DataFrame, n_bytes: int, most: int) -> DataFrame:
+    """(a, b, d): a part of the pairs of fps(id, fp) that differ in `most` bits or fewer (d), which connects at any smaller distance too what all do."""
+    sets = byte_sets(n_bytes, most)
+    index, _ = with_long_lists(fps.select("id", "fp"), sets, range(len(sets)))
+    # the positions that a set leaves out: a link shares one of them at least
+    table = F.array(*[F.array(*[F.lit(p).cast("short") for p in range(n_bytes) if p not in x]) for x in sets])
+    deep = F.when(F.col("parts").isNull(), F.array(F.lit(-1).cast("short"))).otherwise(F.element_at(table, F.col("s").cast("int") + 1))
+    got = index.select("key", "s", F.explode(deep).alias("r"), "id", "fp")
+    key = F.when(F.col("r") < 0, F.col("key")).otherwise(F.xxhash64("key", "r", F.substr("fp", F.col("r") + 1, F.lit(1))))
+    return pairs(got.select(key.alias("key"), "s", "r", "id", "fp", F.col("id").alias("label")), sets, most, n_bytes - most, True)
+
+
+def similar_candidates(fps: DataFrame, sets: list[tuple[int, ...]], most: int) -> DataFrame:
+    """(a, b, d): a part of the pairs of fps(id, fp) that share a set and differ in `most` bits or fewer (d), which connects what all do.
+
+    After the first sets only pairs of rows that aren't connected yet are sought, so a dense group gives rows for a few lists only."""
+    found: list[DataFrame] = []
+
+    def labelled() -> DataFrame:
+        every = found[0]
+        for x in found[1:]:
+            every = every.unionByName(x)
+        root = common.components(every.select("a", "b"), "lists").select(F.col("node").alias("id"), "root")
+        return fps.select("id", "fp").join(root, "id", "left").select("id", "fp", F.coalesce("root", "id").alias("label"))
+
+    for some in (range(min(FIRST, len(sets))), range(FIRST, len(sets))):
+        if not some:
+            break
+        rows = fps.select("id", "fp", F.col("id").alias("label")) if not found else common.written(labelled(), "labelled")
+        index, split = with_long_lists(rows, sets, some)
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        own = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part, part))
+        found.append(common.written(pairs(index.select(own.alias("key"), "s", F.lit(-1).cast("short").alias("r"), "id", "fp", "label"), sets, most, 2, False), "own-blocks"))
+        if split:
+            # blocks of one list meet, r being the side
+            index, _ = with_long_lists(common.written(labelled(), "labelled"), sets, some)
+            rows = index.where("parts is not null").withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("o <> p")
+            meet = rows.select(F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("key"), "s", (F.col("p") > F.col("o")).cast("short").alias("r"), "id", "fp", "label")
+            found.append(common.written(pairs(meet, sets, most, 2, False), "met-blocks"))
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every
 
 
 def thinned(u: np.ndarray, v: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -271,18 +293,17 @@ def near(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarr
         yield i[ok] + at, j[ok] + at, d[i[ok], j[ok]].astype(np.int64)
 
 
-def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int) -> DataFrame:
-    """(a, b, d) of rows (key, s, r, id, fp[, label]): of each list, which is a key, a minimum spanning forest of its pairs at
-    `most` differing bits or fewer whose tally of shared positional bytes is at least min_bytes.
+def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int, deep: bool) -> DataFrame:
+    """(a, b, d) of rows (key, s, r, id, fp, label): of each list, which is a key, a minimum spanning forest of its pairs of
+    different labels at `most` differing bits or fewer whose tally of shared positional bytes is at least min_bytes.
 
-    A pair counts in the first set s that it shares only. Without label, r is a further positional byte of the list's, -1 for none, and a
-    pair counts in the first of these it shares only. With it, r is the side, and pairs of different sides and labels count.
+    A pair counts in the first set s that it shares only. r is -1, or if deep a further positional byte of the list's, and a
+    pair counts in the first of these it shares only, or else a side, and pairs of different sides count.
 
     Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs. That holds for
     bits only: links by another measure are sought among all the rows that the forests connect (`within`)."""
-    sides = "label" in blocks.columns
     spots = np.array(sets)
-    rest = np.array([[p for p in range(spots.max() + 1) if p not in x] for x in sets]) if not sides else None
+    rest = np.array([[p for p in range(spots.max() + 1) if p not in x] for x in sets]) if deep else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -291,24 +312,25 @@ def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes:
             """Which of the pairs of rows count: the tally, the first list, and sides or labels."""
             _, s, r, ids, fps, label = cols
             out = np.zeros(len(u), bool)
-            for at in range(0, len(u), 1 << 14):
-                a, b = u[at : at + (1 << 14)], v[at : at + (1 << 14)]
+            use = np.flatnonzero(label[u] != label[v])
+            for at in range(0, len(use), 1 << 14):
+                part = use[at : at + (1 << 14)]
+                a, b = u[part], v[part]
                 same = (fps[a] ^ fps[b]).view(np.uint8) == 0
-                ok = (same.sum(axis=1) >= min_bytes) & (ids[a] != ids[b]) & (same[:, spots].all(axis=2).argmax(axis=1) == s[a])
-                if sides:
-                    ok &= (r[a] != r[b]) & (label[a] != label[b])
-                else:
-                    deep = np.flatnonzero(r[a] >= 0)
-                    if len(deep):
-                        own = rest[s[a[deep]]]
-                        ok[deep] &= own[np.arange(len(deep)), np.take_along_axis(same[deep], own, axis=1).argmax(axis=1)] == r[a[deep]]
-                out[at : at + (1 << 14)] = ok
+                ok = (same.sum(axis=1) >= min_bytes) & (same[:, spots].all(axis=2).argmax(axis=1) == s[a])
+                at_r = np.flatnonzero(r[a] >= 0)
+                if deep and len(at_r):
+                    own = rest[s[a[at_r]]]
+                    ok[at_r] &= own[np.arange(len(at_r)), np.take_along_axis(same[at_r], own, axis=1).argmax(axis=1)] == r[a[at_r]]
+                elif len(at_r):
+                    ok &= r[a] != r[b]
+                out[part] = ok
             return out
 
         def some(cols: list[np.ndarray]) -> pa.RecordBatch:
             key, _, _, ids, fps, label = cols
             # rows of one label are one node
-            node = np.unique(label, return_inverse=True)[1] if sides else np.arange(len(ids))
+            node = np.unique(label, return_inverse=True)[1]
             cut = np.flatnonzero(key[1:] != key[:-1]) + 1
             starts, ends = np.r_[0, cut], np.r_[cut, len(ids)]
             run_of = np.repeat(np.arange(len(starts)), ends - starts)
@@ -354,8 +376,7 @@ def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes:
         if held is not None:
             yield some(held)
 
-    rows = blocks if sides else blocks.withColumn("label", F.col("id"))
-    return rows.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, d int")
+    return blocks.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, d int")
 
 
 def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
@@ -363,7 +384,7 @@ def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataF
     rows = common.written(fingerprints(docs, k), "fingerprints")
     # equal fingerprints are one node, named by its smallest document
     nodes = common.written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).where("id is not null"), "nodes")
-    edges = candidates(nodes.select("id", "fp"), byte_sets(8, max_distance), max_distance, 8 - max_distance, True)
+    edges = exact_candidates(nodes, 8, max_distance)
     roots = common.components(edges.select("a", "b"), "simhash")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("fp", F.coalesce("root", "id").alias("component_id"))
     return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id")
@@ -475,11 +496,11 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     rows = common.written(fingerprints(docs, k, bits // 64, distinct=True), "fingerprints")
     # equal sets of shingles are one node, named by its smallest document
     nodes = common.written(rows.groupBy("digest").agg(F.min("doc_id").alias("id"), F.min("fp").alias("fp")).where("id is not null"), "nodes")
-    found = candidates(nodes.select("id", "fp"), byte_sets(bits // 8, None), most, 2, False)
+    found = similar_candidates(nodes, byte_sets(bits // 8, None), most)
     edges = common.written(found.groupBy("a", "b").agg(F.min("d").alias("d")), "candidates")
     # only nodes with a candidate have their sets made and moved
     ids = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
-    linked = common.written(shingle_sets(docs, nodes.join(ids, "id", "left_semi"), k), "linked")
+    linked = common.written(shingle_sets(docs, common.written(nodes.join(ids, "id", "left_semi"), "picked"), k), "linked")
     nearest = edges.groupBy("b").agg(F.min(F.struct("d", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     sure = common.written(verified(nearest, linked, similarity), "verified")
     first = common.written(common.components(sure, "near"), "near")

@@ -54,7 +54,7 @@ def test_simhash_links(spark):
     fps += [dense ^ (i << 3) for i in range(120)]  # a list longer than SHORT
     fps = sorted(set(fps))
     nodes = spark.createDataFrame([(i, x.to_bytes(8, "little")) for i, x in enumerate(fps)], "id long, fp binary")
-    found = simhash.candidates(nodes, simhash.byte_sets(8, 2), 2, 6, True)
+    found = simhash.exact_candidates(nodes, 8, 2)
     got = {r.node: r.root for r in common.components(found.select("a", "b")).collect()}
     want = roots(range(len(fps)), [(i, j) for i, j in itertools.combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= 2])
     assert all(got.get(i, i) == r for i, r in want.items())

@@ -47,7 +47,7 @@ def test_exact_links_of_a_dense_group(spark, monkeypatch, block):
     bit = lambda k: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, k)).astype(np.uint64), axis=1)
     dense = base[0] ^ (rng.integers(0, 2**10, 2000, dtype=np.uint64) | (rng.integers(0, 16, 2000, dtype=np.uint64) << np.uint64(20)))
     fps = np.unique(np.concatenate([base, base ^ bit(2), base ^ bit(3), dense]))
-    edges = simhash.candidates(nodes(spark, fps), simhash.byte_sets(8, 2), 2, 6, True)
+    edges = simhash.exact_candidates(nodes(spark, fps), 8, 2)
     i, j = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2, 1))
     assert (found(edges, len(fps)) == roots(len(fps), np.stack([i, j], axis=1))).all()
     assert edges.count() < 8 * len(fps)
@@ -58,12 +58,13 @@ def test_candidates_of_a_dense_group(spark, monkeypatch, block):
     """The forests connect what all pairs of all lists do, and their rows don't grow with the square of a list."""
     monkeypatch.setattr(simhash, "BLOCK", block)
     monkeypatch.setattr(simhash, "PROBE", 1)
+    monkeypatch.setattr(simhash, "FIRST", 2)
     rng = np.random.default_rng(2)
     centre = rng.integers(0, 2**63, (3, 4), dtype=np.uint64)
     flips = np.packbits(rng.random((1500, 256)) < 0.06, axis=1).view("<u8")
     fps = centre[rng.integers(0, 3, 1500)] ^ flips
     sets = simhash.byte_sets(32, None)[:6]
-    edges = simhash.candidates(nodes(spark, fps), sets, 40, 2, False)
+    edges = simhash.similar_candidates(nodes(spark, fps), sets, 40)
     diff = fps[:, None, :] ^ fps[None, :, :]
     same = diff.view(np.uint8).reshape(1500, 1500, 32) == 0
     share = np.zeros((1500, 1500), bool)
@@ -72,4 +73,4 @@ def test_candidates_of_a_dense_group(spark, monkeypatch, block):
     i, j = np.nonzero(np.triu(share & (np.bitwise_count(diff).sum(axis=2) <= 40), 1))
     assert len(i) > 10_000
     assert (found(edges, 1500) == roots(1500, np.stack([i, j], axis=1))).all()
-    assert edges.count() < 6 * 1500
+    assert edges.count() < 4 * 1500
