@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import dialect
 from riskweave.operators import builtin_rules, detect, parse
-from riskweave.sources import catalog
+from riskweave.sources import catalog, tables
 
 
 def any_glob(file: Column, globs: list[str]) -> Column:
@@ -98,7 +98,7 @@ def match_signal(s: DataFrame, signals: DataFrame, rules: DataFrame) -> DataFram
     return first.join(s.select("diff_id", "effective", "mostly_new"), "diff_id").where(eligible(s, some)).select("diff_id", "load_order", "matched_file")
 
 
-def match_code(s: DataFrame, signals: DataFrame | None, rules: list[builtin_rules.Rule] | None = None, semantics: str = "compat", first_order: int = 0) -> DataFrame:
+def match_code(s: DataFrame, signals: DataFrame | None, rules: list[builtin_rules.Rule] | None = None, semantics: str = "compat", orders: list[int] | None = None) -> DataFrame:
     """Rules in code: one projection gives an array of (load_order, file), of which the matches are exploded."""
     rules = builtin_rules.ALL if rules is None else rules
     if signals is not None:
@@ -108,42 +108,80 @@ def match_code(s: DataFrame, signals: DataFrame | None, rules: list[builtin_rule
     hits = []
     for i, r in enumerate(rules):
         run = scheduled(r.language, "**", r.rule_type, F.col("effective"), F.col("mostly_new"))
-        hits.append(F.struct(F.lit(first_order + i).alias("load_order"), F.when(run, builtin_rules.column(r, c)).alias("matched_file")))
+        hits.append(F.struct(F.lit(orders[i] if orders else i).alias("load_order"), F.when(run, builtin_rules.column(r, c)).alias("matched_file")))
     return s.select("diff_id", F.explode(F.array(*hits)).alias("x")).where("x.matched_file is not null").select("diff_id", "x.load_order", "x.matched_file")
 
 
+def governed(rows: list[tuple], experimental: bool = True) -> list[tuple]:
+    """Rule rows that may run: enabled and not disabled, experimental ones if asked for; a deprecated rule's severity is low and doesn't block."""
+    names = [c.split()[0] for c in catalog.SCHEMA.split(", ")]
+    out = []
+    for r in rule_table(rows):
+        if not r["enabled"] or r["status"] == "disabled" or (r["status"] == "experimental" and not experimental):
+            continue
+        if r["status"] == "deprecated":
+            r |= {"severity": "low", "is_blocking": False}
+        out.append(tuple(r[n] for n in names))
+    return out
+
+
 class Engine:
-    """The audit of a table of diffs: audit(diffs) gives findings, decisions(findings) a row a diff."""
+    """The audit of a table of diffs: audit(diffs) gives findings, decisions(findings, diffs) a row a diff.
+
+    ignores: (rule glob, file globs or none) whose findings are dropped. quality: a table (rule_id, hits, precision, one row a rule) by which
+    rules are tuned: disabled ones don't run, degraded ones lose a step of severity. versions: {rule_id: (version in use or none,
+    introduced, fixed)} of rules for packages: such a rule runs only if the version is known and affected."""
 
-    def __init__(self, spark, rows: list[tuple] | None = None, skip_paths: list[str] | None = None, semantics: str = "compat") -> None:
-        self.spark, self.rows, self.skip, self.semantics = spark, catalog.rows() if rows is None else rows, skip_paths, semantics
+    def __init__(self, spark, rows: list[tuple] | None = None, skip_paths: list[str] | None = None, semantics: str = "compat", ignores: list[tuple[str, list[str]]] | None = None, quality: DataFrame | None = None, versions: dict[str, tuple[str | None, list[str], list[str]]] | None = None, experimental: bool = True) -> None:
+        self.spark, self.skip, self.semantics, self.ignores, self.quality = spark, skip_paths, semantics, ignores or [], quality
+        self.rows = governed(catalog.rows() if rows is None else rows, experimental)
+        if versions:
+            self.rows = [r for r in self.rows if r[1] not in versions or self._affected(*versions[r[1]])]
         self.rules = compiled(spark, self.rows)
 
+    def _affected(self, version: str | None, introduced: list[str], fixed: list[str]) -> bool:
+        if version is None:
+            return False
+        row = self.spark.createDataFrame([(version, introduced, fixed)], "v string, i array<string>, f array<string>")
+        return row.select(version_affected(F.col("v"), F.col("i"), F.col("f"))).first()[0]
+
     def audit(self, diffs: DataFrame) -> DataFrame:
         """(diff_id, load_order, rule_id, severity, impact, rationale, matched_file, is_blocking, experimental): one row a diff and rule."""
-        s = effective(parse.summaries(diffs), self.skip)
+        # every strategy reads what diffs are like, so they are parsed once
+        s = tables.written(effective(parse.summaries(diffs), self.skip), "summaries")
         sig = detect.signals(diffs)
         code = {r.rule_id: r for r in builtin_rules.ALL}
         parts = [match_regex(s, self.rules), match_file(s, self.rules), match_signal(s, sig, self.rules)]
-        own = [x for x in rule_table(self.rows) if x["source"] == "code" and x["rule_id"] in code]
+        own = {x["rule_id"]: x["load_order"] for x in rule_table(self.rows) if x["source"] == "code" and x["rule_id"] in code}
         if own:
-            parts.append(match_code(s, sig, [code[x["rule_id"]] for x in own], self.semantics, own[0]["load_order"]))
+            parts.append(match_code(s, sig, [code[x] for x in own], self.semantics, list(own.values())))
         hits = parts[0]
         for p in parts[1:]:
             hits = hits.unionByName(p)
-        rules = self.rules.where("status <> 'disabled'").select("load_order", "rule_id", "severity", "impact", "rationale", "is_blocking", (F.col("status") == "experimental").alias("experimental"))
-        return hits.join(F.broadcast(rules), "load_order")
+        rules = self.rules.select("load_order", "rule_id", "severity", "impact", "rationale", "is_blocking", (F.col("status") == "experimental").alias("experimental"))
+        if self.quality is not None:
+            tuned = self.quality.select("rule_id", quality_status(F.col("hits"), F.col("precision")).alias("tuned"))
+            severity = F.when(F.col("tuned") == "degraded", downgraded(F.col("severity"))).otherwise(F.col("severity"))
+            rules = rules.join(tuned, "rule_id", "left").where("tuned is null or tuned <> 'disabled'").withColumn("severity", severity).drop("tuned")
+        found = hits.join(F.broadcast(rules), "load_order")
+        return ignored(found, self.ignores)[0] if self.ignores else found
+
 
+def decisions(findings: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    """(diff_id, review_level, suggested_action, n_findings, max_severity, reasons): blocking or critical findings ask for review.
 
-def decisions(findings: DataFrame) -> DataFrame:
-    """(diff_id, review_level, suggested_action, n_findings, max_severity, reasons): blocking or critical findings ask for review."""
+    With diffs, those without a finding get a row too: their level is normal."""
     score = dialect.severity_score(F.col("severity"))
     plain = ~F.col("experimental")
     reasons = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("load_order", "rule_id"))), lambda x: x.rule_id), ",")
     top = F.coalesce(F.max(F.when(plain, score)), F.lit(0))
     g = findings.groupBy("diff_id").agg(top.alias("top"), F.bool_or("is_blocking").alias("blocking"), F.count("*").alias("n_findings"), reasons.alias("reasons"))
     level = F.when(F.col("blocking") | (F.col("top") >= 3), "critical").otherwise("low")
-    return g.select("diff_id", level.alias("review_level"), F.when(level == "critical", "block_pr").otherwise("auto_merge").alias("suggested_action"), "n_findings", F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), F.col("top") + 1).alias("max_severity"), "reasons")
+    got = g.select("diff_id", level.alias("review_level"), F.when(level == "critical", "block_pr").otherwise("auto_merge").alias("suggested_action"), "n_findings", F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "critical"])), F.col("top") + 1).alias("max_severity"), "reasons")
+    if diffs is None:
+        return got
+    unfound = {"review_level": "normal", "suggested_action": "auto_merge", "n_findings": 0, "max_severity": "low", "reasons": ""}
+    return diffs.select("diff_id").join(got, "diff_id", "left").fillna(unfound)
 
 
 def impacts(findings: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators import parse
+from riskweave.sources import tables
 
 # Analyzable extensions and the words of the predicates.
 ANALYZABLE = (".java", ".py", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".js", ".jsx", ".ts", ".tsx")
@@ -92,6 +93,7 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
         F.transform(F.slice(F.filter(F.array(*map(F.lit, COMMANDS)), lambda w: F.array_contains(g2, F.concat(w, F.lit(" (")))), 1, 1), lambda w: one(pm("CALL"), "command_execution")),
         when(added & text.rlike("\\bstatic\\b.*\\b(?:" + "|".join(UNSAFE_COLLECTIONS) + ")\\b\\s*(?:<[^;=]*>)?\\s+\\w+\\s*[=;]"), one("FIELD_ADDED", "static_collection", "static_unsafe=true")),
         when(added & pool, one("OBJECT_CREATION", "ThreadPoolExecutor", "param_change=true")),
+        when(~added & pool, one("", "old pool")),
         when(added & text.rlike("\\bnew\\s+LinkedBlockingQueue\\s*(?:<[^>]*>)?\\s*\\(\\s*(?:Integer\\.MAX_VALUE)?\\s*\\)"), one("OBJECT_CREATION", "LinkedBlockingQueue", "unbounded=true")),
         when(added & text.rlike("\\bwhile\\s*\\(\\s*true\\s*\\)"), one("CALL_ADDED", "while_true")),
         when(~added & text.rlike("\\btry\\s*\\("), one("CALL_REMOVED", "try_with_resources")),
@@ -107,6 +109,10 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
     ))
 
 
+#: Every change needs one of these in its line; lines without them, which are most, aren't turned into tokens.
+HINTS = "(?i)" + "|".join(sorted({w.lower().replace("_", "[_]") for w in [
+    *PAGINATION, *CRITICAL_CALLS, *SECRET_WORDS, *SQL_WORDS, *WEAK_CRYPTO, *COMMANDS, *EVICTIONS, "synchronized", "volatile", "final", "ConcurrentHashMap", "lock", "sleep", "static", "ThreadPool", "LinkedBlockingQueue", "while", "try",
+    "timeout", "equals", "null", "get", "atomic", "acquire", "await"]})) + "|=="
 TYPED = "\\b([A-Z]\\w*)(?:<[^;=()]*>)?\\s+([a-z]\\w*)\\s*[=;,]"
 
 
@@ -125,12 +131,14 @@ def type_downgrades(lines: DataFrame) -> DataFrame:
 
 
 def loop_removes(lines: DataFrame) -> DataFrame:
-    """(diff_id, grp, file, n, ignores): added lines of tokenised `lines` that call remove inside a loop.
+    """(diff_id, grp, file, n, ignores): added lines that call remove inside a loop.
 
     One scan over a side's tokens: a loop's word opens it, its body lasts to the matching brace, or without braces to the
-    next semicolon; loops that were opened outside the added lines aren't seen."""
+    next semicolon; loops that were opened outside the added lines aren't seen. Only sides with both words have tokens made."""
     keep = ["diff_id", "grp", "file"]
-    side = lines.where("side = 'added'").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("n", "t", "ignores"))).alias("x"))
+    side = lines.where("side = 'added'").groupBy(*keep).agg(F.array_sort(F.collect_list(F.struct("n", "text", "ignores"))).alias("x"))
+    side = side.where(F.exists("x", lambda r: r["text"].contains("remove")) & F.exists("x", lambda r: r["text"].rlike("\\b(?:for|while|do)\\b")))
+    side = side.withColumn("x", F.transform("x", lambda r: F.struct(r["n"].alias("n"), tokens(r["text"]).alias("t"), r["ignores"].alias("ignores"))))
     side = side.where(F.exists("x", lambda r: F.array_contains(r["t"], "remove")) & F.exists("x", lambda r: F.arrays_overlap(r["t"], F.array(F.lit("for"), F.lit("while"), F.lit("do")))))
     toks = F.flatten(F.transform("x", lambda r: F.transform(r["t"], lambda w, i: F.struct(r["n"].alias("n"), w.alias("w"), (F.get(r["t"], i + 1) == "(").alias("call"), F.coalesce(F.get(r["t"], i - 1) == "new", F.lit(False)).alias("new")))))
     none = F.array().cast("array<int>")
@@ -154,17 +162,19 @@ def loop_removes(lines: DataFrame) -> DataFrame:
 
 def changes(diffs: DataFrame) -> DataFrame:
     """Distinct (diff_id, seq, file, kind, symbol, meta, ignores); seq orders them as they were found."""
-    lines = inline_ignores(side_lines(diffs))
+    # four branches read the lines and two what is found in them, so each is made once
+    lines = tables.written(inline_ignores(side_lines(diffs)).where("text <> ''"), "side-lines")
     made = token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])
-    split = tokenised(lines.where("text <> ''"))
-    found = split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c"))
+    split = tokenised(lines.where(F.col("text").rlike(HINTS)))
+    found = tables.written(split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c")), "line-changes")
     rows = found.select("diff_id", "grp", "file", ((F.col("side") == "removed").cast("int") * -1_000_000 + F.col("n") * 100 + F.col("k") + 2_000_000).alias("at"), "c.kind", "c.symbol", "c.meta", "ignores")
     down = type_downgrades(lines).select("diff_id", "grp", "file", F.lit(4_000_000).alias("at"), F.lit("TYPE_CHANGED").alias("kind"), F.col("var").alias("symbol"), F.concat(F.lit("downgrade=true;from="), "old", F.lit(";to="), "new").alias("meta"), F.array().cast("array<string>").alias("ignores"))
     both = found.groupBy("diff_id", "grp", "file").agg(
-        F.bool_or((F.col("side") == "removed") & (F.col("c.symbol") == "equals")).alias("eq"), F.bool_or((F.col("side") == "added") & (F.col("c.symbol") == "==")).alias("ref"))
+        F.bool_or((F.col("side") == "removed") & (F.col("c.symbol") == "equals")).alias("eq"), F.bool_or(F.col("c.symbol") == "old pool").alias("old_pool"), F.bool_or(F.col("c.symbol") == "ThreadPoolExecutor").alias("new_pool"), F.bool_or((F.col("side") == "added") & (F.col("c.symbol") == "==")).alias("ref"))
     refs = both.where("eq and ref").select("diff_id", "grp", "file", F.lit(5_000_000).alias("at"), F.lit("UNKNOWN").alias("kind"), F.lit("equals_to_ref").alias("symbol"), F.lit("").alias("meta"), F.array().cast("array<string>").alias("ignores"))
-    loops = loop_removes(split).select("diff_id", "grp", "file", (F.col("n") * 100 + 2_000_099).alias("at"), F.lit("CALL_ADDED").alias("kind"), F.lit("remove").alias("symbol"), F.lit("in_loop=true").alias("meta"), "ignores")
-    every = rows.where("symbol not in ('equals', '==')").unionByName(down).unionByName(refs).unionByName(loops)
+    pools = both.where("old_pool and new_pool").select("diff_id", "grp", "file", F.lit(6_000_000).alias("at"), F.lit("UNKNOWN").alias("kind"), F.lit("ThreadPoolExecutor").alias("symbol"), F.lit("param_change=true").alias("meta"), F.array().cast("array<string>").alias("ignores"))
+    loops = loop_removes(lines).select("diff_id", "grp", "file", (F.col("n") * 100 + 2_000_099).alias("at"), F.lit("CALL_ADDED").alias("kind"), F.lit("remove").alias("symbol"), F.lit("in_loop=true").alias("meta"), "ignores")
+    every = rows.where("symbol not in ('equals', '==', 'old pool')").unionByName(down).unionByName(refs).unionByName(pools).unionByName(loops)
     return every.groupBy("diff_id", "file", "kind", "symbol", "meta").agg(F.min(F.struct("grp", "at", "ignores")).alias("x")).select("diff_id", (F.col("x.grp") * 10_000_000 + F.col("x.at")).alias("seq"), "file", "kind", "symbol", "meta", "x.ignores")
 
 

@@ -89,6 +89,6 @@ R.add("adapter_pattern_counts", adapter_pattern_counts, " UNION ALL ".join("SELE
 
 # --- streams: an extension; each query runs over the files that are there and ends -------------------------------------
 R.add("stream_quality", streams.quality, f"SELECT {sql_pick(streams.RULE_IDS, 'user_id')} AS rule_id, count(*) AS runs, count(*) FILTER (event_type <> 'view') AS hits FROM events GROUP BY 1")
-R.add("stream_window_findings", streams.windows)
+R.add("stream_window_findings", streams.windows, "SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 R.add("stream_dedupe", streams.dedupe)
 R.add("stream_diffs", streams.diffs)

@@ -203,4 +203,4 @@ R.add("suppress_inline", lambda s, d: detect.signals(D(s, d)).groupBy("signal_id
 R.add("signals_by_file", lambda s, d: detect.signals(D(s, d)).groupBy("diff_id", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "signal_id"))), lambda x: x.signal_id), ",").alias("signals")))
 R.add("match_signal", lambda s, d: audit.match_signal(_effective(s, d), detect.signals(D(s, d)), audit.compiled(s, catalog.rows())))
 R.add("audit_findings", lambda s, d: audit.Engine(s).audit(D(s, d)).select("diff_id", "rule_id", "severity", "matched_file"))
-R.add("audit_decisions", lambda s, d: audit.decisions(audit.Engine(s).audit(D(s, d))).select("diff_id", "review_level", "suggested_action", "n_findings", "max_severity"))
+R.add("audit_decisions", lambda s, d: audit.decisions(audit.Engine(s).audit(D(s, d)), D(s, d)).select("diff_id", "review_level", "suggested_action", "n_findings", "max_severity"))

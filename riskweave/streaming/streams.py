@@ -4,24 +4,18 @@ The result of a stream is a table in the shared folder (spark.checkpoint.dir), w
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.plans.base import RULE_IDS
-from riskweave.sources import corpus
+from riskweave.sources import corpus, tables
 from riskweave.sources.corpus import pick
 
 
 def folder(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = f"{tempfile.gettempdir()}/riskweave-{spark.sparkContext.applicationId}"
-    return f"{found.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    return f"{tables.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -50,9 +44,9 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tumbling daily counts with a watermark for late rows."""
-    e = source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
-    return finished(e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))).select(F.col("w.start").cast("date").alias("day"), "event_type", "n")
+    """Tumbling daily counts. Complete output: with append the windows that the watermark hasn't passed would be missing at the stream's end."""
+    e = source(spark, f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return finished(e.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")), "complete").select(F.col("w.start").cast("date").cast("string").alias("day"), "event_type", "n")
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:

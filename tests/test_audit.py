@@ -138,3 +138,39 @@ def test_remove_inside_a_loop(spark):
     assert got == {"lines", "one", "bare", "do"}
     calls = {(r.kind, r.symbol) for r in detect.changes(diffs).where("diff_id = 'calls'").collect()}
     assert {("CALL_ADDED", "acquire"), ("CALL_REMOVED", "await")} <= calls
+
+
+def test_governance(spark):
+    """enabled, status, ignores, quality and versions decide which rules run and how severe they are."""
+    rule = lambda i, **k: catalog.normalized({"id": i, "match": "needle", "severity": "critical", **k}, int(i[1:]), "rows")
+    rows = [rule("r0"), rule("r1", enabled=False), rule("r2", status="disabled"), rule("r3", status="deprecated"), rule("r4", status="experimental"), rule("r5"), rule("r6"), rule("r7"), rule("r8"), rule("r9")]
+    diffs = spark.createDataFrame([(1, patch("src/A.java", "+needle")), (2, patch("src/B.java", "+hay"))], "diff_id long, raw_diff string")
+    quality = spark.createDataFrame([("r6", 100, 0.1), ("r7", 100, 0.4), ("r0", 5, 0.0)], "rule_id string, hits int, precision double")
+    versions = {"r8": ("1.2.0", ["1.0.0"], ["1.2.0"]), "r9": ("1.1.9", ["1.0.0"], ["1.2.0"]), "r0": ("0.1", [], [])}
+    engine = audit.Engine(spark, rows, ignores=[("r5", ["**/*.java"])], quality=quality, versions=versions)
+    found = engine.audit(diffs)
+    got = {r.rule_id: (r.severity, r.is_blocking, r.experimental) for r in found.collect()}
+    assert got == {"r0": ("critical", True, False), "r3": ("low", False, False), "r4": ("critical", True, True), "r7": ("high", True, False), "r9": ("critical", True, False)}
+    assert "r4" not in {r.rule_id for r in audit.Engine(spark, rows, experimental=False).audit(diffs).collect()}
+    d = {r.diff_id: r for r in audit.decisions(found, diffs).collect()}
+    assert (d[1].review_level, d[1].n_findings) == ("critical", 5)
+    assert (d[2].review_level, d[2].suggested_action, d[2].n_findings, d[2].reasons) == ("normal", "auto_merge", 0, "")
+
+
+def test_lines_without_a_hint_have_no_changes(spark):
+    """A line is only looked at closely if it holds one of HINTS; that must lose no change."""
+    samples = ["synchronized (a) {", "volatile int x;", "final int y = 1;", "m = new ConcurrentHashMap<>();", "int pageNo = 1;", "a.lock();", "lock();", "Thread.sleep(5);", "x = encode(y);", 'String apiKey="k=1";', 'q = "SELECT a" + b;', "MessageDigest d;",
+               "exec(cmd);", "static HashMap<A, B> m = null;", "new ThreadPoolExecutor(1);", "new LinkedBlockingQueue<>();", "while (true) {", "try (A a = b()) {", "cache.evict(k);", "setTimeout(3);", "a.equals(b);", "a == b", "if (a == null) {",
+               "Executors.newFixedThreadPool(2);", "f.get();", "atomicX.set(1);", "s.acquire();", "l.await();"]
+    rows = [(side, x) for side in ("added", "removed") for x in samples]
+    lines = detect.tokenised(spark.createDataFrame(rows, "side string, text string"))
+    got = lines.select("side", "text", F.size(detect.token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])).alias("n"), F.col("text").rlike(detect.HINTS).alias("hint")).collect()
+    assert [r.text for r in got if r.n and not r.hint] == [] and len({r.text for r in got if r.n}) >= 24
+
+
+def test_pool_parameters_change(spark):
+    body = ["-pool = new ThreadPoolExecutor(1, 2, 3, s, q);", "+pool = new ThreadPoolExecutor(4, 8, 3, s, q);"]
+    diffs = spark.createDataFrame([(1, patch("src/A.java", *body)), (2, patch("src/A.java", body[1])), (3, patch("src/A.java", body[0]))], "diff_id long, raw_diff string")
+    got = {(r.diff_id, r.action) for r in detect.signals(diffs).where("signal_id = 'runtime.concurrency.threadpool_param_change'").collect()}
+    assert (1, "changed") in got and not {(2, "changed"), (3, "changed")} & got
+    assert "runtime.concurrency.threadpool_param_change" in {r.rule_id for r in audit.Engine(spark).audit(diffs).where("diff_id = 1").collect()}
