@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from riskweave.llm import common
 
+#: The key that `replaced` takes where none is given, for tests and the contract's query. Whoever knows a key can tell whether a guess was replaced.
 SECRET = "riskweave"
 #: Rounds of new attempts before giving up with an error.
 ROUNDS = 50
 
-EMAIL = r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?:[A-Za-z0-9\-]{1,63}+\.){1,10}[A-Za-z]{2,24}"
-NAMED = r"(?i:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-./+]{0,200}[0-9])[A-Za-z0-9_\-./+]{8,}+"
+EMAIL = r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9])[A-Za-z0-9.\-]*\.[A-Za-z]{2,24}"
+NAMED = r"(?i:api[_\-]?key|access[_\-]?key|secret|token|password|passwd|pwd)[\"']?\s{0,3}[=:]\s{0,3}[\"']?(?=[A-Za-z_\-./+]*+[0-9])[A-Za-z0-9_\-./+]{8,}+"
 CODE = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36}(?![0-9A-Za-z])|sk-[A-Za-z0-9\-_]{20,}+|eyJ[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]{10,}+\.[A-Za-z0-9_\-]++"
 IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 MALE, FEMALE = "Mr|Mister|Herr|Monsieur|Señor|Г-н|Господин", "Mrs|Ms|Miss|Frau|Madame|Señora|Г-жа|Госпожа"
@@ -68,11 +69,13 @@ def normal(k: Column, v: Column) -> Column:
 
 
 def _byte(digest: Column, i: Column) -> Column:
-    return F.conv(F.substr(digest, (i % 63) * 2 + 1, F.lit(4)), 16, 10).cast("int")
+    # a digest gives 63 numbers; beyond them a digest of it gives the next 63
+    more = F.when(i < 63, digest).otherwise(F.sha2(F.concat(digest, F.floor(i / 63).cast("string")), 512))
+    return F.conv(F.substr(more, (i % 63) * 2 + 1, F.lit(4)), 16, 10).cast("int")
 
 
-def _digest(k: Column, norm: Column, attempt: Column) -> Column:
-    return F.sha2(F.concat_ws("\x1f", F.lit(SECRET), k, attempt.cast("string"), norm), 512)
+def _digest(secret: str, k: Column, norm: Column, attempt: Column) -> Column:
+    return F.sha2(F.concat_ws("\x1f", F.lit(secret), k, attempt.cast("string"), norm), 512)
 
 
 def _at(alphabet: str, b: Column) -> Column:
@@ -114,8 +117,8 @@ def _digits(k: Column, norm: Column, digest: Column) -> Column:
     return F.when((k == "card") & (luhn(d, 1) == 0), checked).otherwise(F.array_join(made, ""))
 
 
-def domain_digest(norm: Column) -> Column:
-    return _digest(F.lit("domain"), F.substring_index(norm, "@", -1), F.lit(0))
+def domain_digest(secret: str, norm: Column) -> Column:
+    return _digest(secret, F.lit("domain"), F.substring_index(norm, "@", -1), F.lit(0))
 
 
 def surrogate(k: Column, norm: Column, dig: Column, host_dig: Column) -> Column:
@@ -163,16 +166,16 @@ def entities(docs: DataFrame) -> DataFrame:
     return found.select(F.col("x.k").alias("kind"), F.col("x.norm").alias("norm")).distinct()
 
 
-def _made(rows: DataFrame) -> DataFrame:
+def _made(rows: DataFrame, secret: str = SECRET) -> DataFrame:
     """rows(kind, norm, attempt) with made."""
     k, norm = F.col("kind"), F.col("norm")
-    step = F.transform(F.array(F.struct(_digest(k, norm, F.col("attempt")).alias("d"), domain_digest(norm).alias("h"))), lambda x: surrogate(k, norm, x.d, x.h))
+    step = F.transform(F.array(F.struct(_digest(secret, k, norm, F.col("attempt")).alias("d"), domain_digest(secret, norm).alias("h"))), lambda x: surrogate(k, norm, x.d, x.h))
     return rows.withColumn("made", F.element_at(step, 1))
 
 
-def attempts(found: DataFrame) -> DataFrame:
+def attempts(found: DataFrame, secret: str = SECRET) -> DataFrame:
     """(kind, norm, attempt) of the entities whose first surrogate collides."""
-    now = common.written(_made(found.select("kind", "norm", F.lit(0).alias("attempt"))), "entities")
+    now = common.written(_made(found.select("kind", "norm", F.lit(0).alias("attempt")), secret), "entities")
     for turn in range(ROUNDS):
         first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("x"), F.count("*").alias("n"))
         shared = now.join(first.where("n > 1").select("kind", "made", F.col("x.norm").alias("kept")), ["kind", "made"]).where("norm <> kept").select("kind", "norm")
@@ -181,29 +184,30 @@ def attempts(found: DataFrame) -> DataFrame:
         if bad.isEmpty():
             return now.where("attempt > 0").select("kind", "norm", "attempt")
         again = F.col("attempt") + F.coalesce("bad", F.lit(0))
-        now = common.written(_made(now.join(bad, ["kind", "norm"], "left").select("kind", "norm", again.alias("attempt"))), f"entities{turn}")
+        now = common.written(_made(now.join(bad, ["kind", "norm"], "left").select("kind", "norm", again.alias("attempt")), secret), f"entities{turn}")
     raise RuntimeError("some kind of entity has more members than surrogates")
 
 
-def _replaced(attempt) -> Column:
+def _replaced(secret: str, attempt) -> Column:
     """The text with every mention replaced; attempt gives the attempt of (kind, norm)."""
-    step = F.transform(parsed(mentions(F.col("text"))), lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), _digest(x.k, x.norm, attempt(x.k, x.norm)).alias("d"), domain_digest(x.norm).alias("h")))
+    step = F.transform(parsed(mentions(F.col("text"))), lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), _digest(secret, x.k, x.norm, attempt(x.k, x.norm)).alias("d"), domain_digest(secret, x.norm).alias("h")))
     step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), surrogate(x.k, x.norm, x.d, x.h).alias("made")))
     made = F.transform(step, lambda x: laid_out(x.m, x.k, x.v, x.made))
     whole = F.array_join(F.zip_with(F.split("text", MENTION), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(F.col("text").rlike(MENTION), whole).otherwise(F.col("text"))
 
 
-def replaced(docs: DataFrame) -> DataFrame:
-    """docs with surrogates in text."""
-    again = common.written(attempts(entities(docs)), "attempts")
+def replaced(docs: DataFrame, secret: str = SECRET) -> DataFrame:
+    """docs with surrogates in text, keyed by `secret`."""
+    again = common.written(attempts(entities(docs), secret), "attempts")
     if again.isEmpty():
-        return docs.withColumn("text", _replaced(lambda k, n: F.lit(0)))
+        return docs.withColumn("text", _replaced(secret, lambda k, n: F.lit(0)))
     # the texts that hold such an entity get the attempts of their own entities
-    own = docs.select(F.xxhash64("text").alias("rw_h"), F.md5("text").alias("rw_m"), F.explode(parsed(mentions(F.col("text")))).alias("x")).select("rw_h", "rw_m", F.col("x.k").alias("kind"), F.col("x.norm").alias("norm")).distinct()
-    maps = own.join(again, ["kind", "norm"]).groupBy("rw_h", "rw_m").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias("rw_again"))
-    both = docs.withColumns({"rw_h": F.xxhash64("text"), "rw_m": F.md5("text")}).join(maps, ["rw_h", "rw_m"], "left")
-    text = _replaced(lambda k, n: F.coalesce(F.element_at(F.col("rw_again"), F.concat_ws("\x1f", k, n)), F.lit(0)))
+    h, m, own_again = common.fresh(docs, "rw_h", "rw_m", "rw_again")
+    own = docs.select(F.xxhash64("text").alias(h), F.md5("text").alias(m), F.explode(parsed(mentions(F.col("text")))).alias("x")).select(h, m, F.col("x.k").alias("kind"), F.col("x.norm").alias("norm")).distinct()
+    maps = own.join(again, ["kind", "norm"]).groupBy(h, m).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias(own_again))
+    both = docs.withColumns({h: F.xxhash64("text"), m: F.md5("text")}).join(maps, [h, m], "left")
+    text = _replaced(secret, lambda k, n: F.coalesce(F.element_at(F.col(own_again), F.concat_ws("\x1f", k, n)), F.lit(0)))
     return both.withColumn("text", text).select(*docs.columns)
 
 

@@ -307,6 +307,17 @@ def test_pii(spark, docs, none):
     assert "Python" not in pii.replaced(df)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_pii_key_long_secrets_and_clashing_columns(spark):
+    secret = "".join("abcdefghijklmnopqrstuvwxyz"[i * 7 % 26] for i in range(300)) + "7"
+    texts = [f"token={secret}", "mail x@" + "a." * 30 + "example.org now", "Mr. John Smith"]
+    df = spark.createDataFrame([(i, t, i, "m") for i, t in enumerate(texts)], "doc_id long, text string, rw_h int, rw_again string")
+    got, other = ({r.doc_id: r for r in pii.replaced(df, key).collect()} for key in ("one", "two"))
+    made = got[0].text.removeprefix("token=")
+    assert len(made) == 301 and made[:63] != made[63:126] and not any(made[i : i + 30] == made[i + 63 : i + 93] for i in range(150))
+    assert "x@a.a" not in got[1].text and got[1].text.endswith(" now")
+    assert all(got[i].text != other[i].text for i in range(3)) and [(got[i].rw_h, got[i].rw_again) for i in range(3)] == [(i, "m") for i in range(3)]
+
+
 def test_pii_collisions(spark):
     # so many three-digit-like octets of one kind that first surrogates collide
     ents = spark.createDataFrame([("male", f"{a}{b}") for a in "abcdefghij" for b in "abcdefghijklmnop"], "kind string, norm string")
@@ -317,6 +328,17 @@ def test_pii_collisions(spark):
     assert len(set(made)) == len(made) and not set(made) & {r.norm for r in ents.collect()}
 
 
+def test_clashing_columns(spark, docs, labels):
+    """Columns named like an operator's own are replaced where it adds them, and kept where it adds none."""
+    odd = lambda *names: docs.withColumns({n: F.lit("mine") for n in names})
+    assert byte_bpe.round_trip(odd("bpe_ids", "bpe_exact")).where("bpe_exact").count() == docs.count()
+    assert byte_bpe.decode(byte_bpe.encode(odd("bpe_ids", "bpe_bytes"))).where("bpe_bytes = cast(coalesce(text, '') as binary)").count() == docs.count()
+    assert quality.scored(odd("quality_score"), quality.fit(docs, labels)).where("quality_score between 0 and 1").count() == docs.count()
+    assert media.tensors(media.with_media(odd("media", "width", "rgb"))).where("width > 0 and doc_id = 1").count() == 2
+    mixed = mixing.mixed(odd("rw_size", "rw_times", "rw_source", "size"))
+    assert {(r.rw_size, r.rw_times, r.rw_source, r.size) for r in mixed.collect()} == {("mine",) * 4}
+
+
 # --- 7, 8 -------------------------------------------------------------------------------------------------------------
 def test_bpe(docs, none):
     import base64
