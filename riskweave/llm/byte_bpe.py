@@ -87,7 +87,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
             ids = [c.encode(t) for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "bpe_ids"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
@@ -102,7 +102,7 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
             raw = [c.decode(i or []) for i in batch.column(batch.schema.get_field_index("bpe_ids")).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*names, "bpe_bytes"])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(common.lean(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -119,7 +119,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
             exact = [c.decode(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())], [*names, "bpe_ids", "bpe_exact"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -138,7 +138,7 @@ def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None
                 b.append(hashlib.sha256(c.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _ints():

@@ -119,7 +119,7 @@ def fingerprints(docs: DataFrame, k: int = 3, words64: int = 1, distinct: bool =
                 names.append("digest")
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.lean(run), schema)
 
 
 def digest(h: np.ndarray) -> bytes:
@@ -145,7 +145,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
     ids = nodes.select("id")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    made = texts.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi").mapInArrow(run, "id long, digest binary, n_shingles int, hashes binary")
+    made = texts.join(F.broadcast(ids) if ids.count() <= PICKED else ids, "id", "left_semi").mapInArrow(common.lean(run), "id long, digest binary, n_shingles int, hashes binary")
     # rows may be repeated, and other texts may have the same doc_id
     made = made.groupBy("id", "digest").agg(F.min("n_shingles").alias("n_shingles"), F.min("hashes").alias("hashes"))
     return made.join(nodes.select("id", "digest", "fp"), ["id", "digest"]).select("id", "digest", "fp", "n_shingles", "hashes")
@@ -376,7 +376,7 @@ def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes:
         if held is not None:
             yield some(held)
 
-    return blocks.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, d int")
+    return blocks.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(common.lean(run), "a long, b long, d int")
 
 
 def link_components(docs: DataFrame, k: int = 3, max_distance: int = 2) -> DataFrame:
@@ -418,7 +418,7 @@ def verified(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     both = edges.select("a", "b").join(left, "a").join(right, "b")
     # the similarity is at most the ratio of the sizes
     both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-6)
-    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sa", "sb", "na", "nb").mapInArrow(common.lean(run), "a long, b long")
 
 
 def joined(ids: np.ndarray, fps: np.ndarray, part: np.ndarray, side: np.ndarray, sets: list, sizes: np.ndarray, least: float, most: int) -> list[tuple[int, int]]:
@@ -480,7 +480,7 @@ def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, mo
         if held:
             yield out()
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(common.lean(run), "a long, b long")
 
 
 def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:

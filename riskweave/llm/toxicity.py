@@ -190,7 +190,7 @@ def _counts(docs: DataFrame) -> DataFrame:
 
     full = F.bit_count("bits")
     uses = F.when(full >= 60, F.col("n")).otherwise(F.least(F.col("n"), -64 * F.log(1 - F.least(full, F.lit(60)) / 64)))
-    got = docs.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "word string, y int, n long, bits long")
+    got = docs.select("text", F.col("y").cast("int").alias("y")).mapInArrow(common.lean(run), "word string, y int, n long, bits long")
     got = got.groupBy("word", "y").agg(F.sum("n").alias("n"), F.bit_or("bits").alias("bits")).withColumn("uses", uses)
     return got.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("uses")).otherwise(0.0)).alias("t"), F.sum(F.when(F.col("y") == 0, F.col("uses")).otherwise(0.0)).alias("c"))
 
@@ -259,7 +259,7 @@ def _background(docs: DataFrame, known: dict) -> dict[str, int]:
                         seen[got] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    return {r["word"]: r["n"] for r in docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    return {r["word"]: r["n"] for r in docs.select("text").mapInArrow(common.lean(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
@@ -301,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> Model:
 
     # at most 2 * SAMPLE rows; of a text's segments those that could be significant for any K in use, and the best
     scores = F.expr(f"filter(scores, x -> x = array_max(scores) or {m.lam} * x >= ln(n) - 12 - ln({MOST_EXPECTED}))")
-    got = own.where("part = 2").select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "y int, scores array<double>, n long").select("y", scores.alias("scores"), "n").collect()
+    got = own.where("part = 2").select("text", F.col("y").cast("int").alias("y")).mapInArrow(common.lean(run), "y int, scores array<double>, n long").select("y", scores.alias("scores"), "n").collect()
     # the mean of a Gumbel law: lambda S - ln n has the mean ln K + Euler's constant; clean texts without any hit fall below all chance
     calm = [m.lam * max(r["scores"], default=0.0) - math.log(r["n"]) for r in got if r["y"] == 0 and r["n"]]
     m.log_k = max(-12.0, min(0.0, (sum(calm) / len(calm) if calm else 0.0) - 0.5772156649))
@@ -362,7 +362,7 @@ def scored(docs: DataFrame, m: Model) -> DataFrame:
             parts = [[dict(zip(("start", "end", "score", "expected"), p, strict=True)) for p in passages(f, n, m)] for f, n in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([probability(f, n, m) for f, n in found], pa.float64()), pa.array(parts, kind)], [*names, "toxic_score", "toxic_passages"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
@@ -373,7 +373,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, train=None) -> DataFrame:
         for batch in common.slices(batches, "text"):
             yield batch.filter(pa.array([probability(*scan(t, m), m) < THRESHOLD for t in common.texts(batch)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.lean(run), docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
