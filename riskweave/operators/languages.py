@@ -60,7 +60,7 @@ def pattern_counts(text: Column) -> Column:
 
 
 def python_nodes(files: DataFrame) -> DataFrame:
-    """(file, node, name, line) of files(file, text) by the ast module; a file that doesn't parse has no nodes."""
+    """(file, node, name, line) of files(file, text) by the ast module; a file that doesn't parse, or is nested too deeply to, has no nodes."""
     import ast
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def python_nodes(files: DataFrame) -> DataFrame:
             for name, text in zip(frame["file"], frame["text"], strict=True):
                 try:
                     tree = ast.parse(text or "")
-                except (SyntaxError, ValueError):
+                except (SyntaxError, ValueError, RecursionError, MemoryError):  # the last two: nested too deeply
                     continue
                 for n in ast.walk(tree):
                     if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):

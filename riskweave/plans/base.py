@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskweave.operators import parse
 from riskweave.sources import corpus
 from riskweave.sources.corpus import _sql_pick as sql_pick
-from riskweave.sources.corpus import pick, table
+from riskweave.sources.corpus import RULE_IDS, pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,10 +27,6 @@ class Registry:
 
 
 # --- findings derived from orders -------------------------------------------------------------------------------------
-RULE_IDS = [
-    "security.hardcoded_secret", "runtime.concurrency.lock_removed", "api.public_method_removed", "exception.swallowed", "null.return_ignored", "collection.raw_type", "resource.closeable_leak", "absolute.security.http_url",
-    "python.security.code_injection", "cpp.resource.leak", "go.runtime.panic_added", "javascript.security.xss",
-]
 SEVERITY_OF = ["critical", "high", "critical", "high", "low", "medium", "high", "high", "high", "high", "medium", "high"]
 IMPACT_OF = ["security", "runtime", "runtime", "maintenance", "runtime", "maintenance", "runtime", "security", "security", "runtime", "runtime", "security"]
 FILES = ["src/service/A.java", "src/dto/B.java", "lib/c.py", "app/d.js", "core/e.go", "test/f_test.py", "docs/g.md", "native/h.cpp"]

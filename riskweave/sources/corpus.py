@@ -76,6 +76,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rule ids that derived findings and runs take.
+RULE_IDS = [
+    "security.hardcoded_secret", "runtime.concurrency.lock_removed", "api.public_method_removed", "exception.swallowed", "null.return_ignored", "collection.raw_type", "resource.closeable_leak", "absolute.security.http_url",
+    "python.security.code_injection", "cpp.resource.leak", "go.runtime.panic_added", "javascript.security.xss",
+]
+
+
 def pick(values: list[str], index: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (index % len(values) + 1).cast("int"))
 

@@ -9,9 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.plans.base import RULE_IDS
 from riskweave.sources import corpus, tables
-from riskweave.sources.corpus import pick
+from riskweave.sources.corpus import RULE_IDS, pick
 
 
 def folder(spark: SparkSession) -> str:
