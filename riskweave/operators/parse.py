@@ -25,9 +25,11 @@ def is_json(raw: Column) -> Column:
 
 
 def explode_lines(diffs: DataFrame) -> DataFrame:
-    """(diff_id, pos, line); texts that are JSON have none."""
-    rows = diffs.where(~is_json(F.col("raw_diff"))).select("diff_id", F.posexplode(F.split("raw_diff", NEWLINE, -1)).alias("pos", "line"), F.size(F.split("raw_diff", NEWLINE, -1)).alias("n"))
-    return rows.where("pos < n - 1 or line <> ''").drop("n")
+    """(diff_id, pos, line); texts that are JSON have none.
+
+    The text is split once: what a last newline leaves behind goes before the split, so that no row of a line needs the whole text."""
+    rows = diffs.where(~is_json(F.col("raw_diff")) & (F.col("raw_diff") != ""))
+    return rows.select("diff_id", F.posexplode(F.split(F.regexp_replace("raw_diff", f"(?:{NEWLINE})\\z", ""), NEWLINE, -1)).alias("pos", "line"))
 
 
 def _path(line: Column, marker: str) -> Column:

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +176,23 @@ def test_pool_parameters_change(spark):
     got = {(r.diff_id, r.action) for r in detect.signals(diffs).where("signal_id = 'runtime.concurrency.threadpool_param_change'").collect()}
     assert (1, "changed") in got and not {(2, "changed"), (3, "changed")} & got
     assert "runtime.concurrency.threadpool_param_change" in {r.rule_id for r in audit.Engine(spark).audit(diffs).where("diff_id = 1").collect()}
+
+
+@pytest.mark.parametrize(("text", "want"), [("", []), ("\n", [""]), ("a\n\n", ["a", ""]), ("a\r\nb\r\n", ["a", "b"]), ("x ", ["x"]), ("{}", [])])
+def test_lines_of_a_text(spark, text, want):
+    got = parse.explode_lines(spark.createDataFrame([(1, text)], "diff_id long, raw_diff string")).orderBy("pos").collect()
+    assert [r.line for r in got] == want
+
+
+def test_lines_are_made_in_linear_time(spark):
+    """Eight times the lines, far less than 64 times the seconds: no line's row needs the whole text."""
+    took = []
+    for n in (25_000, 200_000):
+        d = spark.createDataFrame([(1, "".join(f"+int a{i} = {i};\n" for i in range(n)))], "diff_id long, raw_diff string")
+        best = 1e9
+        for _ in range(2):
+            began = time.time()
+            assert parse.explode_lines(d).agg(F.count("line")).first()[0] == n
+            best = min(best, time.time() - began)
+        took.append(best)
+    assert took[1] < 24 * took[0]
