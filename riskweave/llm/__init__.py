@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["simhash", "toxicity", "quality", "embeddings", "lattice_lm", "pii", "byte_bpe", "token_counts", "media", "mixing", "trie", "whitening"]
+MODULES = ["simhash", "toxicity", "quality", "embeddings", "lattice_lm", "pii", "byte_bpe", "token_counts", "media", "mixing", "trie", "whitening", "repeats"]
 
 
 def queries() -> dict:
