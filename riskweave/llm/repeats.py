@@ -15,6 +15,7 @@ whole in every copy; rows that repeat a doc_id, or have none, are documents of t
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +31,14 @@ ANCHOR = 32
 #: Different contents of a key beyond which it's cut.
 MOST = 2048
 #: Bytes that a shard is planned for; it may hold any number.
-SHARD = 4 << 20
+SHARD = 2 << 20
+#: Bytes of an array of a shard beyond which it lies in a file.
+MEMORY = 24 << 20
 #: Bytes of text that are worked on at once; longer texts are read in overlapping pieces.
 UNIT = 1 << 20
 
 Batches = Iterator[pa.RecordBatch]
-TEXT = ["k1", "k2"]
-PIECE = "k1 long, k2 long, copies long, start long, n int, key long, content binary, inside boolean, anchor long"
-
-
-def named() -> tuple[Column, Column]:
-    """A text's name: two hashes of its bytes."""
-    return F.xxhash64("bytes").alias("k1"), F.xxhash64(F.lit("second"), "bytes").alias("k2")
+PIECE = "t long, start long, n int, key long, content long, inside boolean, anchor long"
 
 
 def _bytes() -> Column:
@@ -101,13 +98,13 @@ def _units(batch: pa.RecordBatch, length: int) -> Iterator[list[tuple[int, int,
 
 
 def pieces(texts: DataFrame, length: int) -> DataFrame:
-    """The pieces of texts(k1, k2, copies, bytes)."""
+    """The pieces of texts(t, bytes). Two contents are equal if they agree in key and in another hash of 64 bits."""
     width = length - ANCHOR + 1
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
             for batch in common.slices(iter([whole]), "bytes"):
-                names = [np.asarray(batch.column(batch.schema.get_field_index(c))).astype(np.int64) for c in (*TEXT, "copies")]
+                t = np.asarray(batch.column(batch.schema.get_field_index("t"))).astype(np.int64)
                 for unit in _units(batch, length):
                     joined = b"".join(x[2] for x in unit)
                     size = np.array([len(x[2]) for x in unit])
@@ -120,22 +117,22 @@ def pieces(texts: DataFrame, length: int) -> DataFrame:
                     rows = np.array([x[0] for x in unit])[of]
                     offset = np.array([x[1] for x in unit], np.int64)[of] + first - begin[of]
                     last = first + n - 1
-                    content = [xxhash.xxh3_128_digest(joined[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
+                    content = [xxhash.xxh3_64_intdigest(joined[a : z + length]) for a, z in zip(first.tolist(), last.tolist(), strict=True)]
                     # the key's string twice: once inside windows before the last, or twice in the last
                     inside = [own[i] + np.count_nonzero(h[z : z + width] == key[i]) > 1 for i, z in enumerate(last.tolist())]
                     yield pa.RecordBatch.from_arrays([
-                        *(pa.array(x[rows]) for x in names), pa.array(offset), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(content, pa.binary()), pa.array(inside, pa.bool_()), pa.nulls(len(n), pa.int64()),
+                        pa.array(t[rows]), pa.array(offset), pa.array(n.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.array(content, np.uint64).view(np.int64)), pa.array(inside, pa.bool_()), pa.nulls(len(n), pa.int64()),
                     ], [x.split()[0] for x in PIECE.split(", ")])
 
-    return texts.select(*TEXT, "copies", "bytes").mapInArrow(common.lean(run), PIECE)
+    return texts.select("t", "bytes").mapInArrow(common.lean(run), PIECE)
 
 
 def halved(texts: DataFrame, hot: DataFrame, length: int, step: int) -> DataFrame:
     """The hot pieces, each window by its first anchor: those whose distances to it are in one of 2^step ranges make a piece, named by the bytes they share."""
     width = length - ANCHOR + 1
     span = max(1, (1 << (width - 1).bit_length()) >> step)
-    grouped = hot.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "n", "key", "anchor")).alias("x"))
-    rows = grouped.join(texts, TEXT).select(*TEXT, "copies", "x", "bytes")
+    grouped = hot.groupBy("t").agg(F.collect_list(F.struct("start", "n", "key", "anchor")).alias("x"))
+    rows = grouped.join(texts, "t").select("t", "x", "bytes")
 
     def cut(raw: memoryview, start: int, n: int, key: int, anchor: int | None) -> Iterator[tuple]:
         if anchor is None:  # the first step finds the anchors
@@ -153,56 +150,56 @@ def halved(texts: DataFrame, hot: DataFrame, length: int, step: int) -> DataFram
             first, last = int(windows[i]), int(windows[j - 1])
             # a piece of one anchor holds no window twice unless the anchor's bytes come again
             again = np.count_nonzero(_hashes(np.frombuffer(raw[first : last + length], np.uint8)).view(np.int64) == _hashes(np.frombuffer(raw[p : p + ANCHOR], np.uint8)).view(np.int64)[0]) > 1
-            yield first, j - i, xxhash.xxh3_64_intdigest(core, step) - (1 << 63), xxhash.xxh3_128_digest(raw[first : last + length]), bool(again and j - i > 1), p
+            yield first, j - i, xxhash.xxh3_64_intdigest(core, step) - (1 << 63), xxhash.xxh3_64_intdigest(raw[first : last + length]) - (1 << 63), bool(again and j - i > 1), p
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for i in range(batch.num_rows):
-                k1, k2, copies, x = (batch.column(c)[i].as_py() for c in range(4))
-                raw = memoryview(batch.column(4)[i].as_buffer())
+                t, x = (batch.column(c)[i].as_py() for c in range(2))
+                raw = memoryview(batch.column(2)[i].as_buffer())
                 found = [c for q in x for c in cut(raw, q["start"], q["n"], q["key"], q["anchor"])]
                 for at in range(0, len(found), 4096):
                     some = found[at : at + 4096]
-                    yield pa.RecordBatch.from_pylist([{"k1": k1, "k2": k2, "copies": copies} | dict(zip(("start", "n", "key", "content", "inside", "anchor"), c, strict=True)) for c in some], schema=_arrow())
+                    yield pa.RecordBatch.from_pylist([{"t": t} | dict(zip(("start", "n", "key", "content", "inside", "anchor"), c, strict=True)) for c in some], schema=_arrow())
 
     return rows.mapInArrow(common.lean(run), PIECE)
 
 
 def _arrow() -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in PIECE.split(", ")])
 
 
-def sharded(texts: DataFrame, live: DataFrame, length: int, memory: int = 4 << 20) -> DataFrame:
-    """(k1, k2, start, n): repeated windows of live(key, single, k1, k2, start, n), one row a content; only contents that occur once are reported."""
+def sharded(texts: DataFrame, live: DataFrame, length: int, memory: int = MEMORY) -> DataFrame:
+    """(t, start, n): repeated windows of live(key, single, t, start, n), one row a content; only contents that occur once are reported."""
     size = live.agg(F.sum(F.col("n") + F.lit(length - 1))).first()[0] or 0
-    grouped = live.groupBy(*TEXT).agg(F.collect_list(F.struct("start", "n", "key", "single")).alias("x"))
-    rows = grouped.join(texts, TEXT).select(*TEXT, "x", "bytes")
+    grouped = live.groupBy("t").agg(F.collect_list(F.struct("start", "n", "key", "single")).alias("x"))
+    rows = grouped.join(texts, "t").select("t", "x", "bytes")
 
     def take(batches: Batches) -> Batches:
         for batch in batches:
             for i in range(batch.num_rows):
-                k1, k2, x = (batch.column(c)[i].as_py() for c in range(3))
-                raw = memoryview(batch.column(3)[i].as_buffer())
+                t, x = (batch.column(c)[i].as_py() for c in range(2))
+                raw = memoryview(batch.column(2)[i].as_buffer())
                 for at in range(0, len(x), 1024):
                     some = x[at : at + 1024]
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([q["key"] for q in some], pa.int64()), pa.array([k1] * len(some), pa.int64()), pa.array([k2] * len(some), pa.int64()), pa.array([q["start"] for q in some], pa.int64()),
+                        pa.array([q["key"] for q in some], pa.int64()), pa.array([t] * len(some), pa.int64()), pa.array([q["start"] for q in some], pa.int64()),
                         pa.array([q["single"] for q in some], pa.bool_()), pa.array([bytes(raw[q["start"] : q["start"] + q["n"] - 1 + length]) for q in some], pa.binary()),
-                    ], ["key", "k1", "k2", "start", "single", "part"])
+                    ], ["key", "t", "start", "single", "part"])
 
     def sort(batches: Batches) -> Batches:
         scratch = induced.Scratch(memory)
         text, where = induced.Growing(scratch, np.int16), []
         for batch in batches:
-            for part in batch.column(5):
+            for part in batch.column(4):
                 text.add(np.append(np.frombuffer(part.as_buffer(), np.uint8).astype(np.int16) + 2, np.int16(1)))
-            where.append([np.asarray(batch.column(c)) for c in (1, 2, 3, 4)] + [np.array([len(x.as_buffer()) for x in batch.column(5)], np.int64)])
+            where.append([np.asarray(batch.column(c)) for c in (1, 2, 3)] + [np.array([len(x.as_buffer()) for x in batch.column(4)], np.int64)])
         if not text.n:
             return
         text.add(np.zeros(1, np.int16))
         twice = induced.repeated(text.done(), length, scratch)
-        k1, k2, start, single, size = (np.concatenate([w[c] for w in where]) for c in range(5))
+        t, start, single, size = (np.concatenate([w[c] for w in where]) for c in range(4))
         begin = np.cumsum(size + 1) - (size + 1)
         for i in range(0, len(size), 4096):
             found = []
@@ -211,28 +208,28 @@ def sharded(texts: DataFrame, live: DataFrame, length: int, memory: int = 4 << 2
                 if len(hit):
                     first = np.flatnonzero(np.append(True, np.diff(hit) > 1))
                     last = np.append(first[1:], len(hit)) - 1
-                    found += [(k1[j], k2[j], start[j] + hit[a], hit[z] - hit[a] + 1) for a, z in zip(first, last, strict=True)]
+                    found += [(t[j], start[j] + hit[a], hit[z] - hit[a] + 1) for a, z in zip(first, last, strict=True)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(4)], ["k1", "k2", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], ["t", "start", "n"])
 
-    parts = rows.mapInArrow(common.lean(take), "key long, k1 long, k2 long, start long, single boolean, part binary")
-    return parts.repartition(size // SHARD + 1, "key").mapInArrow(common.lean(sort), "k1 long, k2 long, start long, n long")
+    parts = rows.mapInArrow(common.lean(take), "key long, t long, start long, single boolean, part binary")
+    return parts.repartition(size // SHARD + 1, "key").mapInArrow(common.lean(sort), "t long, start long, n long")
 
 
 def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, start, n): runs of windows that start elsewhere too, of texts(k1, k2, copies, bytes) with one row a text."""
+    """(t, start, n): runs of windows that start elsewhere too, of texts(t, bytes)."""
     found, step = [], 0
     now = common.written(pieces(texts, length), "pieces")
     while True:
-        made = now.groupBy("key", "content").agg(F.sum("copies").alias("occurs"), F.bool_or("inside").alias("inside"), F.min(F.struct(*TEXT, "start", "n")).alias("at"))
+        made = now.groupBy("key", "content").agg(F.count("*").alias("occurs"), F.bool_or("inside").alias("inside"), F.min(F.struct("t", "start", "n")).alias("at"))
         contents = common.written(made, f"contents-{step}")
         keys = contents.groupBy("key").agg(F.count("*").alias("different"), F.bool_or("inside").alias("within")).where("different > 1 or within")
         keys = common.written(keys, f"keys-{step}")
         # a content that occurs twice repeats whole
         twice = contents.where("occurs > 1").select("key", "content")
-        found.append(now.join(twice, ["key", "content"]).select(*TEXT, "start", F.col("n").cast("long").alias("n")))
+        found.append(now.join(twice, ["key", "content"]).select("t", "start", F.col("n").cast("long").alias("n")))
         live = contents.join(keys.where(F.col("different") <= MOST).select("key"), "key")
-        found.append(sharded(texts, live.select("key", (F.col("occurs") == 1).alias("single"), "at.k1", "at.k2", "at.start", "at.n"), length))
+        found.append(sharded(texts, live.select("key", (F.col("occurs") == 1).alias("single"), "at.t", "at.start", "at.n"), length))
         hot = keys.where(F.col("different") > MOST).select("key")
         if hot.isEmpty():
             break
@@ -245,15 +242,15 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def kept(texts: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k1, k2, spans, kept): the removed runs of bytes as (start, end), and what is left of each text."""
-    grouped = windows.groupBy(*TEXT).agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("x"))
+    """(t, spans, kept, digest) of texts from which bytes go: the removed runs as (start, end), what is left and its digest."""
+    grouped = windows.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("x"))
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = memoryview(batch.column(3)[i].as_buffer())
-                x = batch.column(2)[i].values.flatten()
-                start, end = np.asarray(x[0]).astype(np.int64), None
+                raw = memoryview(batch.column(2)[i].as_buffer())
+                x = batch.column(1)[i].values.flatten()
+                start = np.asarray(x[0]).astype(np.int64)
                 end = start + np.asarray(x[1]).astype(np.int64) - 1 + length
                 reach = np.maximum.accumulate(end)
                 new = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
@@ -261,40 +258,45 @@ def kept(texts: DataFrame, windows: DataFrame, length: int = LENGTH) -> DataFram
                 cuts = [0, *(v for s in spans for v in s), len(raw)]
                 left = b"".join(raw[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([left], pa.binary()),
+                    batch.column(0).slice(i, 1), pa.array([[{"start": a, "end": b} for a, b in spans]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array([left], pa.binary()),
                     pa.array([hashlib.sha256(left).hexdigest()]),
-                ], [*TEXT, "spans", "kept", "digest"])
+                ], ["t", "spans", "kept", "digest"])
+
+    rows = grouped.join(texts, "t").select("t", "x", "bytes")
+    return rows.mapInArrow(common.lean(run), "t long, spans array<struct<start:long,end:long>>, kept binary, digest string")
+
 
-    rows = grouped.join(texts.select(*TEXT, "bytes"), TEXT).select(*TEXT, "x", "bytes")
-    return rows.mapInArrow(common.lean(run), "k1 long, k2 long, spans array<struct<start:long,end:long>>, kept binary, digest string")
+def numbered(docs: DataFrame) -> DataFrame:
+    """(t, doc_id, bytes): documents with a number each, in buckets by it, so that what is found about a few of them meets them without another shuffle of all texts."""
+    spark = docs.sparkSession
+    width, name = common.shuffle_width(spark), f"texts_{uuid.uuid4().hex}"
+    rows = docs.select("doc_id", _bytes()).withColumn("t", F.monotonically_increasing_id()).repartition(width, "t")
+    rows.write.format("parquet").bucketBy(width, "t").sortBy("t").option("path", f"{common.shared_folder(spark)}/riskweave/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """(k1, k2, copies, bytes): each text once; copies are combined before the shuffle."""
-    rows = docs.select(_bytes()).select(*named(), "bytes")
-    return common.written(rows.groupBy(*TEXT).agg(F.count("*").alias("copies"), F.first("bytes").alias("bytes")), "texts")
+def _left(texts: DataFrame, length: int) -> DataFrame:
+    some = texts.select("t", "bytes")
+    return kept(some, repeated_windows(some.where(F.octet_length("bytes") >= length), length), length)
 
 
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs(doc_id, text) as (doc_id, n_bytes, spans, kept, kept_sha256): what is removed and what is left."""
-    texts = distinct_texts(docs)
-    left = kept(texts, repeated_windows(texts.where(F.octet_length("bytes") >= length), length), length)
+    texts = numbered(docs)
     # only texts from which bytes go have been through Python
-    named_docs = docs.select("doc_id", _bytes()).select("doc_id", "bytes", *named())
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    return named_docs.join(left, TEXT, "left").select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.coalesce("spans", none).alias("spans"), F.coalesce("kept", "bytes").alias("kept"), F.coalesce("digest", F.sha2("bytes", 256)).alias("kept_sha256"))
+    out = texts.join(_left(texts, length), "t", "left")
+    return out.select("doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.coalesce("spans", none).alias("spans"), F.coalesce("kept", "bytes").alias("kept"), F.coalesce("digest", F.sha2("bytes", 256)).alias("kept_sha256"))
 
 
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: repeats of 400 bytes. The digest is joined to documents without their texts."""
-    docs = common.table(spark, sf_dir, "documents")
-    texts = distinct_texts(docs)
-    left = kept(texts, repeated_windows(texts.where(F.octet_length("bytes") >= LENGTH)))
+    """Contract query: repeats of 400 bytes."""
+    texts = numbered(common.table(spark, sf_dir, "documents"))
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    left = common.written(left.select(*TEXT, gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "digest"), "left")
-    slim = docs.select("doc_id", _bytes()).select("doc_id", *named(), F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("whole"))
+    left = _left(texts, LENGTH).select("t", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "digest")
+    slim = texts.select("t", "doc_id", F.octet_length("bytes").cast("long").alias("n_bytes"), F.sha2("bytes", 256).alias("whole"))
     zero = F.lit(0).cast("long")
-    return slim.join(left, TEXT, "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
+    return slim.join(left, "t", "left").select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("digest", "whole").alias("kept_sha256"))
 
 
 QUERIES = {"op12_suffix_dedup": op12_suffix_dedup}
