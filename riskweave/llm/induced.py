@@ -1,7 +1,7 @@
 """External induced sorting of a string's suffixes with common-prefix values, for one shard inside a task.
 
 A suffix is of type L if it is larger than the next one, else of type S; an S suffix after an L suffix is a seed. Seeds are sorted by
-recursion on the string of their substrings' names. Then all L suffixes follow from seeds in one ascending sweep, and all S suffixes from L
+recursion on the string of their substrings' names, until that string fits in memory. Then all L suffixes follow from seeds in one ascending sweep, and all S suffixes from L
 suffixes in a descending one: whoever leaves the queue puts its left neighbour in, if that is of the swept type.
 
 The queue holds tuples (character, position, prefix shared with the tuple before) in sorted runs, first in first out among equal characters. It is
@@ -18,6 +18,8 @@ import tempfile
 import numpy as np
 
 BLOCK = 1 << 16
+#: Seeds that are sorted in memory; the recursion goes on beyond.
+BASE = 1 << 20
 
 
 class Scratch:
@@ -258,20 +260,39 @@ def _agree(t: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.
     return same
 
 
-def sorted_suffixes(t: np.ndarray, top: int, cap: int, scratch: Scratch):  # noqa: ANN201
-    """L suffixes ascending and S suffixes descending, as (positions, shared) each; shared is -1 at the first of a character, and up to cap.
+def _named(t: np.ndarray, larger: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds in the order of their substrings, and names that rise where substrings differ: in memory, by some characters at a time.
 
-    t: characters below top whose last one is 0 and nowhere else. The last suffix is in neither list."""
-    larger, run = _kinds(t, scratch, cap)
-    found = Growing(scratch, np.int64)
-    for i in range(1, len(t), 1 << 20):
-        found.add(np.flatnonzero(~larger[i : i + (1 << 20)] & larger[i - 1 : min(i - 1 + (1 << 20), len(t) - 1)]) + i)
-    seeds = found.done()
-    if not len(seeds):
-        seeds = np.array([len(t) - 1], np.int64)
-    # seeds by character alone give seeds by their substrings
-    order = np.argsort(t[seeds], kind="stable")
-    first = scratch.kept(seeds[order])
+    A character counts with its type, so no substring is the beginning of another one."""
+    size = np.append(np.diff(seeds) + 1, 1)
+    bits = int(2 * int(t.max()) + 2).bit_length()
+    at_once = max(1, 62 // bits)
+    name, live, done = np.zeros(len(seeds), np.int64), np.arange(len(seeds)), 0
+    while len(live):
+        key = np.zeros(len(live), np.int64)
+        for i in range(done, done + at_once):
+            p = np.minimum(seeds[live] + i, len(t) - 1)
+            key = (key << bits) | np.where(i < size[live], 2 * t[p].astype(np.int64) + ~larger[p] + 1, 0)
+        order = np.lexsort((key, name[live]))
+        group, key = name[live][order], key[order]
+        new = np.append(True, (group[1:] != group[:-1]) | (key[1:] != key[:-1]))
+        # a name is the place of the first seed that has it
+        begins = np.append(True, group[1:] != group[:-1])
+        place = np.arange(len(live)) - np.maximum.accumulate(np.where(begins, np.arange(len(live)), 0)) + group
+        name[live[order]] = np.maximum.accumulate(np.where(new, place, 0))
+        done += at_once
+        alone = new & np.append(new[1:], True)
+        live = live[order][~alone]
+        # groups are dropped whole once they end: equal characters and types mean equal lengths
+        live = live[size[live] > done]
+    order = np.argsort(name, kind="stable")
+    name = name[order]
+    return seeds[order], np.cumsum(np.append(0, name[1:] != name[:-1]))
+
+
+def _induced_names(t: np.ndarray, larger: np.ndarray, run: np.ndarray, seeds: np.ndarray, top: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
+    """The same for more seeds than fit in memory: seeds by character alone give seeds by their substrings."""
+    first = scratch.kept(seeds[np.argsort(t[seeds], kind="stable")])
     _, (s, _) = _both(t, larger, run, (first, scratch.array(len(first), np.int32)), top, 0, scratch)
     by = Growing(scratch, np.int64)
     by.add(seeds[-1:])
@@ -280,7 +301,6 @@ def sorted_suffixes(t: np.ndarray, top: int, cap: int, scratch: Scratch):  # noq
         p = p[p > 0]
         by.add(p[larger[p - 1]])
     by = by.done()
-    # names rise where a substring differs from the one before
     rank = np.searchsorted(seeds, by)
     size = np.append(np.diff(seeds) + 1, 1)
     name = scratch.array(len(by), np.int64)
@@ -290,11 +310,54 @@ def sorted_suffixes(t: np.ndarray, top: int, cap: int, scratch: Scratch):  # noq
         same[same] = _agree(t, seeds[a[same]], seeds[b[same]], size[a[same]]) == size[a[same]]
         name[i : i + BLOCK] = ~same
     np.cumsum(name, out=name)
+    return by, name
+
+
+def _in_memory(t: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the recursion ends: suffixes of a string that fits in memory by their first cap characters, by doubling, and what neighbours share."""
+    n, rank, size = len(t), np.asarray(t), 1
+    steps = [rank]
+    while size < cap and (top := int(rank.max()) + 1) < n:
+        key = rank * (top + 1) + np.append(rank[size:] + 1, np.zeros(min(size, n), np.int64))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        steps.append(rank)
+        size *= 2
+    order = np.argsort(rank, kind="stable")
+    a, b, same = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for k in range(len(steps) - 1, -1, -1):
+        x, y = a + same, b + same
+        ok = np.maximum(x, y) < n
+        ok[ok] = steps[k][x[ok]] == steps[k][y[ok]]
+        same += ok * (1 << k)
+    return order, np.append(0, np.minimum(same, cap))
+
+
+def sorted_suffixes(t: np.ndarray, top: int, cap: int, scratch: Scratch):  # noqa: ANN201
+    """L suffixes ascending and S suffixes descending, as (positions, shared) each; shared is -1 at the first of a character, and up to cap.
+
+    t: characters below top whose last one is 0 and nowhere else. The last suffix is in neither list."""
+    larger, run = _kinds(t, scratch, cap)
+    found = Growing(scratch, np.int64)
+    for i in range(1, len(t), 1 << 20):
+        found.add(np.flatnonzero(~larger[i : i + (1 << 20)] & larger[i - 1 : min(i - 1 + (1 << 20), len(t) - 1)]) + i)
+    seeds = found.done()
+    if not len(seeds):
+        seeds = np.array([len(t) - 1], np.int64)
+    if len(seeds) <= BASE:
+        by, name = _named(t, larger, seeds)
+    else:
+        by, name = _induced_names(t, larger, run, seeds, top, scratch)
+    rank = np.searchsorted(seeds, by)
     names = int(name[-1]) + 1
     shorter = scratch.array(len(by), np.int64)
     shorter[rank] = name
     if names == len(by):
         place, alike = rank, np.zeros(len(by), np.int64)
+    elif len(by) <= BASE:
+        place, alike = _in_memory(shorter, cap)
     else:
         (lp, ls), (sp, ss) = sorted_suffixes(shorter, names, cap, scratch)
         place, alike = _interleaved(shorter, lp, ls, sp, ss, cap)

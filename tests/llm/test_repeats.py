@@ -26,9 +26,11 @@ def brute(texts, length):
     return [(len(b), int(g.sum()), int((g & ~np.roll(g, 1)).sum()), hashlib.sha256(bytes(x for x, y in zip(b, g, strict=False) if not y)).hexdigest()) for b, g in zip(raw, gone, strict=True)]
 
 
-@pytest.mark.parametrize("block", [1 << 16, 7])
-def test_suffixes(monkeypatch, block):
+@pytest.mark.parametrize(("block", "base"), [(1 << 16, 0), (7, 0), (7, 6), (1 << 16, 1 << 20)])
+def test_suffixes(monkeypatch, block, base):
+    """Suffixes are in the order of their first cap characters; seeds beyond the base are sorted by recursion."""
     monkeypatch.setattr(induced, "BLOCK", block)
+    monkeypatch.setattr(induced, "BASE", base)
     rng = random.Random(block)
     for r in range(300):
         n, k, cap = rng.randint(1, 60), rng.choice([2, 3, 5, 50]), rng.choice([3, 7, 100])
@@ -36,7 +38,7 @@ def test_suffixes(monkeypatch, block):
         t = [*x, 0]
         lists = induced.sorted_suffixes(np.array(t, np.int16), max(k, 2) + 1, cap, induced.Scratch(0 if r % 3 == 0 else 1 << 20))
         pos, shared = induced._interleaved(np.array(t), *lists[0], *lists[1], cap)
-        assert pos.tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+        assert sorted(pos.tolist()) == list(range(len(t))) and (prefixes := [t[i : i + cap] for i in pos.tolist()]) == sorted(prefixes)
         for a, b, got in zip(pos[:-1], pos[1:], shared[1:], strict=True):
             want = next((i for i in range(cap) if t[a + i : a + i + 1] != t[b + i : b + i + 1]), cap)
             assert got == want
