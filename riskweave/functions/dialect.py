@@ -45,35 +45,41 @@ def valid(pattern: str) -> bool:
         return False
 
 
-def required_literal(pattern: str) -> str | None:
-    """A text that every match holds, or None: the longest run of plain characters outside groups, options and quantifiers."""
-    if "|" in pattern or "(?i" in pattern:
-        return None
-    best, run, depth, i = "", "", 0, 0
-    while i < len(pattern):
-        c = pattern[i]
-        step, literal = 1, c
-        if c == "\\" and i + 1 < len(pattern):
-            step, literal = 2, pattern[i + 1] if not pattern[i + 1].isalnum() else None
-        elif c == "[":
-            close = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]").match(pattern, i)
-            step, literal = (close.end() - i if close else 1), None
-        elif c in "()":
-            depth, literal = depth + (1 if c == "(" else -1), None
-        elif c in ".^$*+?{}":
-            literal = None
-        after = pattern[i + step : i + step + 1]
-        if literal is None or depth:
-            best, run = max(best, run, key=len), ""
-        elif after and after in "*?{":
-            best, run = max(best, run, key=len), ""
-        else:
-            run += literal
-            if after == "+":
-                best, run = max(best, run, key=len), ""
-        i += step
-    best = max(best, run, key=len)
-    return best if len(best) >= 2 else None
+def required_literals(pattern: str) -> list[str]:
+    """Texts of which every match holds one at least, up to the case of ASCII letters; empty if the pattern requires none.
+
+    Of what a pattern requires (runs of plain characters, repeated parts that occur once at least, one branch of each option), the set whose shortest text is longest."""
+
+    def best(items) -> list[str]:  # noqa: ANN001
+        found, run = [], ""
+
+        def close() -> None:
+            nonlocal run
+            if run:
+                found.append([run])
+            run = ""
+
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL" and arg < 128:
+                run += chr(arg).lower()
+                continue
+            if name == "AT":  # has no width
+                continue
+            close()
+            if name == "SUBPATTERN":
+                found.append(best(arg[-1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+                found.append(best(arg[2]))
+            elif name == "ATOMIC_GROUP":
+                found.append(best(arg))
+            elif name == "BRANCH":
+                parts = [best(x) for x in arg[1]]
+                found.append(list(dict.fromkeys(x for part in parts for x in part)) if all(parts) else [])
+        close()
+        return max((x for x in found if x), key=lambda x: (min(map(len, x)), -len(x)), default=[])
+
+    return best(re._parser.parse(pattern)) if valid(pattern) else []
 
 
 def glob_regex(glob: str) -> str:

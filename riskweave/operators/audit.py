@@ -1,11 +1,15 @@
 """Rules against diffs: scheduling, matching, governance, decisions.
 
 summaries(diff_id, raw_diff, files, new_files, n_add, n_del, ...) and signals(diff_id, seq, signal_id, file, action, ...) meet the rule
-rows, which are a bounded table and broadcast. Rules in code are one projection over the raw text without a join; pattern rules are a nested-loop
-join whose condition tries a literal that every match holds before the pattern."""
+rows, which are a bounded table and broadcast. Rules in code are one projection over the raw text without a join. Pattern rules are found by an inverted
+index: every match of a pattern holds one of its literals, a literal has a gram of GRAM characters, and a text's grams meet the index by equality; only
+then the pattern runs. Files meet rules by extension. So no rule is tried on a text for being in the catalogue."""
 
 from __future__ import annotations
 
+import string
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +17,9 @@ from riskweave.functions import dialect
 from riskweave.operators import builtin_rules, detect, parse
 from riskweave.sources import catalog, tables
 
+#: Characters of a gram of the index of pattern rules.
+GRAM = 3
+
 
 def any_glob(file: Column, globs: list[str]) -> Column:
     out = F.lit(False)
@@ -54,19 +61,29 @@ def rule_table(rows: list[tuple]) -> list[dict]:
     return [dict(zip(names, r, strict=True)) for r in rows]
 
 
+def grams(literals: dict[int, list[str]]) -> dict[int, list[tuple[str, str, list[str]]]]:
+    """For each rule's literals (gram, literal, the literals before it): the gram that the fewest literals have. None if a literal is shorter than a gram."""
+    literals = {k: xs if xs and min(map(len, xs)) >= GRAM else [] for k, xs in literals.items()}
+    cut = lambda x: {x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}
+    uses = Counter(g for xs in literals.values() for x in xs for g in cut(x))
+    return {k: [(min(cut(x), key=lambda g: (uses[g], g)), x, xs[:i]) for i, x in enumerate(xs)] for k, xs in literals.items()}
+
+
 def compiled(spark, rows: list[tuple]) -> DataFrame:
-    """Rule rows with Java patterns: match_regex, literal, file_regex, scope_regex, ext_regex."""
+    """Rule rows with Java patterns: match_regex, grams of the index, file_regex, scope_regex, ext_regex, exts."""
     out = []
-    for r in rule_table(rows):
+    table = rule_table(rows)
+    index = grams({r["load_order"]: dialect.required_literals(r["match"]) for r in table if catalog.valid_pattern(r["match"])})
+    for r in table:
         ok = catalog.valid_pattern(r["match"])
         pattern = None if not ok else "(?m" + ("i" if r["flags"] == "i" else "") + ")(?d)" + dialect.java_regex(r["match"])
         exts = catalog.LANGUAGE_EXTENSIONS.get(r["language"], [f".{r['language']}"])
         out.append((
             r["load_order"], r["rule_id"], r["source"], r["signal"], r["action"], "never" if r["match"] and not ok else "signal" if r["signal"] else "regex" if ok else "file" if r["file"] else "never", pattern,
-            None if not ok or r["flags"] == "i" else dialect.required_literal(r["match"]), dialect.file_glob_regex(r["file"] or "**"), "^" if r["scope"] == "**" else dialect.glob_regex(r["scope"]),
-            "^" if r["language"] == "*" else "(?:" + "|".join(e.replace(".", "\\.").replace("+", "\\+") for e in exts) + ")$", r["severity"], r["impact"], r["rule_type"], r["is_blocking"], r["status"], r["rationale"], r["language"] == "*" and r["scope"] == "**",
+            index.get(r["load_order"], []), dialect.file_glob_regex(r["file"] or "**"), "^" if r["scope"] == "**" else dialect.glob_regex(r["scope"]),
+            "^" if r["language"] == "*" else "(?:" + "|".join(e.replace(".", "\\.").replace("+", "\\+") for e in exts) + ")$", r["severity"], r["impact"], r["rule_type"], r["is_blocking"], r["status"], r["rationale"], r["language"] == "*" and r["scope"] == "**", ["*"] if r["language"] == "*" else exts,
         ))
-    return spark.createDataFrame(out, "load_order int, rule_id string, source string, signal string, action string, strategy string, match_regex string, literal string, file_regex string, scope_regex string, ext_regex string, severity string, impact string, rule_type string, is_blocking boolean, status string, rationale string, everywhere boolean")
+    return spark.createDataFrame(out, "load_order int, rule_id string, source string, signal string, action string, strategy string, match_regex string, grams array<struct<gram:string,literal:string,earlier:array<string>>>, file_regex string, scope_regex string, ext_regex string, severity string, impact string, rule_type string, is_blocking boolean, status string, rationale string, everywhere boolean, exts array<string>")
 
 
 def eligible(s: DataFrame, rules: DataFrame) -> Column:
@@ -75,19 +92,51 @@ def eligible(s: DataFrame, rules: DataFrame) -> Column:
     return fits & ~((F.col("rule_type") == "regression") & F.col("mostly_new"))
 
 
+def scheduled_pairs(s: DataFrame, rules: DataFrame) -> DataFrame:
+    """s with the columns of each rule that is scheduled for it, once: a diff's extensions, and * for any file, meet those of rules."""
+    exts = F.array_distinct(F.transform("effective", lambda f: F.regexp_extract(f, "(\\.[^./]*)$", 1)))
+    keyed = s.withColumn("keys", F.when(F.size("effective") > 0, F.concat(F.array(F.lit("*")), exts)))
+    by = rules.withColumn("key", F.explode("exts"))
+    pairs = keyed.withColumn("key", F.explode("keys")).join(F.broadcast(by), "key")
+    # a rule with several of a diff's extensions counts for its first one
+    return pairs.where(F.get(F.filter("exts", lambda x: F.array_contains("keys", x)), F.lit(0)) == F.col("key")).where(eligible(s, rules)).drop("key", "keys", "exts")
+
+
+def text_grams(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+
+
+def _first_file(pattern: Column | str) -> Column:
+    return F.get(F.filter("files", lambda f: F.rlike(f, pattern if isinstance(pattern, Column) else F.lit(pattern))), F.lit(0))
+
+
 def match_regex(s: DataFrame, rules: DataFrame) -> DataFrame:
-    """(diff_id, load_order, matched_file) of pattern rules: the first file that fits, if the raw text matches."""
-    some = rules.where("strategy = 'regex'").select("load_order", "match_regex", "literal", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
-    text = F.col("literal").isNull() | F.contains("raw_diff", "literal")
-    got = s.join(F.broadcast(some), text & eligible(s, some) & F.expr("raw_diff rlike match_regex"))
-    file = F.get(F.filter("files", lambda f: F.rlike(f, F.col("file_regex"))), F.lit(0))
-    return got.select("diff_id", "load_order", file.alias("matched_file")).where("matched_file is not null")
+    """(diff_id, load_order, matched_file) of pattern rules: the first file that fits, if the raw text matches.
+
+    Rules without a literal to look for, of which a catalogue has few, are tried on every text they are scheduled for, in one projection with fixed patterns."""
+    some = rules.where("strategy = 'regex'").select("load_order", "match_regex", "grams", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
+    index = some.where("size(grams) > 0").withColumn("g", F.explode("grams")).select(F.col("g.gram").alias("gram"), F.col("g.literal").alias("literal"), F.col("g.earlier").alias("earlier"), "load_order", "match_regex", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
+    low = s.select("diff_id", "raw_diff", "files", "effective", "mostly_new").withColumn("low", F.translate("raw_diff", string.ascii_uppercase, string.ascii_lowercase))
+    met = low.withColumn("gram", F.explode(text_grams(F.col("low")))).join(F.broadcast(index), "gram")
+    # a rule with several literals counts for the first that the text holds
+    held = F.contains("low", F.col("literal")) & ~F.exists("earlier", lambda x: F.contains(F.col("low"), x))
+    found = met.where(held).where(eligible(s, some)).where(F.expr("raw_diff rlike match_regex")).select("diff_id", "load_order", _first_file(F.col("file_regex")).alias("matched_file"))
+    loose = some.where("size(grams) = 0").collect()
+    if loose:
+        hits = [F.struct(F.lit(r["load_order"]).alias("load_order"), F.when(_runs(r) & F.col("raw_diff").rlike(r["match_regex"]), _first_file(r["file_regex"])).alias("matched_file")) for r in loose]
+        found = found.unionByName(s.select("diff_id", F.explode(F.array(*hits)).alias("x")).select("diff_id", "x.load_order", "x.matched_file"))
+    return found.where("matched_file is not null")
+
+
+def _runs(rule) -> Column:  # noqa: ANN001
+    """eligible with a rule's values as constants."""
+    fits = F.size("effective") > 0 if rule["everywhere"] else F.exists("effective", lambda f: F.rlike(f, F.lit(rule["ext_regex"])) & F.rlike(f, F.lit(rule["scope_regex"])))
+    return fits & ~F.col("mostly_new") if rule["rule_type"] == "regression" else fits
 
 
 def match_file(s: DataFrame, rules: DataFrame) -> DataFrame:
-    some = rules.where("strategy = 'file'").select("load_order", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
-    file = F.get(F.filter("files", lambda f: F.rlike(f, F.col("file_regex"))), F.lit(0))
-    return s.join(F.broadcast(some), eligible(s, some)).select("diff_id", "load_order", file.alias("matched_file")).where("matched_file is not null")
+    some = rules.where("strategy = 'file'").select("load_order", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere", "exts")
+    return scheduled_pairs(s, some).select("diff_id", "load_order", _first_file(F.col("file_regex")).alias("matched_file")).where("matched_file is not null")
 
 
 def match_signal(s: DataFrame, signals: DataFrame, rules: DataFrame) -> DataFrame:

@@ -17,18 +17,23 @@ def test_globs_match_as_fnmatch_does(glob, text):
     assert bool(re.match(dialect.glob_regex(glob), text)) == fnmatch.fnmatchcase(text, glob)
 
 
-@given(st.sampled_from([r[2] for r in catalog.RULES if r[2] and dialect.valid(r[2])]), st.text("abcdefghijklmnopqrstuvwxyz()= .\"'+-", max_size=40))
-def test_required_literal_is_in_every_match(pattern, text):
-    need = dialect.required_literal(pattern)
+SOURCES = [r[2] for r in catalog.RULES if r[2] and dialect.valid(r[2])] + ["(?:ab|cd)+e?", "(a(bc|d.e)|fgh)i", "x{2,3}yy", "(?:ab)?cd", "[ab]cd|ef$", "(?=abc)de", "a^b", "(?i)AbC|dE", "ab*", "(?:a|)b"]
+
+
+@given(st.sampled_from(SOURCES), st.text("abcdefghixyABCDE()= .\"'+-", max_size=40))
+def test_every_match_holds_a_required_literal(pattern, text):
+    need = dialect.required_literals(pattern)
     for m in re.finditer(pattern, text):
-        assert need is None or need in m.group(0)
+        assert not need or any(x in m.group(0).lower() for x in need)
 
 
 def test_required_literals_are_found():
-    assert dialect.required_literal(r"os\.Open\(x+y") == "os.Open(x"
-    assert dialect.required_literal(r"ab?c") is None
-    assert dialect.required_literal(r"(?i)abc") is None
-    assert dialect.required_literal(r"ab|cd") is None
+    assert dialect.required_literals(r"os\.Open\(x+y") == ["os.open("]
+    assert dialect.required_literals(r"ab?c") == ["a"]
+    assert dialect.required_literals(r"(?i)aBc") == ["abc"]
+    assert dialect.required_literals(r"abc|xcde") == ["abc", "xcde"] and dialect.required_literals(r"abc|x?") == []
+    assert dialect.required_literals(r"x(?:abc|defg)+") == ["abc", "defg"] and dialect.required_literals(r"(?:abc)*") == []
+    assert dialect.required_literals("(") == []
 
 
 def test_file_globs():
