@@ -1,15 +1,15 @@
 """Semantic changes and signals of diffs, line by line and without Python workers.
 
 Each added or removed line of an analyzable patch is turned into tokens by one pattern; token and call predicates give changes
-(kind, symbol, meta). Types of variables on the two sides of a patch meet in one join. Constructs that span lines are seen line by line;
-that is where this differs from a parser of whole snippets."""
+(kind, symbol, meta). Types of variables on the two sides of a patch meet in one join. What needs more than a line, contexts of joined SQL and types of
+variables at a call, is found in the token streams of operators.snippets; other constructs that span lines are seen line by line."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators import parse
+from riskweave.operators import parse, snippets
 from riskweave.sources import tables
 
 # Analyzable extensions and the words of the predicates.
@@ -17,7 +17,6 @@ ANALYZABLE = (".java", ".py", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".js",
 PAGINATION = ["pageNo", "pageSize", "start", "limit", "offset"]
 CRITICAL_CALLS = ["encode", "decode", "validate", "check", "normalize", "sanitize"]
 SECRET_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key", "accesskey", "private_key", "privatekey", "credential"]
-SQL_WORDS = ["SELECT", "INSERT", "UPDATE", "DELETE", "FROM", "WHERE", "JOIN", "TABLE", "CREATE", "DROP", "ALTER", "query", "sql"]
 WEAK_CRYPTO = ["DES", "RC4", "MD5", "SHA1", "MessageDigest", "setAlgorithm"]
 COMMANDS = ["exec", "runtime", "processbuilder", "ProcessBuilder", "getRuntime", "system"]
 UNSAFE_COLLECTIONS = ["HashMap", "ArrayList", "HashSet", "TreeMap", "LinkedList"]
@@ -75,7 +74,6 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
     has = lambda w: F.array_contains(t, w)
     each = lambda words, make: F.transform(F.filter(F.array_distinct(t), lambda x: x.isin(*words)), make)
     secret = F.filter(t, lambda x: (F.length(x) > 3) & F.lower(x).rlike("|".join(SECRET_WORDS)) & x.rlike("[=:]"))
-    sql = F.exists(t, lambda x: F.upper(x).isin(*[w.upper() for w in SQL_WORDS]))
     evict = F.exists(F.array(*map(F.lit, EVICTIONS)), lambda w: F.array_contains(g2, F.concat(w, F.lit(" ("))))
     pool = text.rlike("\\bnew\\s+ThreadPoolExecutor\\s*\\(")
     return F.flatten(F.array(
@@ -88,7 +86,6 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
         when(F.array_contains(g3, "Thread . sleep"), one(pm("CALL"), "sleep")),
         F.transform(F.filter(F.array(*map(F.lit, CRITICAL_CALLS)), lambda w: F.array_contains(g2, F.concat(w, F.lit(" (")))), lambda w: one(pm("CALL"), w)),
         F.transform(F.slice(secret, 1, 1), lambda x: one(pm("LITERAL"), "hardcoded_secret", F.concat(F.lit("value_hint="), F.substring(x, 1, 20)))),
-        when(added & sql & (has("+") | has("concat") | has("append")), one("UNKNOWN", "sql_concat", "risk=sql_injection")),
         F.transform(F.slice(F.filter(t, lambda x: F.regexp_replace(x, "\"", "").isin(*WEAK_CRYPTO)), 1, 1), lambda x: one(pm("CALL"), "weak_crypto")),
         F.transform(F.slice(F.filter(F.array(*map(F.lit, COMMANDS)), lambda w: F.array_contains(g2, F.concat(w, F.lit(" (")))), 1, 1), lambda w: one(pm("CALL"), "command_execution")),
         when(added & text.rlike("\\bstatic\\b.*\\b(?:" + "|".join(UNSAFE_COLLECTIONS) + ")\\b\\s*(?:<[^;=]*>)?\\s+\\w+\\s*[=;]"), one("FIELD_ADDED", "static_collection", "static_unsafe=true")),
@@ -104,15 +101,14 @@ def token_changes(side: Column, text: Column, t: Column, g2: Column, g3: Column)
         when(~added & text.rlike("\\bif\\s*\\(\\s*(?:\\w+\\s*==\\s*null|null\\s*==\\s*\\w+)\\s*\\)"), one("UNKNOWN", "null_check", "action=removed")),
         F.transform(F.filter(F.array(F.lit("newFixedThreadPool"), F.lit("newCachedThreadPool")), lambda w: added & F.array_contains(g2, F.concat(w, F.lit(" (")))), lambda w: one("CALL_ADDED", w)),
         when(added & text.rlike("\\.get\\s*\\(\\s*\\)"), one("CALL_ADDED", "get", "blocking_get=true")),
-        when(~added & text.rlike("\\.set\\s*\\(") & text.rlike("(?i)atomic"), one("CALL_REMOVED", "atomic_set")),
         *[when(call(name), one(pm("CALL"), name)) for name in ("acquire", "await")],
     ))
 
 
 #: Every change needs one of these in its line; lines without them, which are most, aren't turned into tokens.
 HINTS = "(?i)" + "|".join(sorted({w.lower().replace("_", "[_]") for w in [
-    *PAGINATION, *CRITICAL_CALLS, *SECRET_WORDS, *SQL_WORDS, *WEAK_CRYPTO, *COMMANDS, *EVICTIONS, "synchronized", "volatile", "final", "ConcurrentHashMap", "lock", "sleep", "static", "ThreadPool", "LinkedBlockingQueue", "while", "try",
-    "timeout", "equals", "null", "get", "atomic", "acquire", "await"]})) + "|=="
+    *PAGINATION, *CRITICAL_CALLS, *SECRET_WORDS, *WEAK_CRYPTO, *COMMANDS, *EVICTIONS, "synchronized", "volatile", "final", "ConcurrentHashMap", "lock", "sleep", "static", "ThreadPool", "LinkedBlockingQueue", "while", "try",
+    "timeout", "equals", "null", "get", "acquire", "await"]})) + "|=="
 TYPED = "\\b([A-Z]\\w*)(?:<[^;=()]*>)?\\s+([a-z]\\w*)\\s*[=;,]"
 
 
@@ -161,21 +157,47 @@ def loop_removes(lines: DataFrame) -> DataFrame:
 
 
 def changes(diffs: DataFrame) -> DataFrame:
-    """Distinct (diff_id, seq, file, kind, symbol, meta, ignores); seq orders them as they were found."""
-    # four branches read the lines and two what is found in them, so each is made once
-    lines = tables.written(inline_ignores(side_lines(diffs)).where("text <> ''"), "side-lines")
+    """Distinct (diff_id, seq, file, kind, symbol, meta, ignores); seq, a struct, orders them as they were found."""
+    # several branches read the lines and two what is found in them, so each is made once
+    every_line = tables.written(inline_ignores(side_lines(diffs)), "side-lines")
+    lines = every_line.where("text <> ''")
     made = token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])
     split = tokenised(lines.where(F.col("text").rlike(HINTS)))
     found = tables.written(split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c")), "line-changes")
-    rows = found.select("diff_id", "grp", "file", ((F.col("side") == "removed").cast("int") * -1_000_000 + F.col("n") * 100 + F.col("k") + 2_000_000).alias("at"), "c.kind", "c.symbol", "c.meta", "ignores")
-    down = type_downgrades(lines).select("diff_id", "grp", "file", F.lit(4_000_000).alias("at"), F.lit("TYPE_CHANGED").alias("kind"), F.col("var").alias("symbol"), F.concat(F.lit("downgrade=true;from="), "old", F.lit(";to="), "new").alias("meta"), F.array().cast("array<string>").alias("ignores"))
+    none = F.array().cast("array<string>")
+
+    def at(phase: int, n: Column | int = 0, k: Column | int = 0) -> Column:
+        """Changes of lines come first, those of the removed side before the added one's; then what both sides tell together."""
+        side = F.when(F.col("side") == "added", 1).otherwise(0) if phase == 0 else F.lit(0)
+        whole = lambda x: (x if isinstance(x, Column) else F.lit(x)).cast("int")
+        return F.struct(F.col("grp").cast("long").alias("grp"), F.lit(phase).alias("phase"), side.alias("side"), whole(n).alias("n"), whole(k).alias("k")).alias("seq")
+
+    rows = found.where("c.symbol not in ('equals', '==', 'old pool')").select("diff_id", "file", at(0, F.col("n"), F.col("k")), "c.kind", "c.symbol", "c.meta", "ignores")
+    late = 1_000  # after what a line alone tells
+    loops = loop_removes(lines).withColumn("side", F.lit("added")).select("diff_id", "file", at(0, F.col("n"), late), F.lit("CALL_ADDED").alias("kind"), F.lit("remove").alias("symbol"), F.lit("in_loop=true").alias("meta"), "ignores")
+    sql, atomic = whole_side_changes(every_line)
+    own = every_line.select(*snippets.SIDE, "n", "ignores")
+    kind = F.when(F.col("side") == "added", "CALL_ADDED").otherwise("CALL_REMOVED").alias("kind")
+    sql = sql.join(own, [*snippets.SIDE, "n"]).select("diff_id", "file", at(0, F.col("n"), late + 1), kind, F.lit("sql_concat").alias("symbol"), F.lit("risk=sql_injection").alias("meta"), "ignores")
+    atomic = atomic.join(own, [*snippets.SIDE, "n"]).select("diff_id", "file", at(0, F.col("n"), late + 2), kind, F.lit("atomic_set").alias("symbol"), F.concat(F.lit("var="), "var").alias("meta"), "ignores")
+    down = type_downgrades(lines).select("diff_id", "file", at(1), F.lit("TYPE_CHANGED").alias("kind"), F.col("var").alias("symbol"), F.concat(F.lit("downgrade=true;from="), "old", F.lit(";to="), "new").alias("meta"), none.alias("ignores"))
     both = found.groupBy("diff_id", "grp", "file").agg(
         F.bool_or((F.col("side") == "removed") & (F.col("c.symbol") == "equals")).alias("eq"), F.bool_or(F.col("c.symbol") == "old pool").alias("old_pool"), F.bool_or(F.col("c.symbol") == "ThreadPoolExecutor").alias("new_pool"), F.bool_or((F.col("side") == "added") & (F.col("c.symbol") == "==")).alias("ref"))
-    refs = both.where("eq and ref").select("diff_id", "grp", "file", F.lit(5_000_000).alias("at"), F.lit("UNKNOWN").alias("kind"), F.lit("equals_to_ref").alias("symbol"), F.lit("").alias("meta"), F.array().cast("array<string>").alias("ignores"))
-    pools = both.where("old_pool and new_pool").select("diff_id", "grp", "file", F.lit(6_000_000).alias("at"), F.lit("UNKNOWN").alias("kind"), F.lit("ThreadPoolExecutor").alias("symbol"), F.lit("param_change=true").alias("meta"), F.array().cast("array<string>").alias("ignores"))
-    loops = loop_removes(lines).select("diff_id", "grp", "file", (F.col("n") * 100 + 2_000_099).alias("at"), F.lit("CALL_ADDED").alias("kind"), F.lit("remove").alias("symbol"), F.lit("in_loop=true").alias("meta"), "ignores")
-    every = rows.where("symbol not in ('equals', '==', 'old pool')").unionByName(down).unionByName(refs).unionByName(pools).unionByName(loops)
-    return every.groupBy("diff_id", "file", "kind", "symbol", "meta").agg(F.min(F.struct("grp", "at", "ignores")).alias("x")).select("diff_id", (F.col("x.grp") * 10_000_000 + F.col("x.at")).alias("seq"), "file", "kind", "symbol", "meta", "x.ignores")
+    refs = both.where("eq and ref").select("diff_id", "file", at(2), F.lit("UNKNOWN").alias("kind"), F.lit("equals_to_ref").alias("symbol"), F.lit("").alias("meta"), none.alias("ignores"))
+    pools = both.where("old_pool and new_pool").select("diff_id", "file", at(3), F.lit("UNKNOWN").alias("kind"), F.lit("ThreadPoolExecutor").alias("symbol"), F.lit("param_change=true").alias("meta"), none.alias("ignores"))
+    every = rows
+    for more in (loops, sql, atomic, down, refs, pools):
+        every = every.unionByName(more)
+    first = every.groupBy("diff_id", "file", "kind", "symbol", "meta").agg(F.min(F.struct("seq", "ignores")).alias("x"))
+    return first.select("diff_id", "x.seq", "file", "kind", "symbol", "meta", "x.ignores")
+
+
+def whole_side_changes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Joined SQL, and set on atomic variables of the removed side; only sides that hold such words are lexed."""
+    sides = snippets.sides(lines)
+    sql = sides.where(F.col("text").rlike("(?i)" + "|".join(snippets.SQL_WORDS)) & F.col("text").rlike("\\+|concat|append"))
+    atomic = sides.where(F.col("text").contains("Atomic") & F.col("text").rlike("\\bset\\b") & (F.col("side") == "removed"))
+    return snippets.sql_concatenations(snippets.stream(sql)), snippets.atomic_sets(snippets.stream(atomic))
 
 
 def signal_id(kind: Column, symbol: Column, meta: Column) -> Column:

@@ -62,12 +62,12 @@ R.add("cpp_pattern_counts", cpp_pattern_counts, " UNION ALL ".join(f"SELECT '{k}
 
 
 def js_content_signals(s, d):
-    p = table(s, d, "pages")
-    found = F.filter(F.array(*[F.when(F.col("html").rlike(x), k) for k, x in languages.JS_CONTENT.items()]), lambda x: x.isNotNull())
-    return p.select("page_id", F.explode(found).alias("signal_id"))
+    p = parse.file_patches(corpus.diffs(s, d)).where("file like '%.js' or file like '%.ts'")
+    found = F.filter(F.array(*[F.when(F.col("patch").rlike(x), k) for k, x in languages.JS_CONTENT.items()]), lambda x: x.isNotNull())
+    return p.select("diff_id", "grp", F.explode(found).alias("signal_id"))
 
 
-R.add("js_content_signals", js_content_signals, " UNION ALL ".join(f"SELECT page_id, '{k}' AS signal_id FROM pages WHERE regexp_matches(html, {_q(p)})" for k, p in languages.JS_CONTENT.items()))
+R.add("js_content_signals", js_content_signals, " UNION ALL ".join(f"SELECT diff_id, CAST(grp AS BIGINT) AS grp, '{k}' AS signal_id FROM patches WHERE (file LIKE '%.js' OR file LIKE '%.ts') AND regexp_matches(patch, {_q(p)})" for k, p in languages.JS_CONTENT.items()), DIFFS, LINES, PATCHES)
 R.add("parser_dispatch", lambda s, d: parse.file_patches(corpus.diffs(s, d)).select("diff_id", "grp", F.when(parse.language(F.col("file")).isin("java", "go"), "none").when(parse.language(F.col("file")).isin("python", "javascript", "typescript", "cpp", "c"), parse.language(F.col("file"))).otherwise("none").alias("parser")), "SELECT diff_id, CAST(grp AS BIGINT) AS grp, CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.js' THEN 'javascript' WHEN file LIKE '%.ts' THEN 'typescript' WHEN file LIKE '%.cpp' THEN 'cpp' ELSE 'none' END AS parser FROM patches WHERE file IS NOT NULL", DIFFS, LINES, PATCHES)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialect
-from riskweave.operators import audit, builtin_rules, detect
+from riskweave.operators import audit, builtin_rules, detect, snippets
 from riskweave.plans.base import SUMMARIES, DIFFS, LINES, PATCHES, Registry, effective_cte, summaries
 from riskweave.sources import catalog, corpus
 
@@ -142,7 +142,27 @@ _tok("tok_pagination", "symbol in ('pageNo', 'pageSize', 'start', 'limit', 'offs
 _tok("tok_trigram", "symbol = 'sleep'", _g("Thread", ".", "sleep"), "'sleep'")
 R.add("tok_critical_call", lambda s, d: _changes(s, d).where(F.col("symbol").isin(*detect.CRITICAL_CALLS)).select("diff_id", "side", "n", "symbol").distinct(), "SELECT DISTINCT diff_id, side, n, w AS symbol FROM tokenised, (SELECT unnest([" + ", ".join(f"'{w}'" for w in detect.CRITICAL_CALLS) + "]) AS w) WHERE contains(' ' || array_to_string(t, ' ') || ' ', ' ' || w || ' ( ')", *SIDE)
 _tok("tok_secret", "symbol = 'hardcoded_secret'", "len(list_filter(t, lambda x: length(x) > 3 AND regexp_matches(lower(x), '" + "|".join(detect.SECRET_WORDS) + "') AND regexp_matches(x, '[=:]'))) > 0", "'hardcoded_secret'")
-R.add("tok_sql_concat", lambda s, d: _changes(s, d).where("symbol = 'sql_concat'").select("diff_id", "side", "n").distinct(), "SELECT DISTINCT diff_id, side, n FROM tokenised WHERE side = 'added' AND len(list_filter(t, lambda x: upper(x) IN (" + ", ".join(f"'{w.upper()}'" for w in detect.SQL_WORDS) + "))) > 0 AND len(list_filter(t, lambda x: x IN ('+', 'concat', 'append'))) > 0", *SIDE)
+STREAM = f"""lexed AS (
+  SELECT diff_id, grp, file, side, unnest(range(len(l))) AS p, unnest(l) AS w
+  FROM (SELECT diff_id, grp, file, side, regexp_extract_all(string_agg(text, chr(10) ORDER BY n), {_quote(snippets.LEXEME)}) AS l FROM sides GROUP BY ALL)
+  WHERE len(list_filter(l, lambda w: w IN ('"', chr(39), '#', chr(92), '`') OR starts_with(w, '/*') AND NOT (len(w) > 3 AND ends_with(w, '*/')))) = 0),
+stream AS (
+  SELECT diff_id, grp, file, side, CAST(n AS INTEGER) AS n, w, row_number() OVER (PARTITION BY diff_id, grp, side ORDER BY p) AS i FROM (
+    SELECT *, 1 + coalesce(sum(len(w) - len(replace(w, chr(10), ''))) OVER (PARTITION BY diff_id, grp, side ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM lexed)
+  WHERE w <> chr(10) AND NOT starts_with(w, '//') AND NOT starts_with(w, '/*'))"""
+
+
+def _stream(s, d):
+    return snippets.stream(snippets.sides(detect.side_lines(D(s, d))))
+
+
+R.add("token_stream", lambda s, d: _stream(s, d).select("diff_id", "grp", "side", "i", "n", "w"), "SELECT diff_id, CAST(grp AS BIGINT) AS grp, side, CAST(i AS INTEGER) AS i, n, w FROM stream", *SIDE, STREAM)
+R.add(
+    # the context by a join of positions instead of a frame
+    "tok_sql_concat", lambda s, d: snippets.sql_concatenations(_stream(s, d)).select("diff_id", "side", "n").distinct(),
+    "SELECT DISTINCT a.diff_id, a.side, a.n FROM stream a JOIN stream b ON a.diff_id = b.diff_id AND a.grp = b.grp AND a.side = b.side AND b.i BETWEEN a.i - 20 AND a.i - 1 WHERE a.w IN ('+', 'concat', 'append') AND lower(b.w) IN (" + ", ".join(f"'{w.lower()}'" for w in snippets.SQL_WORDS) + ")",
+    *SIDE, STREAM,
+)
 _tok("tok_weak_crypto", "symbol = 'weak_crypto'", "len(list_filter(t, lambda x: replace(x, '\"', '') IN (" + ", ".join(f"'{w}'" for w in detect.WEAK_CRYPTO) + "))) > 0", "'weak_crypto'")
 _tok("tok_command", "symbol = 'command_execution'", "(" + " OR ".join(_g(w, "(") for w in detect.COMMANDS) + ")", "'command_execution'")
 _TREE = {
@@ -157,11 +177,27 @@ _TREE = {
     "null_check_removed": ("symbol = 'null_check'", "side = 'removed' AND regexp_matches(text, '\\bif\\s*\\(\\s*(\\w+\\s*==\\s*null|null\\s*==\\s*\\w+)\\s*\\)')"),
     "general_calls": ("symbol in ('newFixedThreadPool', 'newCachedThreadPool', 'get')", "side = 'added' AND (" + _g("newFixedThreadPool", "(") + " OR " + _g("newCachedThreadPool", "(") + " OR regexp_matches(text, '\\.get\\s*\\(\\s*\\)'))"),
     "tree_calls": ("symbol = 'lock'", _g(".", "lock", "(") + " OR regexp_matches(text, '^\\s*lock\\s*\\(')"),
-    "atomic_set_removed": ("symbol = 'atomic_set'", "side = 'removed' AND regexp_matches(text, '\\.set\\s*\\(') AND regexp_matches(text, '(?i)atomic')"),
     "tree_modifiers": ("symbol in ('synchronized', 'volatile', 'final') and kind like 'MODIFIER%'", "list_contains(t, 'synchronized') OR list_contains(t, 'volatile') OR side = 'removed' AND list_contains(t, 'final')"),
 }
 for _k, (_keep, _cond) in _TREE.items():
     R.add(_k, lambda s, d, keep=_keep: _changes(s, d).where(keep).select("diff_id", "grp", "side", "n").distinct(), f"SELECT DISTINCT diff_id, CAST(grp AS BIGINT) AS grp, side, n FROM tokenised WHERE {_cond}", *SIDE)
+_WORD = "regexp_matches({0}, '^[A-Za-z_$]') AND {0} NOT IN (" + ", ".join(f"'{w}'" for w in snippets.KEYWORDS) + ")"
+AS_OF = f"""near AS (
+  SELECT *, lag(w) OVER o AS before, lag(w, 2) OVER o AS before2, lag(w, 3) OVER o AS before3, lead(w) OVER o AS after FROM stream WINDOW o AS (PARTITION BY diff_id, grp, side ORDER BY i)),
+named AS (SELECT * FROM near WHERE {_WORD.format("w")} AND w NOT IN ({", ".join(f"'{w}'" for w in snippets.BASIC_TYPES)}) AND after IN ('=', ';', ',')),
+declared AS (  -- with type arguments one level deep, or without
+  SELECT diff_id, grp, side, i, w, before AS type FROM named WHERE {_WORD.format("before")}
+  UNION ALL
+  SELECT n.diff_id, n.grp, n.side, n.i, n.w, o.before FROM named n ASOF JOIN (SELECT * FROM near WHERE w = '<') o ON n.diff_id = o.diff_id AND n.grp = o.grp AND n.side = o.side AND n.i > o.i WHERE n.before = '>' AND {_WORD.format("o.before")}),
+called AS (SELECT * FROM near WHERE {_WORD.format("w")} AND after = '(' AND before = '.' AND {_WORD.format("before2")} AND coalesce(before3, '') <> '.')"""
+R.add(
+    "typed_calls", lambda s, d: snippets.typed_calls(_stream(s, d)).select("diff_id", "grp", "side", "n", "name", "var", "type"),
+    "SELECT c.diff_id, CAST(c.grp AS BIGINT) AS grp, c.side, c.n, c.w AS name, c.before2 AS var, p.type FROM called c ASOF JOIN declared p ON c.diff_id = p.diff_id AND c.grp = p.grp AND c.side = p.side AND c.before2 = p.w AND c.i >= p.i",
+    *SIDE, STREAM, AS_OF,
+)
+R.add("tree_parse", lambda s, d: snippets.wrappers(_stream(s, d)).select("diff_id", "grp", "side", "wrapper"))
+R.add("var_types_fallback", lambda s, d: snippets.fallback_types(_stream(s, d)).select("diff_id", "grp", "side", "var", "type"))
+R.add("atomic_set_removed", lambda s, d: snippets.atomic_sets(_stream(s, d)).where("side = 'removed'").select("diff_id", "grp", "side", "n", "var"))
 TYPES = """typed AS (
   SELECT diff_id, grp, file, side, regexp_extract(text, p, 2) AS var, arg_max(regexp_extract(text, p, 1), n) AS type
   FROM sides, (SELECT '\\b([A-Z]\\w*)(?:<[^;=()]*>)?\\s+([a-z]\\w*)\\s*[=;,]' AS p) WHERE regexp_matches(text, p) GROUP BY ALL),

@@ -26,6 +26,7 @@ LINES = [
     "String s = encode(input);",
     "ExecutorService pool = Executors.newFixedThreadPool(1);",
     "pool = new ThreadPoolExecutor(0, Integer.MAX_VALUE, 60L);",
+    "pool = new ThreadPoolExecutor(4, 8, 60L);",
     "queue = new LinkedBlockingQueue<>();",
     "while (true) {",
     "try (InputStream in = new FileInputStream(path)) {",
@@ -63,11 +64,34 @@ LINES = [
     "http.Get(\"http://example.com/\" + id)",
     "// riskweave-ignore: runtime.concurrency.lock_removed",
     "AtomicLong hits = new AtomicLong();",
+    "hits.set(0L);",
     "Long hits = 0L;",
+    "int last = rows[list.size() - 1];",
+    "ArrayList raw = new ArrayList<>();",
+    "public Service(String name)",
+    "List<String> none = Collections.emptyList();",
+    "if (!map.containsKey(key)) {",
+    "map.put(key, value);",
+    "public interface Loader {",
+    "protected volatile int count;",
+    "sql.append(id); /* joined",
+    "over lines */ sql.append(name).execute(",
+    "Map<String, List<Long>> byName = load(",
     "int total = a + b;",
     "// nothing to see",
     "",
 ]
+#: First lines of every seventeenth text, before any header: patterns that are anchored without multi-line mode see only these.
+FIRST = [
+    "+ InputStream in = new FileInputStream(path);",
+    "+ Connection c = DriverManager.getConnection(url);",
+    "+ ExecutorService pool = Executors.newFixedThreadPool(2);",
+    "+ Reader r = new FileReader(paths.get(0).get());",
+    "+ throw new IllegalStateException(text);",
+    "+ Writer w = new FileWriter(files.get ());",
+    "+ Long total = counts.get(key) + 1;",
+    "+ List<String> none = Collections.emptyList();",
+]
 DIRS = ["src/service/", "src/controller/", "src/dto/", "lib/", "app/api/", "", "src/entity/", "docs/"]
 EXTS = [".java", ".py", ".go", ".js", ".ts", ".cpp", ".md", ".yaml"]
 
@@ -100,7 +124,8 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(diff_id, raw_diff): unified diffs. Every seventh diff is of a new file, every eleventh of a deleted one, every thirteenth lacks git headers."""
+    """(diff_id, raw_diff): unified diffs. Every seventh diff is of a new file, every eleventh of a deleted one, every thirteenth lacks git headers, every
+    seventeenth begins with an added line before all headers."""
     lines = code_lines(spark, sf_dir).withColumn("line", F.concat("sign", F.lit(" "), "text"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
     patch = lines.groupBy("diff_id", "patch_no", "file").agg(body.alias("body"), F.count("*").cast("string").alias("n"))
@@ -110,7 +135,8 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = F.when((d % 11 == 0) & (d % 7 != 0), "+++ /dev/null").otherwise(F.concat(F.lit("+++ b/"), f))
     text = F.concat(git, old, F.lit("\n"), new, F.lit("\n@@ -10,"), "n", F.lit(" +10,"), "n", F.lit(" @@\n"), "body")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("patch_no", text.alias("text")))), lambda x: x.text), "\n")
-    return patch.groupBy("diff_id").agg(whole.alias("raw_diff"))
+    first = F.when(d % 17 == 0, F.concat(pick(FIRST, F.floor(d / 17)), F.lit("\n"))).otherwise("")
+    return patch.groupBy("diff_id").agg(whole.alias("raw_diff")).select("diff_id", F.concat(first, "raw_diff").alias("raw_diff"))
 
 
 def _sql_list(values: list[str]) -> str:
@@ -134,4 +160,4 @@ diff_patches AS (
     || '@@ -10,' || CAST(count(*) AS VARCHAR) || ' +10,' || CAST(count(*) AS VARCHAR) || ' @@' || chr(10)
     || string_agg(sign || ' ' || text, chr(10) ORDER BY pos) AS text
   FROM code_lines GROUP BY diff_id, patch_no, file),
-diffs AS (SELECT diff_id, string_agg(text, chr(10) ORDER BY patch_no) AS raw_diff FROM diff_patches GROUP BY diff_id)"""
+diffs AS (SELECT diff_id, CASE WHEN diff_id % 17 = 0 THEN {_sql_pick(FIRST, "diff_id // 17")} || chr(10) ELSE '' END || string_agg(text, chr(10) ORDER BY patch_no) AS raw_diff FROM diff_patches GROUP BY diff_id)"""
