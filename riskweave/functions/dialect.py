@@ -128,6 +128,12 @@ def version_segments(v: Column) -> Column:
     return F.transform(F.split(F.regexp_replace(v, "-", "."), "\\."), lambda s: F.coalesce(F.nullif(F.regexp_replace(s, "[^0-9]", ""), F.lit("")).cast("int"), F.lit(0)))
 
 
+def version_key(v: Column) -> Column:
+    """A text that sorts as the version does: each segment's digits behind their number, so numbers of any length are in order and a shorter version comes first."""
+    digits = F.transform(F.split(F.regexp_replace(v, "-", "."), "\\."), lambda s: F.regexp_replace(F.regexp_replace(s, "[^0-9]", ""), "^0+", ""))
+    return F.array_join(F.transform(digits, lambda s: F.concat(F.lpad(F.length(s).cast("string"), 4, "0"), s)), "")
+
+
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

@@ -161,11 +161,12 @@ def match_code(s: DataFrame, signals: DataFrame | None, rules: list[builtin_rule
     return s.select("diff_id", F.explode(F.array(*hits)).alias("x")).where("x.matched_file is not null").select("diff_id", "x.load_order", "x.matched_file")
 
 
-def governed(rows: list[tuple], experimental: bool = True) -> list[tuple]:
-    """Rule rows that may run: enabled and not disabled, experimental ones if asked for; a deprecated rule's severity is low and doesn't block."""
+def governed(rows: list[tuple], experimental: bool = True, overrides: dict[str, str] | None = None) -> list[tuple]:
+    """Rule rows that may run: enabled and not disabled, experimental ones if asked for; a deprecated rule's severity is low and doesn't block. overrides: statuses by rule id."""
     names = [c.split()[0] for c in catalog.SCHEMA.split(", ")]
     out = []
     for r in rule_table(rows):
+        r["status"] = (overrides or {}).get(r["rule_id"], r["status"])
         if not r["enabled"] or r["status"] == "disabled" or (r["status"] == "experimental" and not experimental):
             continue
         if r["status"] == "deprecated":
@@ -179,20 +180,19 @@ class Engine:
 
     ignores: (rule glob, file globs or none) whose findings are dropped. quality: a table (rule_id, hits, precision, one row a rule) by which
     rules are tuned: disabled ones don't run, degraded ones lose a step of severity. versions: {rule_id: (version in use or none,
-    introduced, fixed)} of rules for packages: such a rule runs only if the version is known and affected."""
+    introduced, fixed)} of rules for packages: such a rule runs only if the version is known and affected. packages and dependencies: the
+    same as tables, see barred. overrides: {rule_id: status}, which come before a rule's own status."""
 
-    def __init__(self, spark, rows: list[tuple] | None = None, skip_paths: list[str] | None = None, semantics: str = "compat", ignores: list[tuple[str, list[str]]] | None = None, quality: DataFrame | None = None, versions: dict[str, tuple[str | None, list[str], list[str]]] | None = None, experimental: bool = True) -> None:
+    def __init__(self, spark, rows: list[tuple] | None = None, skip_paths: list[str] | None = None, semantics: str = "compat", ignores: list[tuple[str, list[str]]] | None = None, quality: DataFrame | None = None, versions: dict[str, tuple[str | None, list[str], list[str]]] | None = None, experimental: bool = True, packages: DataFrame | None = None, dependencies: DataFrame | None = None, overrides: dict[str, str] | None = None) -> None:
         self.spark, self.skip, self.semantics, self.ignores, self.quality = spark, skip_paths, semantics, ignores or [], quality
-        self.rows = governed(catalog.rows() if rows is None else rows, experimental)
-        if versions:
-            self.rows = [r for r in self.rows if r[1] not in versions or self._affected(*versions[r[1]])]
+        self.rows = governed(catalog.rows() if rows is None else rows, experimental, overrides)
         self.rules = compiled(spark, self.rows)
-
-    def _affected(self, version: str | None, introduced: list[str], fixed: list[str]) -> bool:
-        if version is None:
-            return False
-        row = self.spark.createDataFrame([(version, introduced, fixed)], "v string, i array<string>, f array<string>")
-        return row.select(version_affected(F.col("v"), F.col("i"), F.col("f"))).first()[0]
+        if versions:
+            table = spark.createDataFrame([(k, *v) for k, v in versions.items()], "rule_id string, v string, i array<string>, f array<string>")
+            idle = table.where(F.col("v").isNull() | ~version_affected(F.col("v"), F.col("i"), F.col("f")))
+            self.rules = self.rules.join(F.broadcast(idle.select("rule_id")), "rule_id", "left_anti")
+        if packages is not None and dependencies is not None:
+            self.rules = self.rules.join(barred(packages, dependencies), "rule_id", "left_anti")
 
     def audit(self, diffs: DataFrame) -> DataFrame:
         """(diff_id, load_order, rule_id, severity, impact, rationale, matched_file, is_blocking, experimental): one row a diff and rule."""
@@ -262,9 +262,34 @@ def downgraded(severity: Column) -> Column:
     return F.when(severity == "critical", "high").when(severity == "high", "medium").when(severity == "medium", "low").otherwise(severity)
 
 
+def version_bounds(introduced: Column, fixed: Column) -> tuple[Column, Column]:
+    """Sortable keys of the least introduced and the least fixed version; null where there is none."""
+    least = lambda xs: F.array_min(F.transform(F.filter(xs, lambda x: x != ""), dialect.version_key))
+    return least(introduced), least(fixed)
+
+
 def version_affected(version: Column, introduced: Column, fixed: Column) -> Column:
     """version lies in [least introduced, least fixed); a missing bound is open."""
-    v = dialect.version_segments(version)
-    low = F.array_min(F.transform(introduced, dialect.version_segments))
-    high = F.array_min(F.transform(fixed, dialect.version_segments))
-    return F.coalesce(v >= low, F.lit(True)) & F.coalesce(v < high, F.lit(True))
+    key, (low, high) = dialect.version_key(version), version_bounds(introduced, fixed)
+    return F.coalesce(key >= low, F.lit(True)) & F.coalesce(key < high, F.lit(True))
+
+
+def _package(c: str, lower: bool = False) -> Column:
+    return F.lower(F.trim(F.col(c))) if lower else F.trim(F.col(c))
+
+
+def affected_dependencies(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(rule_id, ecosystem, package, version): dependencies(ecosystem, package, version) in the ranges of packages(rule_id, ecosystem, package, introduced, fixed).
+
+    An equi-join by package whose versions are compared as sortable texts."""
+    low, high = version_bounds(F.col("introduced"), F.col("fixed"))
+    ranges = packages.select("rule_id", _package("ecosystem", True).alias("ecosystem"), _package("package").alias("package"), low.alias("low"), high.alias("high"))
+    used = dependencies.where("version is not null").select(_package("ecosystem", True).alias("ecosystem"), _package("package").alias("package"), "version", dialect.version_key(F.col("version")).alias("key"))
+    return ranges.join(used, ["ecosystem", "package"]).where("(low is null or key >= low) and (high is null or key < high)").select("rule_id", "ecosystem", "package", "version")
+
+
+def barred(packages: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(rule_id): rules for packages that don't run: their ecosystem has dependencies, and no version of their package in it is affected."""
+    known = dependencies.select(_package("ecosystem", True).alias("ecosystem")).distinct()
+    asked = packages.where("trim(ecosystem) <> '' and trim(package) <> ''").select("rule_id", _package("ecosystem", True).alias("ecosystem"))
+    return asked.join(known, "ecosystem", "left_semi").select("rule_id").distinct().join(affected_dependencies(packages, dependencies).select("rule_id"), "rule_id", "left_anti")

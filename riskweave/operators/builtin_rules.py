@@ -190,10 +190,14 @@ def column(rule: Rule, c: Spark) -> Column:
             pairs = F.when(cond, tag) if pairs is None else pairs.when(cond, tag)
         return F.coalesce(out, pairs)
     if s == "following":
-        hit = F.exists(F.sequence(F.lit(1), F.size(c.lines)), lambda i: c.has(F.element_at(c.lines, i), a) & ~c.has(F.array_join(F.slice(c.lines, i, F.size(c.lines)), "\n"), b, rule.flags_b))
-        return of(c.has(c.raw, a, "m") & hit)
+        # what follows the last hit is part of what follows any other, so that one decides
+        last = F.array_max(F.transform(c.lines, lambda x, i: F.when(c.has(x, a), i)))
+        return of(c.has(c.raw, a, "m") & F.coalesce(~c.has(F.array_join(F.slice(c.lines, last + 1, F.size(c.lines)), "\n"), b, rule.flags_b), F.lit(False)))
     if s == "context":
-        hit = F.exists(F.sequence(F.lit(1), F.size(c.lines)), lambda i: c.has(F.element_at(c.lines, i), a) & ~c.has(F.array_join(F.slice(c.lines, F.greatest(i - 3, F.lit(1)), i + 4 - F.greatest(i - 3, F.lit(1))), "\n"), b))
+        edge = F.array_repeat(F.lit(None).cast("string"), 3)
+        padded = F.concat(edge, c.lines, edge)
+        near = F.arrays_zip(*[F.slice(padded, F.lit(k + 1), F.size(c.lines)).alias(f"l{k}") for k in range(7)])
+        hit = F.exists(near, lambda x: c.has(x["l3"], a) & ~c.has(F.concat_ws("\n", *[x[f"l{k}"] for k in range(7)]), b))
         return of(c.has(c.raw, a, "m") & hit)
     if s == "raw_type":
         return of(F.exists(c.added, lambda x: c.has(x, a) & ~c.has(F.when(x.contains("="), F.get(F.split(x, "=", -1), F.lit(1))).otherwise(x), b)))
@@ -216,7 +220,11 @@ def column(rule: Rule, c: Spark) -> Column:
     if s == "signature":
         names = lambda sign, g: F.regexp_extract_all(c.raw, F.lit(c.pattern(f"^{sign}{a[0]}", "m")), F.lit(g))
         both = lambda sign: F.arrays_zip(names(sign, 1).alias("n"), names(sign, 2).alias("p"))
-        return of(F.exists(both("-"), lambda x: F.exists(both(r"\+"), lambda y: (x["n"] == y["n"]) & (x["p"] != y["p"]))))
+        # a name of both sides with more than one list of parameters: equal names are neighbours once sorted
+        pairs = F.array_sort(F.array_distinct(F.concat(both("-"), both(r"\+"))))
+        next_ones = F.arrays_zip(F.slice(pairs, F.lit(1), F.greatest(F.size(pairs) - 1, F.lit(0))).alias("x"), F.slice(pairs, F.lit(2), F.greatest(F.size(pairs) - 1, F.lit(0))).alias("y"))
+        several = F.transform(F.filter(next_ones, lambda z: z["x"]["n"] == z["y"]["n"]), lambda z: z["x"]["n"])
+        return of(F.arrays_overlap(several, F.array_intersect(names("-", 1), names(r"\+", 1))))
     raise ValueError(s)
 
 

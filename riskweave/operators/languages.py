@@ -1,15 +1,17 @@
 """Line-level nodes and signals of source text by language, and ranges of changed lines.
 
-lines(file, line, text) is the input; changed ranges (file, start_line, end_line) meet nodes through the lines they span, an equi-join."""
+lines(file, line, text) is the input; changed ranges (file, start_line, end_line) meet nodes, which may span lines, as intervals."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskweave.operators import intervals
+
 # What marks a node of each language, and the ids of their signals.
 GO_NODES = {
     "function": r"func\s+(?:\([^)]+\)\s+)?[a-zA-Z_][a-zA-Z0-9_]*\s*\(", "goroutine": r" go |^\s*go ", "defer": r"defer ", "channel": r"<-|make\(chan", "mutex": r"sync\.(?:RW)?Mutex|\.(?:R?Lock|R?Unlock)\(\)", "select": r"\bselect\s*\{",
@@ -19,6 +21,7 @@ GO_SIGNALS = {
     "goroutine": "runtime.concurrency.goroutine_created", "defer": "runtime.resource.defer_statement", "channel": "runtime.concurrency.channel_operation", "mutex": "runtime.concurrency.mutex_operation",
     "select": "runtime.concurrency.select_statement", "panic": "runtime.error.panic_called",
 }
+GO_UNSAFE = r'^\s*(?:import\s+)?(?:\w+\s+)?"unsafe"'
 CPP_NODES = {"class": r"\b(?:class|struct)\s+\w+", "memory": r" new | delete |malloc", "smart_pointer": r"unique_ptr|shared_ptr|weak_ptr", "thread": r"std::thread|std::mutex", "unsafe_function": r"strcpy|strcat|sprintf|gets"}
 CPP_SIGNALS = {"memory": "runtime.memory.operation", "smart_pointer": "runtime.memory.smart_pointer", "thread": "runtime.concurrency.thread_operation", "unsafe_function": "security.unsafe_function"}
 JS_NODES = {
@@ -44,14 +47,34 @@ def nodes(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     return lines.select("file", "line", F.explode(found).alias("node"))
 
 
-def changed_lines(ranges: DataFrame) -> DataFrame:
-    return ranges.select("file", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
-
-
 def signals(found: DataFrame, ranges: DataFrame, ids: dict[str, str]) -> DataFrame:
-    """(file, line, signal_id) of nodes in changed lines."""
+    """(file, line, signal_id) of found(file, line, node), or (file, line, last, node) for nodes over several lines, that changed ranges touch."""
     name = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
-    return found.where(F.col("node").isin(*ids)).join(changed_lines(ranges), ["file", "line"], "left_semi").select("file", "line", name[F.col("node")].alias("signal_id"))
+    last = F.col("last") if "last" in found.columns else F.col("line")
+    spans = found.where(F.col("node").isin(*ids)).select("file", F.col("line").cast("long").alias("start"), last.cast("long").alias("end"), "line", "node")
+    changed = ranges.select("file", F.col("start_line").cast("long").alias("start"), F.col("end_line").cast("long").alias("end"))
+    return intervals.covered(spans, changed, ["file"]).select("file", "line", name[F.col("node")].alias("signal_id"))
+
+
+def unsafe_imports(lines: DataFrame) -> DataFrame:
+    """(file, line, signal_id): a file that imports the unsafe package, whatever lines changed; its line is 0."""
+    return lines.where(F.col("text").rlike(GO_UNSAFE)).select("file", F.lit(0).alias("line"), F.lit("runtime.security.unsafe_package_used").alias("signal_id")).distinct()
+
+
+def brace_spans(lines: DataFrame, pattern: str) -> DataFrame:
+    """(file, line, last): from a line that matches and opens a brace to the line that closes it, or the file's last one.
+
+    The depth after each line is a running sum. A line closes every level between the depths before and after it, so an opening meets
+    the next closing of its level within (file, level), in order of lines."""
+    w = Window.partitionBy("file").orderBy("line")
+    opened, closed = F.regexp_count("text", F.lit("\\{")), F.regexp_count("text", F.lit("\\}"))
+    rows = lines.withColumn("after", F.sum(opened - closed).over(w)).withColumn("before", F.col("after") - opened + closed).withColumn("end", F.max("line").over(Window.partitionBy("file")))
+    begins = rows.where(F.col("text").rlike(pattern) & (opened > 0)).select("file", "line", F.col("before").alias("level"), "end", F.lit(1).alias("kind"), F.when(F.col("after") <= F.col("before"), F.col("line")).alias("own"))
+    falls = rows.where("after < before").select("file", "line", F.explode(F.sequence("after", F.col("before") - 1)).alias("level"), "end", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("own"))
+    both = begins.unionByName(falls)
+    later = Window.partitionBy("file", "level").orderBy("line").rangeBetween(1, Window.unboundedFollowing)
+    to = F.coalesce("own", F.min(F.when(F.col("kind") == 0, F.col("line"))).over(later), "end")
+    return both.withColumn("last", to).where("kind = 1").select("file", "line", "last")
 
 
 def pattern_counts(text: Column) -> Column:

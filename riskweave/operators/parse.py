@@ -115,6 +115,20 @@ def first_added(diffs: DataFrame) -> DataFrame:
     return added.groupBy("diff_id").agg(F.min("pos").alias("position"), F.min_by("new_line", "pos").cast("int").alias("line"))
 
 
+def patch_positions(diffs: DataFrame) -> DataFrame:
+    """(diff_id, grp, file, position, line): in each patch the place, from 1 on, of its first added line, and that line's number in the new file.
+
+    A patch without one gives its last hunk's place (1 without hunks) and the number that its last line leads to."""
+    numbered = F.transform(F.split("patch", "\n", -1), lambda x, i: F.struct((i + 1).alias("i"), x.alias("x")))
+    added = F.get(F.filter("l", lambda r: r["x"].startswith("+") & ~r["x"].startswith("+++")), F.lit(0))["i"]
+    rows = file_patches(diffs).select("diff_id", "grp", "file", numbered.alias("l")).withColumn("first", added)
+    rows = rows.withColumn("l", F.when(F.col("first").isNull(), F.col("l")).otherwise(F.slice("l", F.lit(1), F.greatest(F.col("first") - 1, F.lit(0)))))
+    rows = rows.withColumn("hunk", F.element_at(F.concat(F.array(F.struct(F.lit(1).alias("i"), F.lit("").alias("x"))), F.filter("l", lambda r: r["x"].startswith("@@"))), -1))
+    start = F.nullif(F.regexp_extract("hunk.x", "\\+(\\d+)", 1), F.lit("")).cast("int")
+    seen = F.size(F.filter("l", lambda r: (r["i"] > F.col("hunk.i")) & ~(r["x"].startswith("-") & ~r["x"].startswith("---"))))
+    return rows.select("diff_id", "grp", "file", F.coalesce("first", "hunk.i").alias("position"), F.coalesce(start + seen, F.lit(1)).alias("line"))
+
+
 def rebuild(changes: DataFrame) -> DataFrame:
     """Unified diffs of changes(diff_id, pos, old_path, new_path, is_new, is_deleted, is_renamed, body)."""
     head = F.concat(F.lit("diff --git a/"), "old_path", F.lit(" b/"), "new_path", F.lit("\n"))

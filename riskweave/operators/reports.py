@@ -50,12 +50,15 @@ def as_json(findings: DataFrame) -> DataFrame:
 
 
 def inline_comments(findings: DataFrame, positions: DataFrame) -> DataFrame:
-    """findings joined to positions(file, position, line); a file without one takes the first file that has one."""
-    fallback = positions.agg(F.min_by(F.struct("file", "position", "line"), "file").alias("f"))
-    both = findings.join(positions, findings["matched_file"] == positions["file"], "left").crossJoin(F.broadcast(fallback))
-    pick = lambda c: F.when(F.col("file").isNull(), F.col(f"f.{c}")).otherwise(F.col(c)).alias("path" if c == "file" else c)
+    """findings with the place of their comment, of parse.patch_positions: the first added line of the last patch of their file in their diff, else that of the
+    diff's first patch; a diff without patches keeps the finding's file at place 1."""
+    place = F.struct("file", "position", "line")
+    own = positions.groupBy("diff_id", F.col("file").alias("matched_file")).agg(F.max_by(place, "grp").alias("own"))
+    first = positions.groupBy("diff_id").agg(F.min_by(place, "grp").alias("first"))
+    both = findings.join(own, ["diff_id", "matched_file"], "left").join(first, "diff_id", "left")
+    at = F.coalesce("own", "first", F.struct(F.col("matched_file").alias("file"), F.lit(1).alias("position"), F.lit(1).alias("line")))
     body = F.concat(F.lit("**"), F.upper("severity"), F.lit("** "), "rule_id")
-    return both.select("load_order", "rule_id", pick("file"), pick("position"), pick("line"), body.alias("body"))
+    return both.withColumn("at", at).select("diff_id", "load_order", "rule_id", F.col("at.file").alias("path"), "at.position", "at.line", body.alias("body"))
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "tag") -> DataFrame:

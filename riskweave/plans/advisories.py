@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.functions import dialect
 from riskweave.operators import advisories as A
+from riskweave.operators import audit
 from riskweave.operators.audit import version_affected
 from riskweave.plans.base import Registry, sql_pick
 from riskweave.sources.corpus import pick, table
@@ -138,4 +139,35 @@ R.add(
     "cve_version_gate", cve_version_gate,
     "SELECT k, version, seg >= [10, 2] AND (k % 4 = 0 OR seg < [30, 5]) AS affected FROM (SELECT k, version, list_transform(string_split(replace(version, '-', '.'), '.'), lambda x: coalesce(try_cast(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '') AS INTEGER), 0)) AS seg FROM (SELECT k, CAST(z AS VARCHAR) || '.' || CAST(k % 10 AS VARCHAR) || CASE WHEN k % 3 = 0 THEN '-beta2' ELSE '' END AS version FROM base))", BASE,
 )
+
+
+def _packages(s, d):
+    """(rule_id, ecosystem, package, introduced, fixed): a rule a part."""
+    k, z = F.col("k"), F.col("z")
+    text = lambda x: x.cast("string")
+    intro = F.when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(text(z % 30), F.lit(".2")), F.concat(text(z % 30 + 1), F.lit(".0"))))
+    fixed = F.when(k % 4 == 0, F.array(F.lit(""))).otherwise(F.array(F.concat(text(z % 30 + 3), F.lit(".10.1"))))
+    return base(s, d).select(F.concat(F.lit("cve-"), text(k)).alias("rule_id"), F.when(k % 6 == 0, "").otherwise(F.concat(F.lit(" "), F.upper("ecosystem"))).alias("ecosystem"), F.concat(F.lit("p"), text(k % 40)).alias("package"), intro.alias("introduced"), fixed.alias("fixed"))
+
+
+def _dependencies(s, d):
+    """(ecosystem, package, version): a version a supplier; Maven has none."""
+    k = F.col("s_suppkey").cast("long")
+    v = F.concat((k * 7 % 40).cast("string"), F.lit("."), (k % 12).cast("string"), F.when(k % 3 == 0, "-rc1").otherwise(""))
+    return table(s, d, "supplier").select(pick(["npm", "PyPI", "Go"], k).alias("ecosystem"), F.concat(F.lit("p"), (k % 37).cast("string")).alias("package"), F.when(k % 11 != 0, v).alias("version"))
+
+
+PACKAGES = """packages AS (
+  SELECT 'cve-' || k AS rule_id, CASE WHEN k % 6 = 0 THEN '' ELSE lower(ecosystem) END AS ecosystem, 'p' || (k % 40) AS package,
+    CASE WHEN k % 5 <> 0 THEN [z % 30, 2] END AS low, CASE WHEN k % 4 <> 0 THEN [z % 30 + 3, 10, 1] END AS high FROM base),
+dependencies AS (
+  SELECT lower(['npm', 'PyPI', 'Go'][CAST(k % 3 + 1 AS INTEGER)]) AS ecosystem, 'p' || (k % 37) AS package,
+    CASE WHEN k % 11 <> 0 THEN (k * 7 % 40) || '.' || (k % 12) || CASE WHEN k % 3 = 0 THEN '-rc1' ELSE '' END END AS version, CASE WHEN k % 3 = 0 THEN [k * 7 % 40, k % 12, 1] ELSE [k * 7 % 40, k % 12] END AS seg
+  FROM (SELECT CAST(s_suppkey AS BIGINT) AS k FROM supplier)),
+met AS (SELECT p.rule_id, p.ecosystem, p.package, d.version FROM packages p JOIN dependencies d USING (ecosystem, package) WHERE d.version IS NOT NULL AND (low IS NULL OR seg >= low) AND (high IS NULL OR seg < high))"""
+R.add("affected_dependencies", lambda s, d: audit.affected_dependencies(_packages(s, d), _dependencies(s, d)), "SELECT * FROM met", BASE, PACKAGES)
+R.add(
+    "barred_rules", lambda s, d: audit.barred(_packages(s, d), _dependencies(s, d)),
+    "SELECT rule_id FROM packages WHERE ecosystem IN (SELECT ecosystem FROM dependencies) AND rule_id NOT IN (SELECT rule_id FROM met)", BASE, PACKAGES,
+)
 R.add("slugify", lambda s, d: table(s, d, "customer").select("c_custkey", dialect.slug(F.col("c_name")).alias("slug")), "SELECT c_custkey, regexp_replace(lower(replace(c_name, '-', '_')), '[^a-z0-9_]', '_', 'g') AS slug FROM customer")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskweave.operators import audit, reports
-from riskweave.plans.base import FILES, FINDINGS, RULE_IDS, RUNS, Registry, duck_globs, findings, runs, sql_pick
-from riskweave.sources import catalog
+from riskweave.operators import audit, parse, reports
+from riskweave.plans.base import DIFFS, FINDINGS, LINES, PATCHES, RULE_IDS, RUNS, SEVERITY_OF, Registry, duck_globs, findings, runs, sql_pick
+from riskweave.sources import catalog, corpus
 from riskweave.sources.corpus import pick, table
 
 R = Registry()
@@ -72,15 +72,31 @@ R.add(
 R.add("inline_comment_body", lambda s, d: findings(s, d).select("load_order", F.concat(F.lit("**"), F.upper("severity"), F.lit("** "), "rule_id", F.lit(" in "), "matched_file").alias("body")), "SELECT load_order, '**' || upper(severity) || '** ' || rule_id || ' in ' || matched_file AS body FROM findings", FINDINGS)
 
 
-def inline_comments(s, d):
-    at = s.createDataFrame([(f, i + 3, i + 10) for i, f in enumerate(FILES) if i % 2 == 0], "file string, position int, line int")
-    return reports.inline_comments(findings(s, d), at)
-
-
+def located(s, d):
+    """(diff_id, load_order, rule_id, severity, matched_file): two findings of each diff, one in its first file, one in a file that it lacks."""
+    first = parse.file_patches(corpus.diffs(s, d)).groupBy("diff_id").agg(F.min_by("file", "grp").alias("file"), F.max_by("file", "grp").alias("last"))
+    f = first.withColumn("load_order", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("k", F.col("diff_id") + F.col("load_order"))
+    return f.select("diff_id", "load_order", pick(RULE_IDS, F.col("k")).alias("rule_id"), pick(SEVERITY_OF, F.col("k")).alias("severity"), F.when(F.col("load_order") == 0, F.when(F.col("k") % 2 == 0, F.col("file")).otherwise(F.col("last"))).otherwise("no/such.file").alias("matched_file"))
+
+
+LOCATED = f"""located AS (
+  SELECT diff_id, load_order, {sql_pick(RULE_IDS, "diff_id + load_order")} AS rule_id, {sql_pick(SEVERITY_OF, "diff_id + load_order")} AS severity, CASE WHEN load_order = 1 THEN 'no/such.file' WHEN diff_id % 2 = 0 THEN file ELSE last END AS matched_file
+  FROM (SELECT diff_id, arg_min(file, grp) AS file, arg_max(file, grp) AS last FROM patches WHERE file IS NOT NULL GROUP BY diff_id), (SELECT unnest([0, 1]) AS load_order)),
+placed AS (  -- places by window functions
+  SELECT *, row_number() OVER (PARTITION BY diff_id, grp ORDER BY pos) AS i, starts_with(line, '+') AND NOT starts_with(line, '+++') AS added FROM marked),
+firsts AS (SELECT diff_id, grp, min(i) FILTER (added) AS first FROM placed GROUP BY ALL),
+hunks AS (SELECT p.diff_id, p.grp, any_value(f.first) AS first, max(i) FILTER (starts_with(line, '@@') AND i < coalesce(f.first, 1000000)) AS hunk FROM placed p JOIN firsts f USING (diff_id, grp) GROUP BY ALL),
+places AS (
+  SELECT h.diff_id, h.grp, coalesce(any_value(h.first), any_value(h.hunk), 1) AS position,
+    coalesce(CAST(max(regexp_extract(p.line, '[+](\\d+)', 1)) FILTER (p.i = h.hunk) AS BIGINT) + count(*) FILTER (p.i > h.hunk AND p.i < coalesce(h.first, 1000000) AND NOT (starts_with(p.line, '-') AND NOT starts_with(p.line, '---'))), 1) AS line
+  FROM hunks h JOIN placed p USING (diff_id, grp) GROUP BY h.diff_id, h.grp),
+of_files AS (SELECT q.diff_id, q.grp, f.file, q.position, q.line FROM places q JOIN patches f USING (diff_id, grp) WHERE f.file IS NOT NULL)"""
 R.add(
-    "inline_comments", inline_comments,
-    "SELECT load_order, rule_id, coalesce(p.file, q.file) AS path, CAST(coalesce(p.position, q.position) AS INTEGER) AS position, CAST(coalesce(p.line, q.line) AS INTEGER) AS line, '**' || upper(severity) || '** ' || rule_id AS body FROM findings f LEFT JOIN p ON p.file = f.matched_file CROSS JOIN (SELECT * FROM p ORDER BY file LIMIT 1) q",
-    FINDINGS, "p(file, position, line) AS (VALUES " + ", ".join(f"('{f}', {i + 3}, {i + 10})" for i, f in enumerate(FILES) if i % 2 == 0) + ")",
+    "inline_comments", lambda s, d: reports.inline_comments(located(s, d), parse.patch_positions(corpus.diffs(s, d))),
+    """SELECT l.diff_id, l.load_order, l.rule_id, coalesce(o.path, f.path) AS path, CAST(coalesce(o.position, f.position) AS INTEGER) AS position, CAST(coalesce(o.line, f.line) AS INTEGER) AS line, '**' || upper(severity) || '** ' || rule_id AS body
+FROM located l LEFT JOIN (SELECT diff_id, file AS path, arg_max(position, grp) AS position, arg_max(line, grp) AS line FROM of_files GROUP BY ALL) o ON o.diff_id = l.diff_id AND o.path = l.matched_file
+LEFT JOIN (SELECT diff_id, arg_min(file, grp) AS path, arg_min(position, grp) AS position, arg_min(line, grp) AS line FROM of_files GROUP BY diff_id) f ON f.diff_id = l.diff_id""",
+    DIFFS, LINES, PATCHES, LOCATED,
 )
 
 # --- catalogue --------------------------------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from riskweave.streaming import streams
 
 R = Registry()
 _q = lambda p: "'" + p.replace("'", "''") + "'"
-EXTRA = ["defer f.Close()", "std::unique_ptr<Foo> p;", "strcpy(buf, src);", "func main() {", "export class A {", "mu.Lock()", "std::thread t(run);", "panic(err)", "await fetch(url)", "int *p = new int[5];", "select {", "x = a + 10"]
+EXTRA = ["defer f.Close()", "std::unique_ptr<Foo> p;", "strcpy(buf, src);", "func main() {", "export class A {", "mu.Lock()", "std::thread t(run);", "panic(err)", "await fetch(url)", "int *p = new int[5];", "select {", "x = a + 10", 'import "unsafe"', "func (s *S) run() {", "}}", "}"]
 
 
 def source(s, d):
@@ -32,6 +32,11 @@ def ranges(s, d):
 RANGES = "ranges AS (SELECT CAST(o_orderkey AS BIGINT) AS file, o_orderkey % 3 + 1 AS start_line, o_orderkey % 3 + 1 + o_orderkey % 4 AS end_line FROM orders)"
 
 
+DEPTHS = """depths AS (
+  SELECT *, after - opened + closed AS before, max(line) OVER (PARTITION BY file) AS final FROM (SELECT *, sum(opened - closed) OVER (PARTITION BY file ORDER BY line) AS after FROM (
+    SELECT *, len(text) - len(replace(text, chr(123), '')) AS opened, len(text) - len(replace(text, chr(125), '')) AS closed FROM source)))"""
+
+
 def _nodes_sql(patterns: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT file, line, '{k}' AS node FROM source WHERE regexp_matches(text, {_q(p)})" for k, p in patterns.items())
 
@@ -44,6 +49,23 @@ for _name, _patterns, _ids in (("go", languages.GO_NODES, languages.GO_SIGNALS),
     )
 
 
+R.add(
+    "go_function_spans", lambda s, d: languages.brace_spans(source(s, d), languages.GO_NODES["function"]).select("file", "line", "last"),
+    # the next line by whose end no more is open than before, searched for
+    f"""SELECT r.file, r.line, coalesce(CASE WHEN r.after <= r.before THEN r.line END, min(c.line), any_value(r.final)) AS last
+FROM depths r LEFT JOIN depths c ON c.file = r.file AND c.line > r.line AND c.after <= r.before AND c.after < c.before WHERE regexp_matches(r.text, {_q(languages.GO_NODES["function"])}) AND contains(r.text, chr(123)) GROUP BY r.file, r.line, r.after, r.before""",
+    DIFFS, SOURCE, DEPTHS,
+)
+R.add(
+    "go_changed_functions", lambda s, d: languages.signals(languages.brace_spans(source(s, d), languages.GO_NODES["function"]).withColumn("node", F.lit("function")), ranges(s, d), {"function": "function_changed"}).select("file", "line"),
+    f"""SELECT DISTINCT f.file, f.line FROM (SELECT r.file, r.line, coalesce(CASE WHEN r.after <= r.before THEN r.line END, min(c.line), any_value(r.final)) AS last
+FROM depths r LEFT JOIN depths c ON c.file = r.file AND c.line > r.line AND c.after <= r.before AND c.after < c.before WHERE regexp_matches(r.text, {_q(languages.GO_NODES["function"])}) AND contains(r.text, chr(123)) GROUP BY r.file, r.line, r.after, r.before) f
+JOIN ranges g ON g.file = f.file AND g.start_line <= f.last AND g.end_line >= f.line""",
+    DIFFS, SOURCE, DEPTHS, RANGES,
+)
+R.add("go_unsafe_imports", lambda s, d: languages.unsafe_imports(source(s, d)), "SELECT DISTINCT file, 0 AS line, 'runtime.security.unsafe_package_used' AS signal_id FROM source WHERE text = 'import \"unsafe\"'", DIFFS, SOURCE)
+
+
 def _typed(s, d):
     kinds = {"goroutine": "high", "panic": "high", "mutex": "medium", "channel": "medium", "select": "low", "defer": "low"}
     return languages.nodes(source(s, d), {k: languages.GO_NODES[k] for k in kinds}).groupBy("node").agg(F.count("*").alias("n")).select("node", "n", F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("node")].alias("severity"))
