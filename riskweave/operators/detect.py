@@ -33,9 +33,7 @@ TOKEN = "\"[^\"\\\\]*(?:\\\\.[^\"\\\\]*)*\"|'[^'\\\\]*(?:\\\\.[^'\\\\]*)*'|[A-Za
 
 def side_lines(diffs: DataFrame) -> DataFrame:
     """(diff_id, grp, file, side, n, text): added and removed lines of analyzable patches, numbered within their side."""
-    patches = parse.file_patches(diffs)
-    patches = patches.where(F.lower(F.regexp_extract("file", "(\\.[^./]*)$", 1)).isin(*ANALYZABLE))
-    rows = patches.select("diff_id", "grp", "file", F.posexplode(F.split("patch", "\n", -1)).alias("pos", "line"))
+    rows = parse.patch_lines(diffs).where(F.lower(F.regexp_extract("file", "(\\.[^./]*)$", 1)).isin(*ANALYZABLE))
     side = F.when(F.col("line").startswith("+") & ~F.col("line").startswith("+++"), "added").when(F.col("line").startswith("-") & ~F.col("line").startswith("---"), "removed")
     w = Window.partitionBy("diff_id", "grp", "side").orderBy("pos")
     return rows.withColumn("side", side).where("side is not null").select("diff_id", "grp", "file", "side", F.row_number().over(w).alias("n"), F.trim(F.substr("line", F.lit(2))).alias("text"), "pos")

@@ -45,12 +45,23 @@ def grouped(diffs: DataFrame) -> DataFrame:
     return rows.withColumns({"plus_path": F.when(plus & ~null, _path(F.col("line"), "+")), "minus_path": F.when(minus & ~null, _path(F.col("line"), "-")), "from_null": minus & null})
 
 
+def _patch_file() -> Column:
+    """Over a group of lines: the last +++ path, else the first --- path."""
+    return F.coalesce(F.max_by("plus_path", F.when(F.col("plus_path").isNotNull(), F.col("pos"))), F.min_by("minus_path", F.when(F.col("minus_path").isNotNull(), F.col("pos"))))
+
+
+def patch_lines(diffs: DataFrame) -> DataFrame:
+    """(diff_id, grp, file, pos, line): lines with the file of their patch; lines without a file are left out. One exchange, by diff_id."""
+    w = Window.partitionBy("diff_id", "grp")
+    plus, minus = F.max_by("plus_path", F.when(F.col("plus_path").isNotNull(), F.col("pos"))).over(w), F.min_by("minus_path", F.when(F.col("minus_path").isNotNull(), F.col("pos"))).over(w)
+    return grouped(diffs).withColumn("file", F.coalesce(plus, minus)).where("file is not null").select("diff_id", "grp", "file", "pos", "line")
+
+
 def file_patches(diffs: DataFrame) -> DataFrame:
     """(diff_id, grp, file, patch, is_new): the last +++ path, else the first --- path; groups without a path are dropped."""
     g = grouped(diffs)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x.line), "\n")
-    file = F.coalesce(F.max_by("plus_path", F.when(F.col("plus_path").isNotNull(), F.col("pos"))), F.min_by("minus_path", F.when(F.col("minus_path").isNotNull(), F.col("pos"))))
-    return g.groupBy("diff_id", "grp").agg(file.alias("file"), text.alias("patch"), F.max("from_null").alias("is_new")).where("file is not null")
+    return g.groupBy("diff_id", "grp").agg(_patch_file().alias("file"), text.alias("patch"), F.max("from_null").alias("is_new")).where("file is not null")
 
 
 def diff_files(diffs: DataFrame) -> DataFrame:
@@ -88,13 +99,22 @@ def language(file: Column) -> Column:
 
 
 def summaries(diffs: DataFrame) -> DataFrame:
-    """(diff_id, raw_diff, files, new_files, n_add, n_del, change_types): what rules see of a diff."""
-    patches = file_patches(diffs).groupBy("diff_id").agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("is_new"), F.struct("grp", "file")))), lambda x: x.file).alias("new_files"))
-    return (
-        diffs.join(diff_files(diffs), "diff_id", "left").join(patches, "diff_id", "left").join(diff_stats(diffs), "diff_id", "left")
-        .select("diff_id", "raw_diff", F.coalesce("files", F.array().cast("array<string>")).alias("files"), F.coalesce("new_files", F.array().cast("array<string>")).alias("new_files"), F.coalesce("n_add", F.lit(0)).alias("n_add"), F.coalesce("n_del", F.lit(0)).alias("n_del"))
-        .withColumn("change_types", F.array_sort(F.array_distinct(F.transform("files", change_type))))
-    )
+    """(diff_id, raw_diff, files, new_files, n_add, n_del, change_types): what rules see of a diff.
+
+    The lines are made and dealt out once: windows and groups of a diff or of its headers keep their places, and only the raw texts are joined to what is found."""
+    w = Window.partitionBy("diff_id", "grp").orderBy("pos")
+    now = F.coalesce(F.last("plus_path", True).over(w), F.first("minus_path", True).over(w))
+    g = grouped(diffs).withColumn("now", now)
+    add, gone = stats(F.col("line"))
+    seen = F.collect_list(F.when(F.col("line").startswith("+++ ") & F.col("now").isNotNull(), F.struct("pos", "now")))
+    patch = g.groupBy("diff_id", "grp").agg(_patch_file().alias("file"), F.max("from_null").alias("is_new"), add.alias("add"), gone.alias("gone"), seen.alias("seen"))
+    in_order = lambda xs, name: F.transform(F.array_sort(xs), lambda x: x[name])
+    new = F.collect_list(F.when(F.col("is_new") & F.col("file").isNotNull(), F.struct("grp", "file")))
+    diff = patch.groupBy("diff_id").agg(F.array_distinct(in_order(F.flatten(F.collect_list("seen")), "now")).alias("files"), in_order(new, "file").alias("new_files"), F.sum("add").cast("long").alias("n_add"), F.sum("gone").cast("long").alias("n_del"))
+    none = F.array().cast("array<string>")
+    out = diffs.select("diff_id", "raw_diff").join(diff, "diff_id", "left")
+    out = out.select("diff_id", "raw_diff", F.coalesce("files", none).alias("files"), F.coalesce("new_files", none).alias("new_files"), F.coalesce("n_add", F.lit(0)).alias("n_add"), F.coalesce("n_del", F.lit(0)).alias("n_del"))
+    return out.withColumn("change_types", F.array_sort(F.array_distinct(F.transform("files", change_type))))
 
 
 def mostly_new(n_add: Column, n_del: Column, n_new: Column, n_files: Column) -> Column:

@@ -66,7 +66,7 @@ LINES = [
     "AtomicLong hits = new AtomicLong();",
     "hits.set(0L);",
     "Long hits = 0L;",
-    "int last = rows[list.size() - 1];",
+    "int last = rows[rows.length - 1];",
     "ArrayList raw = new ArrayList<>();",
     "public Service(String name)",
     "List<String> none = Collections.emptyList();",
