@@ -113,19 +113,34 @@ def _first_file(pattern: Column | str) -> Column:
 def match_regex(s: DataFrame, rules: DataFrame) -> DataFrame:
     """(diff_id, load_order, matched_file) of pattern rules: the first file that fits, if the raw text matches.
 
-    Rules without a literal to look for, of which a catalogue has few, are tried on every text they are scheduled for, in one projection with fixed patterns."""
+    Rules with literals are found by the index of their grams; the others, of which a catalogue has few, are one projection with fixed patterns."""
     some = rules.where("strategy = 'regex'").select("load_order", "match_regex", "grams", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
-    index = some.where("size(grams) > 0").withColumn("g", F.explode("grams")).select(F.col("g.gram").alias("gram"), F.col("g.literal").alias("literal"), F.col("g.earlier").alias("earlier"), "load_order", "match_regex", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
     low = s.select("diff_id", "raw_diff", "files", "effective", "mostly_new").withColumn("low", F.translate("raw_diff", string.ascii_uppercase, string.ascii_lowercase))
-    met = low.withColumn("gram", F.explode(text_grams(F.col("low")))).join(F.broadcast(index), "gram")
+    return _indexed(low, some).unionByName(_unrolled(low, some.where("size(grams) = 0").collect()))
+
+
+def _indexed(low: DataFrame, some: DataFrame) -> DataFrame:
+    index = some.where("size(grams) > 0").withColumn("g", F.explode("grams")).select(F.col("g.gram").alias("gram"), F.col("g.literal").alias("literal"), F.col("g.earlier").alias("earlier"), "load_order", "match_regex", "file_regex", "scope_regex", "ext_regex", "rule_type", "everywhere")
+    met = low.withColumn("gram", F.explode_outer(text_grams(F.col("low")))).join(F.broadcast(index), "gram")
     # a rule with several literals counts for the first that the text holds
     held = F.contains("low", F.col("literal")) & ~F.exists("earlier", lambda x: F.contains(F.col("low"), x))
-    found = met.where(held).where(eligible(s, some)).where(F.expr("raw_diff rlike match_regex")).select("diff_id", "load_order", _first_file(F.col("file_regex")).alias("matched_file"))
-    loose = some.where("size(grams) = 0").collect()
-    if loose:
-        hits = [F.struct(F.lit(r["load_order"]).alias("load_order"), F.when(_runs(r) & F.col("raw_diff").rlike(r["match_regex"]), _first_file(r["file_regex"])).alias("matched_file")) for r in loose]
-        found = found.unionByName(s.select("diff_id", F.explode(F.array(*hits)).alias("x")).select("diff_id", "x.load_order", "x.matched_file"))
-    return found.where("matched_file is not null")
+    found = met.where(held).where(eligible(low, some)).where(F.expr("raw_diff rlike match_regex"))
+    return found.select("diff_id", "load_order", _first_file(F.col("file_regex")).alias("matched_file")).where("matched_file is not null")
+
+
+def _unrolled(low: DataFrame, rules: list) -> DataFrame:
+    if not rules:
+        return low.sparkSession.createDataFrame([], "diff_id {}, load_order int, matched_file string".format(dict(low.dtypes)["diff_id"]))
+    # rules of one language, scope and type are scheduled alike
+    kinds = {k: i for i, k in enumerate(dict.fromkeys((r["everywhere"], r["ext_regex"], r["scope_regex"], r["rule_type"]) for r in rules))}
+    ready = low.withColumns({f"runs{i}": _runs(dict(zip(("everywhere", "ext_regex", "scope_regex", "rule_type"), k, strict=True))) for k, i in kinds.items()})
+    hits = []
+    for r in rules:
+        runs = F.col(f"runs{kinds[r['everywhere'], r['ext_regex'], r['scope_regex'], r['rule_type']]}")
+        hits.append(F.when(runs & F.col("raw_diff").rlike(r["match_regex"]), F.struct(F.lit(r["load_order"]).alias("load_order"), _first_file(r["file_regex"]).alias("matched_file"))))
+    # an inner explode would have the whole array made twice, once to see whether it is empty
+    found = ready.select("diff_id", F.array_compact(F.array(*hits)).alias("hits")).select("diff_id", F.explode_outer("hits").alias("x"))
+    return found.select("diff_id", "x.load_order", "x.matched_file").where("matched_file is not null")
 
 
 def _runs(rule) -> Column:  # noqa: ANN001
@@ -158,7 +173,7 @@ def match_code(s: DataFrame, signals: DataFrame | None, rules: list[builtin_rule
     for i, r in enumerate(rules):
         run = scheduled(r.language, "**", r.rule_type, F.col("effective"), F.col("mostly_new"))
         hits.append(F.struct(F.lit(orders[i] if orders else i).alias("load_order"), F.when(run, builtin_rules.column(r, c)).alias("matched_file")))
-    return s.select("diff_id", F.explode(F.array(*hits)).alias("x")).where("x.matched_file is not null").select("diff_id", "x.load_order", "x.matched_file")
+    return s.select("diff_id", F.explode_outer(F.array(*hits)).alias("x")).where("x.matched_file is not null").select("diff_id", "x.load_order", "x.matched_file")
 
 
 def governed(rows: list[tuple], experimental: bool = True, overrides: dict[str, str] | None = None) -> list[tuple]:

@@ -161,7 +161,7 @@ def changes(diffs: DataFrame) -> DataFrame:
     lines = every_line.where("text <> ''")
     made = token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])
     split = tokenised(lines.where(F.col("text").rlike(HINTS)))
-    found = tables.written(split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode(made).alias("k", "c")), "line-changes")
+    found = tables.written(split.select("diff_id", "grp", "file", "side", "n", "ignores", F.posexplode_outer(made).alias("k", "c")).where("c is not null"), "line-changes")
     none = F.array().cast("array<string>")
 
     def at(phase: int, n: Column | int = 0, k: Column | int = 0) -> Column:

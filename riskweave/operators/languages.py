@@ -44,7 +44,7 @@ JS_CONTENT = {
 def nodes(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:
     """(file, line, node): a row for each kind of node that a line has."""
     found = F.filter(F.array(*[F.when(F.col("text").rlike(p), k) for k, p in patterns.items()]), lambda x: x.isNotNull())
-    return lines.select("file", "line", F.explode(found).alias("node"))
+    return lines.select("file", "line", F.explode_outer(found).alias("node")).where("node is not null")
 
 
 def signals(found: DataFrame, ranges: DataFrame, ids: dict[str, str]) -> DataFrame:

@@ -29,7 +29,8 @@ def explode_lines(diffs: DataFrame) -> DataFrame:
 
     The text is split once: what a last newline leaves behind goes before the split, so that no row of a line needs the whole text."""
     rows = diffs.where(~is_json(F.col("raw_diff")) & (F.col("raw_diff") != ""))
-    return rows.select("diff_id", F.posexplode(F.split(F.regexp_replace("raw_diff", f"(?:{NEWLINE})\\z", ""), NEWLINE, -1)).alias("pos", "line"))
+    # outer, as an inner explode would have the text split twice, once to see whether it has lines; it always has
+    return rows.select("diff_id", F.posexplode_outer(F.split(F.regexp_replace("raw_diff", f"(?:{NEWLINE})\\z", ""), NEWLINE, -1)).alias("pos", "line"))
 
 
 def _path(line: Column, marker: str) -> Column:

@@ -42,7 +42,7 @@ def _word(w: Column) -> Column:
 
 def stream(sides: DataFrame) -> DataFrame:
     """(diff_id, grp, file, side, i, n, w): tokens by position, with their line; none for a side that can't be lexed."""
-    rows = sides.select(*SIDE, F.posexplode(F.regexp_extract_all("text", F.lit(LEXEME), F.lit(0))).alias("p", "w"))
+    rows = sides.select(*SIDE, F.posexplode_outer(F.regexp_extract_all("text", F.lit(LEXEME), F.lit(0))).alias("p", "w")).where("w is not null")
     order = Window.partitionBy(*SIDE).orderBy("p")
     breaks = F.length(F.regexp_replace("w", "[^\\n]", ""))
     bad = F.col("w").isin('"', "'", "#", "\\", "`") | (F.col("w").startswith("/*") & ~F.col("w").rlike("^/\\*[\\s\\S]*\\*/$"))
