@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskweave.operators import parse
 from riskweave.plans.base import DIFFS, FILES_CTE, LINES, PATCHES, SUMMARIES, Registry, effective_cte, summaries
-from riskweave.sources import corpus
+from riskweave.sources import corpus, files
 from riskweave.sources.corpus import table
 
 R = Registry()
@@ -85,6 +85,26 @@ FROM (SELECT *, CASE WHEN k % 5 = 0 THEN 'old/' || file ELSE file END AS old FRO
 )
 
 
+def diff_fallback(s, d):
+    """Answers for a diff: every fifth is JSON, every seventh empty; change lists stand in, of which every nineteenth is cut off and every twenty-third lacking."""
+    k = F.col("diff_id")
+    raw = D(s, d).select("diff_id", F.when(k % 5 == 0, '{"message": "not found"}').when(k % 7 == 0, " ").otherwise(F.col("raw_diff")).alias("raw_diff"))
+    c = corpus.code_lines(s, d).groupBy("diff_id", "patch_no", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat("sign", "text").alias("l")))), lambda x: x.l), "\n").alias("diff"))
+    change = F.struct(F.concat(F.lit("old/"), "file").alias("old_path"), F.col("file").alias("new_path"), ((k + F.col("patch_no")) % 3 == 0).alias("new_file"), "diff")
+    lists = c.groupBy("diff_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("patch_no", change.alias("c")))), lambda x: x["c"]).alias("changes"))).alias("body"))
+    lists = lists.where("diff_id % 23 <> 0").withColumn("body", F.when(k % 19 == 0, F.substring("body", 1, 30)).otherwise(F.col("body")))
+    return files.with_fallback(raw, lists).select("diff_id", "origin", F.md5("raw_diff").alias("digest"))
+
+
+R.add(
+    "diff_fallback", diff_fallback,
+    """SELECT diff_id, CASE WHEN diff_id % 5 <> 0 AND diff_id % 7 <> 0 THEN 'raw' WHEN diff_id % 19 <> 0 AND diff_id % 23 <> 0 THEN 'changes' ELSE 'none' END AS origin,
+  md5(CASE WHEN diff_id % 5 <> 0 AND diff_id % 7 <> 0 THEN raw_diff WHEN diff_id % 19 <> 0 AND diff_id % 23 <> 0 THEN rebuilt END) AS digest
+FROM diffs JOIN (SELECT diff_id, string_agg('diff --git a/old/' || file || ' b/' || file || chr(10) || CASE WHEN (diff_id + patch_no) % 3 = 0 THEN '--- /dev/null' ELSE '--- a/old/' || file END || chr(10) || '+++ b/' || file || chr(10) || body, chr(10) ORDER BY patch_no) AS rebuilt
+  FROM (SELECT diff_id, patch_no, file, string_agg(sign || text, chr(10) ORDER BY pos) AS body FROM code_lines GROUP BY ALL) GROUP BY diff_id) USING (diff_id)""", DIFFS,
+)
+
+
 def _effective(s, d):
     from riskweave.operators import audit
 
