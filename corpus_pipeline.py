@@ -45,7 +45,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: Byte-pair merges and shingle similarity aren't expressible; tests/llm hold the pipeline against brute force.
+#: Byte-pair merges and shingle similarity aren't expressible; tests/llm hold the pipeline against planted rows.
 ORACLE_SQL = None
 
 
