@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskweave.functions import dialect
 from riskweave.operators import advisories as A
-from riskweave.operators import audit
+from riskweave.operators import audit, parse
 from riskweave.operators.audit import version_affected
-from riskweave.plans.base import Registry, sql_pick
+from riskweave.plans.base import SUMMARIES, Registry, sql_pick
+from riskweave.sources import corpus, rulestore, tables
 from riskweave.sources.corpus import pick, table
 
 R = Registry()
@@ -95,7 +98,23 @@ def tier_distribution(s, d):
 
 
 R.add("tier_distribution", tier_distribution, f"SELECT tier, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 2) AS pct FROM (SELECT {_TIER} AS tier FROM base) GROUP BY tier", BASE)
-R.add("tier_pruned_rules", lambda s, d: base(s, d).withColumn("tier", A.tier(_sev(), F.col("score"))).where(F.col("tier").isin("tier1", "tier2")).groupBy("tier").agg(F.count("*").alias("n")), f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM base) WHERE tier IN ('tier1', 'tier2') GROUP BY 1", BASE)
+
+
+def stored(s, d):
+    """The path of a rule a part, written by language and tier."""
+    at = f"{tables.shared_folder(s)}/rules/{uuid.uuid4().hex}"
+    k = F.col("k")
+    rulestore.write(base(s, d).select(F.concat(F.lit("r"), k.cast("string")).alias("rule_id"), pick(["java", "Go", "python", "*", "javascript", "", "rust"], k).alias("language"), A.tier(_sev(), F.col("score")).alias("tier")), at)
+    return at
+
+
+_STORED = f"stored AS (SELECT 'r' || CAST(k AS VARCHAR) AS rule_id, lower({sql_pick(['java', 'Go', 'python', '*', 'javascript', '*', 'rust'], 'k')}) AS language, {_TIER} AS tier FROM base)"
+R.add("tier_pruned_rules", lambda s, d: rulestore.read(s, stored(s, d), "standard").groupBy("tier").agg(F.count("*").alias("n")), f"SELECT tier, count(*) AS n FROM (SELECT {_TIER} AS tier FROM base) WHERE tier IN ('tier1', 'tier2') GROUP BY 1", BASE)
+R.add(
+    "rules_for_diffs", lambda s, d: rulestore.for_diffs(rulestore.read(s, stored(s, d), "lightweight"), parse.diff_files(corpus.diffs(s, d))).select("rule_id", "language", "tier"),
+    "SELECT rule_id, language, tier FROM stored WHERE tier = 'tier1' AND (language = '*' OR language IN (SELECT DISTINCT CASE regexp_extract(file, '[^.]+$') WHEN 'java' THEN 'java' WHEN 'go' THEN 'go' WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'mjs' THEN 'javascript' WHEN 'cjs' THEN 'javascript' END FROM (SELECT unnest(files) AS file FROM files_of)))",
+    BASE, _STORED, *SUMMARIES,
+)
 # the ranges leave gaps: a score such as 8.95 is in none
 _RANGES = [(9.0, 10.0), (7.0, 8.9), (4.0, 6.9), (0.1, 3.9)]
 

@@ -169,8 +169,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows(), SCHEMA)
 
 
+def shaped(data: dict) -> list[tuple[dict, str]]:
+    """(rule, kind of file) of a file's content in any of three shapes: a list under rules, a single rule, ids as keys."""
+    if isinstance(data.get("rules"), list):
+        return [(r, "multi") for r in data["rules"]]
+    if "id" in data or "rule_name" in data:
+        # a single advisory rule: nobody emits its signal
+        return [({"signal": "security.vulnerability", "file": "**", "impact": "security", **data}, "single")]
+    return [({"id": k, **v}, "keyed") for k, v in data.items() if isinstance(v, dict)]
+
+
 def load_files(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a YAML file or of a folder, by sorted name within each folder. Three shapes: a list under rules, a single rule, ids as keys."""
+    """Rules of a YAML file or of a folder, by sorted name within each folder, read by the driver; see rulestore for large trees."""
     import yaml  # optional
 
     names = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, fs in sorted(os.walk(path)) for f in sorted(fs) if f.endswith((".yaml", ".yml"))]
@@ -178,14 +188,7 @@ def load_files(spark: SparkSession, path: str) -> DataFrame:
     for name in names:
         with open(name, encoding="utf-8") as f:
             data = yaml.safe_load(f) or {}
-        if isinstance(data.get("rules"), list):
-            rules, source = data["rules"], "multi"
-        elif "id" in data or "rule_name" in data:
-            # a single advisory rule: nobody emits its signal
-            rules, source = [{"signal": "security.vulnerability", "file": "**", "impact": "security", **data}], "single"
-        else:
-            rules, source = [{"id": k, **v} for k, v in data.items() if isinstance(v, dict)], "keyed"
-        found += [normalized(r, len(found) + i, source) for i, r in enumerate(rules)]
+        found += [normalized(r, len(found) + i, source) for i, (r, source) in enumerate(shaped(data))]
     return spark.createDataFrame(found, SCHEMA)
 
 
