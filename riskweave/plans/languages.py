@@ -114,3 +114,9 @@ R.add("stream_quality", streams.quality, f"SELECT {sql_pick(streams.RULE_IDS, 'u
 R.add("stream_window_findings", streams.windows, "SELECT CAST(CAST(date_trunc('day', ts) AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 R.add("stream_dedupe", streams.dedupe)
 R.add("stream_diffs", streams.diffs)
+_EVENT_RULE = sql_pick(streams.RULE_IDS, "user_id")
+R.add(
+    "stream_comment_upsert", streams.comments,
+    f"SELECT tag, arg_max(body, seq) AS body, max(seq) AS seq FROM (SELECT {_EVENT_RULE} AS tag, event_type || ' ' || event_id AS body, CAST(event_id AS BIGINT) AS seq FROM events UNION ALL SELECT {_EVENT_RULE}, 'old', -1 FROM events WHERE event_id % 97 = 0) GROUP BY tag",
+)
+R.add("stream_counters", streams.counters, f"SELECT {_EVENT_RULE} AS rule_id, count(*) AS calls, count(*) FILTER (event_type <> 'view') AS hits, count(*) FILTER (event_type = 'error') AS ignores, CAST(sum(event_id % 1000 * 1000) AS BIGINT) AS time_ns FROM events GROUP BY 1")

@@ -60,6 +60,15 @@ def baseline(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, Dat
 
 def quality(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """Counters (rule_id, calls, hits, ignores, time_ns) of quality files, summed, and (path, body) of those that aren't one."""
-    good, bad = parsed(bodies(spark, path, "*.json"), QUALITY)
+    good, bad = parsed(bodies(spark, path, "*.{json,txt}"), QUALITY)
     rows = good.select(F.explode("rules").alias("rule_id", "x"))
     return rows.groupBy("rule_id").agg(*[F.sum(F.coalesce(f"x.{c}", F.lit(0))).alias(c) for c in ("calls", "hits", "ignores", "time_ns")]), bad
+
+
+def write_quality(counters: DataFrame, path: str, files: int = 8) -> None:
+    """Counters(rule_id, calls, hits, ignores, time_ns, one row a rule) as quality files in a new folder, which quality reads back.
+
+    Rules are dealt out by their hash, a file's rules are one object. A folder that is there is refused, so none is ever half overwritten."""
+    entry = F.struct("rule_id", F.struct("calls", "hits", "ignores", "time_ns"))
+    dealt = counters.where("rule_id is not null").groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(files)).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("rules"))
+    dealt.select("part", F.to_json(F.struct("rules")).alias("value")).write.partitionBy("part").text(path)

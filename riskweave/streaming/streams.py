@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskweave.sources import corpus, tables
 from riskweave.sources.corpus import RULE_IDS, pick
+from riskweave.streaming import upserts
 
 
 def folder(spark: SparkSession) -> str:
@@ -60,3 +61,33 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus.diffs(spark, sf_dir).write.parquet(f"{at}/diffs.parquet")
     d = source(spark, f"{at}/diffs.parquet")
     return finished(d.select("diff_id", F.col("raw_diff").contains("\n+").alias("has_plus"), F.sha1("raw_diff").alias("digest")))
+
+
+def in_files(df: DataFrame, by: str, n: int = 4) -> str:
+    """df as n files or fewer, by ranges of a column, for streams that take a file a batch."""
+    at = f"{folder(df.sparkSession)}/source"
+    df.repartitionByRange(n, by).write.parquet(at)
+    return at
+
+
+def by_file(spark: SparkSession, path: str) -> DataFrame:
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tag, body, seq): the comment of each rule, as events rewrite older ones, over several batches."""
+    e = corpus.table(spark, sf_dir, "events").select(pick(RULE_IDS, F.col("user_id")).alias("tag"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("body"), F.col("event_id").cast("long").alias("seq"))
+    at = in_files(e, "seq")
+    table = upserts.comments(spark, f"{at}-comments").start(e.where("seq % 97 = 0").withColumns({"body": F.lit("old"), "seq": F.lit(-1).cast("long")}))
+    table.follow(by_file(spark, at), f"{at}-checkpoint")
+    return table.current()
+
+
+def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rule_id, calls, hits, ignores, time_ns): totals over several batches, with a restart in between."""
+    e = corpus.table(spark, sf_dir, "events")
+    runs = e.select("event_id", pick(RULE_IDS, F.col("user_id")).alias("rule_id"), (F.col("event_type") != "view").alias("hit"), (F.col("event_type") == "error").alias("ignored"), (F.col("event_id") % 1000 * 1000).cast("long").alias("time_ns"))
+    at = in_files(runs.where("event_id % 2 = 0"), "event_id", 2)
+    upserts.count_runs(by_file(spark, at), f"{at}-counters")
+    runs.where("event_id % 2 = 1").write.mode("append").parquet(at)
+    return upserts.count_runs(by_file(spark, at), f"{at}-counters")

@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 SOME = [
     "file_patches", "diff_files", "first_added_position", "mostly_new", "match_regex", "schedule_rules", "match_count_delta", "match_line_path", "match_following", "cross_language", "tokens", "type_downgrade", "inline_ignores",
     "compose_decision", "impacts", "report_markdown", "ignore_filter", "comment_upsert", "findings_grouping_sets", "rule_stats_topk", "pr_approval", "cve5_flatten", "rule_lint", "cve_version_gate", "tier_distribution", "tier_pruned_rules", "rules_for_diffs", "go_signals", "cpp_pattern_counts",
-    "stream_quality", "stream_window_findings",
+    "stream_quality", "stream_window_findings", "stream_comment_upsert", "stream_counters",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
