@@ -81,7 +81,7 @@ R.add("osv_convert", lambda s, d: A.osv_rules(osv_json(s, d)).select("rule_id",
 R.add("osv_local", lambda s, d: A.osv_rules(osv_json(s, d)).groupBy("trigger").agg(F.count("*").alias("n")), f"SELECT {_OSV} AS trigger, count(*) AS n FROM base WHERE k % 4 <> 0 GROUP BY 1", BASE)
 R.add("js_convert", lambda s, d: base(s, d).where("ecosystem = 'npm'").select("k", F.array_join(A.npm_patterns(F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("pkg-"), (F.col("k") % 10).cast("string")))), " ").alias("patterns")), "SELECT k, CASE WHEN k % 3 = 0 THEN '*' ELSE 'require(\"' || n || '\") require(''' || n || ''') from \"' || n || '\" from ''' || n || ''' \"' || n || '\":' END AS patterns FROM (SELECT *, 'pkg-' || CAST(k % 10 AS VARCHAR) AS n FROM base) WHERE ecosystem = 'npm'", BASE)
 R.add(
-    "java_normalize", lambda s, d: base(s, d).select("k", F.when(F.col("k") % 3 == 0, "org.x:lib").otherwise("lib").alias("name")).select("k", F.when(F.col("name").contains(":"), F.split_part("name", F.lit(":"), F.lit(1))).alias("group_id"), F.substring_index("name", ":", -1).alias("artifact_id")),
+    "java_normalize", lambda s, d: base(s, d).select("k", F.when(F.col("k") % 3 == 0, "org.x:lib").otherwise("lib").alias("name")).select("k", A.maven_package(F.col("name"))[0].alias("group_id"), A.maven_package(F.col("name"))[1].alias("artifact_id")),
     "SELECT k, CASE WHEN k % 3 = 0 THEN 'org.x' END AS group_id, 'lib' AS artifact_id FROM base", BASE,
 )
 _id = lambda: F.when(F.col("k") % 4 == 0, F.concat(F.lit("prorule.java.high.x"), F.col("k").cast("string"))).otherwise(F.concat(F.lit("prorule.ghsa-"), F.lpad((F.col("k") % 10000).cast("string"), 4, "0"), F.lit("-9f5a-33b3_java")))
@@ -189,4 +189,65 @@ R.add(
     "barred_rules", lambda s, d: audit.barred(_packages(s, d), _dependencies(s, d)),
     "SELECT rule_id FROM packages WHERE ecosystem IN (SELECT ecosystem FROM dependencies) AND rule_id NOT IN (SELECT rule_id FROM met)", BASE, PACKAGES,
 )
+
+
+# --- nested advisories ------------------------------------------------------------------------------------------------
+def nested_json(s, d):
+    """(path, body): an advisory a part: of every eleven one is cut off, one has a field of another type, one lacks an id, two are of the older shape."""
+    k, text = F.col("k"), F.col("k").cast("string")
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    package = lambda eco, name, low, high: F.concat(F.lit('{"package":{"ecosystem":'), q(eco), F.lit(',"name":'), q(name), F.lit('},"ranges":[{"type":"SEMVER","events":[{"introduced":'), q(low), F.lit('},{"fixed":'), q(high), F.lit('}]}],"versions":["1.0","1.1","1.2","1.3"]}'))
+    other = package(F.lit("PyPI"), F.concat(F.lit("py-"), text), F.lit("0"), F.lit("2.0"))
+    own = package(F.col("ecosystem"), F.concat(F.lit("pkg-"), (k % 10).cast("string")), (k % 7).cast("string"), F.concat((k % 7 + 2).cast("string"), F.lit(".1")))
+    ghsa = F.concat(
+        F.lit('{"id":"GHSA-'), text, F.lit('","severity":[{"type":"CVSS_V3","score":"x"}],"summary":'), q(F.when(k % 5 == 0, "").otherwise(F.col("description"))), F.lit(',"details":"more","published":'), q(F.col("published")),
+        F.lit(',"references":[{"type":"WEB","url":"u"},{"type":"WEB"}],"database_specific":{"severity":'), q(pick(["CRITICAL", "MODERATE", " low"], k)), F.lit(',"cwe_ids":["CWE-1"]},"affected":['), F.when(k % 2 == 0, F.concat(other, F.lit(","))).otherwise(""), own, F.lit("]}"),
+    )
+    older = F.concat(F.lit('{"cve_id":"CVE-2024-'), text, F.lit('","description":'), q(F.col("description")), F.lit(',"severity":"Medium","affected_library":'), q(F.when(k % 2 == 0, "").otherwise("lib")), F.lit("}"))
+    body = F.when(k % 11 == 0, F.substring(ghsa, 1, 40)).when(k % 11 == 1, F.lit('{"id":"GHSA-x","affected":"all"}')).when(k % 11 == 2, F.lit('{"summary":"no id"}')).when(k % 11 < 5, older).otherwise(ghsa)
+    return base(s, d).select(F.concat(F.lit("a/"), text, F.lit(".json")).alias("path"), body.alias("body"))
+
+
+_good = lambda s, d: A.records(nested_json(s, d))[0]
+_GHSA = "nested AS (SELECT *, CASE k % 3 WHEN 0 THEN 'critical' WHEN 2 THEN 'low' ELSE 'high' END AS word, CASE WHEN ecosystem = 'npm' THEN 'pkg-' || (k % 10) ELSE 'unknown' END AS npm FROM base WHERE k % 11 >= 5), older AS (SELECT *, CASE WHEN k % 2 = 0 THEN 'unknown' ELSE 'lib' END AS lib FROM base WHERE k % 11 IN (3, 4))"
+_REQUIRES = lambda n: "'require(\"' || " + n + " || '\")'"
+R.add("advisory_rejects", lambda s, d: A.records(nested_json(s, d))[1].select("path", "error"), "SELECT 'a/' || k || '.json' AS path, ['no JSON object', 'malformed', 'no id'][CAST(k % 11 + 1 AS INTEGER)] AS error FROM base WHERE k % 11 < 3", BASE)
+R.add(
+    "npm_rules", lambda s, d: A.npm_rules(_good(s, d)).select("rule_id", "description", "severity", "package", F.col("patterns")[0].alias("pattern"), F.array_join("tags", ",").alias("tags"), F.array_join("links", ",").alias("links"), F.array_join("introduced", ",").alias("introduced")),
+    f"""SELECT 'prorule.javascript.' || word || '.ghsa_' || k AS rule_id, CASE WHEN k % 5 = 0 THEN 'more' ELSE description END AS description, word AS severity, npm AS package, {_REQUIRES("npm")} AS pattern, 'cve,vulnerability,javascript,npm,ghsa-' || k AS tags, 'u' AS links, '1.0,1.1,1.2' AS introduced FROM nested
+UNION ALL SELECT 'prorule.javascript.medium.cve_2024_' || k, description, 'medium', lib, {_REQUIRES("lib")}, 'cve,vulnerability,javascript,npm,CVE-2024-' || k, '', '' FROM older""",
+    BASE, _GHSA,
+)
+R.add("recent_npm_advisories", lambda s, d: A.recent_npm(_good(s, d), "2024-06-01").select("id", "published"), "SELECT 'GHSA-' || k AS id, published FROM nested WHERE ecosystem = 'npm' AND coalesce(try_cast(published AS DATE) >= DATE '2024-06-01', true)", BASE, _GHSA)
+R.add(
+    "advisory_dependencies", lambda s, d: audit.affected_dependencies(A.package_ranges(_good(s, d)).withColumnRenamed("advisory_id", "rule_id"), _used(s, d)),
+    """SELECT 'GHSA-' || k AS rule_id, lower(ecosystem) AS ecosystem, 'pkg-' || (k % 10) AS package, v || '.0' AS version FROM nested, (SELECT DISTINCT CAST(s_suppkey % 9 AS BIGINT) AS v, CAST(s_suppkey % 10 AS BIGINT) AS p FROM supplier WHERE s_suppkey % 3 = 0)
+WHERE ecosystem = 'npm' AND p = k % 10 AND v >= k % 7 AND v < k % 7 + 3 AND (v < k % 7 + 2 OR [v, 0] < [k % 7 + 2, 1])""",
+    BASE, _GHSA,
+)
+
+
+def _used(s, d):
+    """(ecosystem, package, version): what some suppliers use."""
+    k = F.col("s_suppkey")
+    return table(s, d, "supplier").where(k % 3 == 0).select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("pkg-"), (k % 10).cast("string")).alias("package"), F.concat((k % 9).cast("string"), F.lit(".0")).alias("version")).distinct()
+
+
+def _older_java(s, d):
+    k, text = F.col("k"), F.col("k").cast("string")
+    return base(s, d).select(
+        F.concat(F.lit("cve/x"), text, F.lit(".v.yaml")).alias("path"), F.when(k % 3 == 0, F.concat(F.lit("rule-"), text)).alias("rule_id"), F.when(k % 4 == 0, F.concat(F.lit("GHSA-A "), text)).otherwise("").alias("ghsa_id"),
+        F.when(k % 5 == 0, F.concat(F.lit("CVE-"), text)).alias("cve_id"), pick(["HIGH", "", "low"], k).alias("severity"), F.lit(None).cast("string").alias("language"),
+        F.when(k % 7 == 0, F.array().cast("array<string>")).when(k % 2 == 0, F.array(F.lit(" org.x:lib:y "), F.lit("second"))).otherwise(F.array(F.lit("plain"))).alias("affected_packages"),
+        F.array(F.lit("0"), F.lit(" 1.2 "), F.lit("")).alias("affected_versions"), F.when(k % 2 == 0, F.array(F.lit("2"))).alias("fixed_versions"),
+    )
+
+
+R.add(
+    "java_rules", lambda s, d: A.java_rules(_older_java(s, d)).select("rule_id", "severity", "language", "group_id", "artifact_id", F.array_join("introduced", ",").alias("introduced"), F.array_join("fixed", ",").alias("fixed"), F.array_join("patterns", "|").alias("patterns"), F.array_join("aliases", ",").alias("aliases"), F.array_join("tags", ",").alias("tags")),
+    """SELECT CASE WHEN k % 3 = 0 THEN 'rule-' || k WHEN k % 4 = 0 THEN 'prorule.ghsa-a-' || k || '_java' WHEN k % 5 = 0 THEN 'prorule.cve-' || k || '_java' ELSE 'prorule.x' || k || '.v_java' END AS rule_id, ['high', 'medium', 'low'][CAST(k % 3 + 1 AS INTEGER)] AS severity, 'java' AS language,
+  CASE WHEN k % 7 <> 0 AND k % 2 = 0 THEN 'org.x' ELSE '' END AS group_id, CASE WHEN k % 7 = 0 THEN '' WHEN k % 2 = 0 THEN 'lib:y' ELSE 'plain' END AS artifact_id, '1.2' AS introduced, CASE WHEN k % 2 = 0 THEN '2' ELSE '' END AS fixed,
+  CASE WHEN k % 7 = 0 THEN '' ELSE CASE WHEN k % 2 = 0 THEN '<groupId>org.x</groupId>|<artifactId>lib:y</artifactId>' ELSE '<artifactId>plain</artifactId>' END || array_to_string(list_transform(['implementation', 'compile', 'compileOnly', 'runtimeOnly', 'testImplementation'], lambda c: '|' || c || ' ' || chr(39) || CASE WHEN k % 2 = 0 THEN 'org.x:lib:y' ELSE 'plain' END || ':' || chr(39)), '') END AS patterns,
+  CASE WHEN k % 5 = 0 THEN 'CVE-' || k ELSE '' END AS aliases, 'cve,vulnerability,java,maven' || CASE WHEN k % 4 = 0 THEN ',ghsa-a ' || k WHEN k % 5 = 0 THEN ',cve-' || k ELSE '' END AS tags FROM base""", BASE,
+)
 R.add("slugify", lambda s, d: table(s, d, "customer").select("c_custkey", dialect.slug(F.col("c_name")).alias("slug")), "SELECT c_custkey, regexp_replace(lower(replace(c_name, '-', '_')), '[^a-z0-9_]', '_', 'g') AS slug FROM customer")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators import parse
+from riskweave.operators.advisories import records
 
 CHANGES = "changes array<struct<old_path:string, new_path:string, new_file:boolean, deleted_file:boolean, renamed_file:boolean, diff:string>>"
 BASELINE = "items array<struct<rule_id:string, file:string>>"
@@ -72,3 +73,8 @@ def write_quality(counters: DataFrame, path: str, files: int = 8) -> None:
     entry = F.struct("rule_id", F.struct("calls", "hits", "ignores", "time_ns"))
     dealt = counters.where("rule_id is not null").groupBy(F.pmod(F.xxhash64("rule_id"), F.lit(files)).alias("part")).agg(F.map_from_entries(F.collect_list(entry)).alias("rules"))
     dealt.select("part", F.to_json(F.struct("rules")).alias("value")).write.partitionBy("part").text(path)
+
+
+def advisories(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """Advisories of all JSON files of a tree, see operators.advisories.records, and (path, body, error) of those that aren't one."""
+    return records(bodies(spark, path, "*.json"))

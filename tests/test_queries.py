@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SOME = [
     "file_patches", "diff_files", "first_added_position", "mostly_new", "match_regex", "schedule_rules", "match_count_delta", "match_line_path", "match_following", "cross_language", "tokens", "type_downgrade", "inline_ignores",
-    "compose_decision", "impacts", "report_markdown", "ignore_filter", "comment_upsert", "findings_grouping_sets", "rule_stats_topk", "pr_approval", "cve5_flatten", "rule_lint", "cve_version_gate", "tier_distribution", "tier_pruned_rules", "rules_for_diffs", "go_signals", "cpp_pattern_counts",
+    "compose_decision", "impacts", "report_markdown", "ignore_filter", "comment_upsert", "findings_grouping_sets", "rule_stats_topk", "pr_approval", "cve5_flatten", "rule_lint", "cve_version_gate", "tier_distribution", "tier_pruned_rules", "rules_for_diffs", "advisory_rejects", "npm_rules", "recent_npm_advisories", "advisory_dependencies", "java_rules", "java_normalize", "go_signals", "cpp_pattern_counts",
     "stream_quality", "stream_window_findings", "stream_comment_upsert", "stream_counters",
 ]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
