@@ -4,11 +4,15 @@ Mentions of personal data are found by one pattern. Each has a type and a normal
 whatever their layout (digits of a number, lower case of an address, the name without its title). An entity's surrogate is
 a keyed function of type, normal form and attempt: digits stay digits and letters stay letters of their case and script,
 a card keeps its first digit and stays valid by its check digit, a phone number keeps its leading country digit, octets stay
-octets, an address keeps its shape and top-level domain (its domain being a surrogate of its own, so people of one
-domain stay together), and a name gets a first name of the title's gender. The surrogate is laid out like the mention.
+octets, an address keeps its shape and top-level domain (its domain being an entity and a surrogate of its own, so people of one
+domain stay together and those of two don't meet), and a name gets a first name of the title's gender. A number of ten digits
+with and without +1 is one entity. The surrogate is laid out like the mention.
 
 Collision checks run over all distinct entities: an entity whose surrogate another one also has, or that is itself an
 entity of the same type, takes the next attempt, until none collides; of those that share a surrogate the first in order keeps it.
+Domains are settled before the addresses that hold them. Where a shape has fewer surrogates than entities (all two-letter domains, say), attempts
+from LONGER on add letters, one more with each, so the rounds end whatever the corpus holds; only numbers can't grow, whose shapes have
+a hundred million surrogates and more.
 Only documents with such an entity are looked up again.
 
 Edge cases: a null text stays null, an empty one empty; texts without mentions come back unchanged, byte for byte; repeated
@@ -24,7 +28,9 @@ from riskweave.llm import common
 
 #: The key that `replaced` takes where none is given, for tests and the contract's query. Whoever knows a key can tell whether a guess was replaced.
 SECRET = "riskweave"
-#: Rounds of new attempts before giving up with an error.
+#: The first attempt that adds letters to an address, a domain, a name or a code.
+LONGER = 6
+#: Rounds of new attempts before giving up with an error, which takes a kind of number that is used up.
 ROUNDS = 50
 
 EMAIL = r"(?<![._%+\-])[A-Za-z0-9._%+\-]++@(?=[A-Za-z0-9])[A-Za-z0-9.\-]*\.[A-Za-z]{2,24}"
@@ -65,7 +71,7 @@ def value(m: Column, k: Column) -> Column:
 
 def normal(k: Column, v: Column) -> Column:
     """The form that mentions of an entity share."""
-    return F.when(k.isin("email", "female", "male"), F.lower(v)).when(k == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(k == "phone", F.regexp_replace(v, "[^0-9+]", "")).when(k.isin("card", "ssn"), F.regexp_replace(v, "[^0-9]", "")).otherwise(v)
+    return F.when(k.isin("email", "female", "male"), F.lower(v)).when(k == "iban", F.replace(v, F.lit(" "), F.lit(""))).when(k == "phone", F.regexp_replace(F.regexp_replace(v, "[^0-9+]", ""), r"^\+1(?=[0-9]{10}$)", "")).when(k.isin("card", "ssn"), F.regexp_replace(v, "[^0-9]", "")).otherwise(v)
 
 
 def _byte(digest: Column, i: Column) -> Column:
@@ -117,30 +123,41 @@ def _digits(k: Column, norm: Column, digest: Column) -> Column:
     return F.when((k == "card") & (luhn(d, 1) == 0), checked).otherwise(F.array_join(made, ""))
 
 
-def domain_digest(secret: str, norm: Column) -> Column:
-    return _digest(secret, F.lit("domain"), F.substring_index(norm, "@", -1), F.lit(0))
+def domain(norm: Column) -> Column:
+    return F.substring_index(norm, "@", -1)
 
 
-def surrogate(k: Column, norm: Column, dig: Column, host_dig: Column) -> Column:
-    """The normal form of an entity's surrogate, from its digest and its domain's."""
-    local, domain = F.substring_index(norm, "@", 1), F.substring_index(norm, "@", -1)
-    top = F.substring_index(domain, ".", -1)
-    host = F.substr(domain, F.lit(1), F.length(domain) - F.length(top) - 1)
-    email = F.concat(_letters(local, dig), F.lit("@"), _letters(host, host_dig), F.lit("."), top)
+def _longer(text: Column, dig: Column, attempt: Column) -> Column:
+    """text with the letters that late attempts add."""
+    n = F.greatest(attempt - (LONGER - 1), F.lit(0))
+    return F.concat(text, F.translate(F.substr(dig, F.lit(97), n), "0123456789", "ghijklmnop"))
+
+
+def _host(name: Column, dig: Column, attempt: Column) -> Column:
+    """The surrogate of a domain: its top level stays."""
+    top = F.substring_index(name, ".", -1)
+    return F.concat(_longer(_letters(F.substr(name, F.lit(1), F.length(name) - F.length(top) - 1), dig), dig, attempt), F.lit("."), top)
+
+
+def surrogate(k: Column, norm: Column, dig: Column, attempt: Column, host_dig: Column, host_attempt: Column) -> Column:
+    """The normal form of an entity's surrogate, from its digest and attempt and its domain's."""
+    email = F.concat(_longer(_letters(F.substring_index(norm, "@", 1), dig), dig, attempt), F.lit("@"), _host(domain(norm), host_dig, host_attempt))
     ip = F.concat_ws(".", *[(_byte(dig, F.lit(2 * i)) % 254 + 1).cast("string") for i in range(4)])
     plain = norm.rlike("^[\\x00-\\x7fà-öø-ÿ]*$")
     first = F.when(k == "female", F.element_at(F.array(*map(F.lit, FIRST["female"])), _byte(dig, F.lit(40)) % 16 + 1)).otherwise(F.element_at(F.array(*map(F.lit, FIRST["male"])), _byte(dig, F.lit(40)) % 16 + 1))
     last = F.substring_index(norm, " ", -1)
-    named = F.when(plain & norm.contains(" "), F.concat(F.lower(first), F.lit(" "), _letters(last, dig))).otherwise(_letters(norm, dig))
+    named = F.when(plain & norm.contains(" "), F.concat(F.lower(first), F.lit(" "), _longer(_letters(last, dig), dig, attempt))).otherwise(_longer(_letters(norm, dig), dig, attempt))
     iban = F.concat(F.substring(norm, 1, 2), _letters(F.substr(norm, F.lit(3)), dig))
-    code = F.concat(F.regexp_extract(norm, "^(AKIA|ASIA|gh[pousr]_|sk-|eyJ|)", 1), _letters(F.regexp_replace(norm, "^(AKIA|ASIA|gh[pousr]_|sk-|eyJ)", ""), dig))
-    return F.when(k == "email", email).when(k == "ip", ip).when(k == "secret", code).when(k == "iban", iban).when(k.isin("female", "male"), named).otherwise(F.concat(F.when(norm.startswith("+"), "+").otherwise(""), _digits(k, norm, dig)))
+    code = F.concat(F.regexp_extract(norm, "^(AKIA|ASIA|gh[pousr]_|sk-|eyJ|)", 1), _longer(_letters(F.regexp_replace(norm, "^(AKIA|ASIA|gh[pousr]_|sk-|eyJ)", ""), dig), dig, attempt))
+    return F.when(k == "email", email).when(k == "domain", _host(norm, dig, attempt)).when(k == "ip", ip).when(k == "secret", code).when(k == "iban", iban).when(k.isin("female", "male"), named).otherwise(F.concat(F.when(norm.startswith("+"), "+").otherwise(""), _digits(k, norm, dig)))
 
 
 def laid_out(m: Column, k: Column, v: Column, made: Column) -> Column:
     """The surrogate in the layout of the mention."""
     head = F.substr(m, F.lit(1), F.length(m) - F.length(v))
-    digits = F.regexp_replace(made, "[^0-9]", "")
+    # an entity of ten digits may be mentioned with its country code
+    code = F.when((k == "phone") & ~made.startswith("+") & F.regexp_replace(v, "[^0-9+]", "").rlike(r"^\+1[0-9]{10}$"), "1").otherwise("")
+    digits = F.concat(code, F.regexp_replace(made, "[^0-9]", ""))
     spaced = F.when(k == "iban", made).otherwise(digits)
     mask = F.when(k == "iban", "[^0-9A-Z]").otherwise("[^0-9]")
     place = lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substr(spaced, F.length(F.regexp_replace(F.substr(v, F.lit(1), i), mask, F.lit(""))) + 1, F.lit(1))).otherwise(c)
@@ -167,31 +184,43 @@ def entities(docs: DataFrame) -> DataFrame:
 
 
 def _made(rows: DataFrame, secret: str = SECRET) -> DataFrame:
-    """rows(kind, norm, attempt) with made."""
-    k, norm = F.col("kind"), F.col("norm")
-    step = F.transform(F.array(F.struct(_digest(secret, k, norm, F.col("attempt")).alias("d"), domain_digest(secret, norm).alias("h"))), lambda x: surrogate(k, norm, x.d, x.h))
+    """rows(kind, norm, attempt) with made; host, if they have it: the attempt of an address's domain."""
+    k, norm, n = (F.col(c) for c in ("kind", "norm", "attempt"))
+    host = F.col("host") if "host" in rows.columns else F.lit(0)
+    step = F.transform(F.array(F.struct(_digest(secret, k, norm, n).alias("d"), _digest(secret, F.lit("domain"), domain(norm), host).alias("h"))), lambda x: surrogate(k, norm, x.d, n, x.h, host))
     return rows.withColumn("made", F.element_at(step, 1))
 
 
-def attempts(found: DataFrame, secret: str = SECRET) -> DataFrame:
-    """(kind, norm, attempt) of the entities whose first surrogate collides."""
-    now = common.written(_made(found.select("kind", "norm", F.lit(0).alias("attempt")), secret), "entities")
+def _settled(found: DataFrame, secret: str) -> DataFrame:
+    """(kind, norm, host, attempt) of found(kind, norm, host): attempts by which no surrogates collide."""
+    now = common.written(_made(found.select("kind", "norm", "host", F.lit(0).alias("attempt")), secret), "entities")
     for turn in range(ROUNDS):
         first = now.groupBy("kind", "made").agg(F.min(F.struct("attempt", "norm")).alias("x"), F.count("*").alias("n"))
         shared = now.join(first.where("n > 1").select("kind", "made", F.col("x.norm").alias("kept")), ["kind", "made"]).where("norm <> kept").select("kind", "norm")
         real = now.join(now.select("kind", F.col("norm").alias("made")), ["kind", "made"], "left_semi").select("kind", "norm")
         bad = common.written(shared.unionByName(real).distinct().withColumn("bad", F.lit(1)), f"collisions{turn}")
         if bad.isEmpty():
-            return now.where("attempt > 0").select("kind", "norm", "attempt")
+            return now.select("kind", "norm", "host", "attempt")
         again = F.col("attempt") + F.coalesce("bad", F.lit(0))
-        now = common.written(_made(now.join(bad, ["kind", "norm"], "left").select("kind", "norm", again.alias("attempt")), secret), f"entities{turn}")
-    raise RuntimeError("some kind of entity has more members than surrogates")
+        now = common.written(_made(now.join(bad, ["kind", "norm"], "left").select("kind", "norm", "host", again.alias("attempt")), secret), f"entities{turn}")
+    raise RuntimeError("some kind of number has more members than surrogates")
+
+
+def attempts(found: DataFrame, secret: str = SECRET) -> DataFrame:
+    """(kind, norm, attempt) of the entities, domains among them, whose first surrogate collides. found(kind, norm)."""
+    held = found.where("kind = 'email'").select(F.lit("domain").alias("kind"), domain(F.col("norm")).alias("norm")).distinct()
+    hosts = _settled(held.withColumn("host", F.lit(0)), secret).where("attempt > 0")
+    moved = hosts.select(F.lit("email").alias("kind"), F.col("norm").alias("held"), F.col("attempt").alias("host"))
+    rest = found.withColumn("held", domain(F.col("norm"))).join(moved, ["kind", "held"], "left").select("kind", "norm", F.coalesce("host", F.lit(0)).alias("host"))
+    return hosts.unionByName(_settled(rest, secret).where("attempt > 0")).select("kind", "norm", "attempt")
 
 
 def _replaced(secret: str, attempt) -> Column:
     """The text with every mention replaced; attempt gives the attempt of (kind, norm)."""
-    step = F.transform(parsed(mentions(F.col("text"))), lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), _digest(secret, x.k, x.norm, attempt(x.k, x.norm)).alias("d"), domain_digest(secret, x.norm).alias("h")))
-    step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), surrogate(x.k, x.norm, x.d, x.h).alias("made")))
+    host = lambda norm: attempt(F.lit("domain"), domain(norm))
+    step = F.transform(parsed(mentions(F.col("text"))), lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), attempt(x.k, x.norm).alias("n"), host(x.norm).alias("hn")))
+    step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), x.n.alias("n"), x.hn.alias("hn"), _digest(secret, x.k, x.norm, x.n).alias("d"), _digest(secret, F.lit("domain"), domain(x.norm), x.hn).alias("h")))
+    step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), surrogate(x.k, x.norm, x.d, x.n, x.h, x.hn).alias("made")))
     made = F.transform(step, lambda x: laid_out(x.m, x.k, x.v, x.made))
     whole = F.array_join(F.zip_with(F.split("text", MENTION), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     return F.when(F.col("text").rlike(MENTION), whole).otherwise(F.col("text"))
@@ -204,7 +233,9 @@ def replaced(docs: DataFrame, secret: str = SECRET) -> DataFrame:
         return docs.withColumn("text", _replaced(secret, lambda k, n: F.lit(0)))
     # the texts that hold such an entity get the attempts of their own entities
     h, m, own_again = common.fresh(docs, "rw_h", "rw_m", "rw_again")
-    own = docs.select(F.xxhash64("text").alias(h), F.md5("text").alias(m), F.explode(parsed(mentions(F.col("text")))).alias("x")).select(h, m, F.col("x.k").alias("kind"), F.col("x.norm").alias("norm")).distinct()
+    of_text = parsed(mentions(F.col("text")))
+    named = F.concat(F.transform(of_text, lambda x: F.struct(x.k.alias("kind"), x.norm.alias("norm"))), F.transform(F.filter(of_text, lambda x: x.k == "email"), lambda x: F.struct(F.lit("domain").alias("kind"), domain(x.norm).alias("norm"))))
+    own = docs.select(F.xxhash64("text").alias(h), F.md5("text").alias(m), F.explode_outer(named).alias("x")).select(h, m, "x.kind", "x.norm").where("kind is not null").distinct()
     maps = own.join(again, ["kind", "norm"]).groupBy(h, m).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "norm"), "attempt"))).alias(own_again))
     both = docs.withColumns({h: F.xxhash64("text"), m: F.md5("text")}).join(maps, [h, m], "left")
     text = _replaced(secret, lambda k, n: F.coalesce(F.element_at(F.col(own_again), F.concat_ws("\x1f", k, n)), F.lit(0)))
