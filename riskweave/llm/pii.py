@@ -187,7 +187,7 @@ def _made(rows: DataFrame, secret: str = SECRET) -> DataFrame:
     """rows(kind, norm, attempt) with made; host, if they have it: the attempt of an address's domain."""
     k, norm, n = (F.col(c) for c in ("kind", "norm", "attempt"))
     host = F.col("host") if "host" in rows.columns else F.lit(0)
-    step = F.transform(F.array(F.struct(_digest(secret, k, norm, n).alias("d"), _digest(secret, F.lit("domain"), domain(norm), host).alias("h"))), lambda x: surrogate(k, norm, x.d, n, x.h, host))
+    step = F.transform(F.array(F.struct(_digest(secret, k, norm, n).alias("d"), F.when(k == "email", _digest(secret, F.lit("domain"), domain(norm), host)).alias("h"))), lambda x: surrogate(k, norm, x.d, n, x.h, host))
     return rows.withColumn("made", F.element_at(step, 1))
 
 
@@ -219,7 +219,7 @@ def _replaced(secret: str, attempt) -> Column:
     """The text with every mention replaced; attempt gives the attempt of (kind, norm)."""
     host = lambda norm: attempt(F.lit("domain"), domain(norm))
     step = F.transform(parsed(mentions(F.col("text"))), lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), attempt(x.k, x.norm).alias("n"), host(x.norm).alias("hn")))
-    step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), x.n.alias("n"), x.hn.alias("hn"), _digest(secret, x.k, x.norm, x.n).alias("d"), _digest(secret, F.lit("domain"), domain(x.norm), x.hn).alias("h")))
+    step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), x.norm.alias("norm"), x.n.alias("n"), x.hn.alias("hn"), _digest(secret, x.k, x.norm, x.n).alias("d"), F.when(x.k == "email", _digest(secret, F.lit("domain"), domain(x.norm), x.hn)).alias("h")))
     step = F.transform(step, lambda x: F.struct(x.m.alias("m"), x.k.alias("k"), x.v.alias("v"), surrogate(x.k, x.norm, x.d, x.n, x.h, x.hn).alias("made")))
     made = F.transform(step, lambda x: laid_out(x.m, x.k, x.v, x.made))
     whole = F.array_join(F.zip_with(F.split("text", MENTION), made, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
