@@ -87,7 +87,7 @@ R.add(
 )
 R.add(
     "schedule_rules",
-    lambda s, d: audit.scheduled_pairs(_effective(s, d).drop("raw_diff"), audit.compiled(s, catalog.rows()).where("strategy = 'regex'")).groupBy("load_order").agg(F.count("*").alias("n_diffs")),
+    lambda s, d: audit.scheduled_counts(_effective(s, d).drop("raw_diff"), audit.compiled(s, catalog.rows()).where("strategy = 'regex'")),
     f"SELECT load_order, count(*) AS n_diffs FROM effective, rules WHERE {_ELIGIBLE} GROUP BY 1", *SUMMARIES, effective_cte(), _duck_rules(),
 )
 R.add(

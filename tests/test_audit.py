@@ -196,3 +196,31 @@ def test_lines_are_made_in_linear_time(spark):
             best = min(best, time.time() - began)
         took.append(best)
     assert took[1] < 24 * took[0]
+
+
+def test_summaries_and_lines_need_no_exchange(spark):
+    """What rules see of a diff is told within its text: no window, no shuffle and no second reading of the diffs, whose making is most of the work."""
+    diffs = spark.range(3).selectExpr("id as diff_id", "concat('diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x', id, '.py\n+lock()\n-a') as raw_diff")
+    s = audit.effective(parse.summaries(diffs))
+    rules = audit.compiled(spark, catalog.rows())
+    files = audit.compiled(spark, [catalog.normalized({"id": "touch.py", "file": "*.py", "severity": "low"}, 0, "rows")])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (s, detect.side_lines(diffs), detect.side_lines(diffs, ignores=True)):
+        assert not any(x in plan(df) for x in ("Exchange", "Window", "Join")), plan(df)
+    for df in (audit.match_file(s, files), audit.scheduled_counts(s, rules)):
+        assert plan(df).count("Range (") == 1 and "SortMergeJoin" not in plan(df) and "Window" not in plan(df)
+
+
+def test_scheduled_counts_equal_pairs(spark):
+    diffs = spark.createDataFrame([(1, "--- a/x.py\n+++ b/x.py\n+a"), (2, "+++ b/core/y.go\n+++ b/z.cpp"), (3, "+++ b/docs/a.md"), (4, ""), (5, "--- /dev/null\n+++ b/w.java\n+x")], "diff_id long, raw_diff string")
+    s, rules = audit.effective(parse.summaries(diffs)), audit.compiled(spark, catalog.rows())
+    want = {(r.load_order, r["count"]) for r in audit.scheduled_pairs(s, rules).groupBy("load_order").count().collect()}
+    assert {tuple(r) for r in audit.scheduled_counts(s, rules).collect()} == want and len(want) > 50
+
+
+def test_headers_of_odd_texts(spark):
+    texts = ["+++ /dev/null\n--- a/m\n+++ /dev/null\n+++ b/p\n+++ /dev/null", "x+++ b/no\r\n+++ b/yes\x0b--- /dev/null diff --git\n--- a/q\n+++ /dev/null\n--- /dev/null", "+a\n++b\n+++c\n-d\n----\r+e", "[1]\n+++ b/x", None]
+    got = {r.diff_id: r for r in parse.summaries(spark.createDataFrame(list(enumerate(texts)), "diff_id long, raw_diff string")).collect()}
+    assert [got[k].files for k in range(5)] == [["m", "p"], ["yes", "q"], [], [], []]
+    assert [got[k].new_files for k in range(5)] == [[], ["yes", "q"], [], [], []]
+    assert (got[2].n_add, got[2].n_del) == (3, 1) and got[4].n_add == 0
