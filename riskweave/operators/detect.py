@@ -31,17 +31,35 @@ IGNORE = "riskweave-ignore"
 TOKEN = "\"[^\"\\\\]*(?:\\\\.[^\"\\\\]*)*\"|'[^'\\\\]*(?:\\\\.[^'\\\\]*)*'|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|\\+\\+|--|[+*/%&|^!=<>-]=|&&|\\|\\||->|::|[^\\sA-Za-z0-9_$]"
 
 
-def side_lines(diffs: DataFrame) -> DataFrame:
-    """(diff_id, grp, file, side, n, text): added and removed lines of analyzable patches, numbered within their side."""
-    rows = parse.patch_lines(diffs).where(F.lower(F.regexp_extract("file", "(\\.[^./]*)$", 1)).isin(*ANALYZABLE))
-    side = F.when(F.col("line").startswith("+") & ~F.col("line").startswith("+++"), "added").when(F.col("line").startswith("-") & ~F.col("line").startswith("---"), "removed")
-    w = Window.partitionBy("diff_id", "grp", "side").orderBy("pos")
-    return rows.withColumn("side", side).where("side is not null").select("diff_id", "grp", "file", "side", F.row_number().over(w).alias("n"), F.trim(F.substr("line", F.lit(2))).alias("text"), "pos")
+def side_lines(diffs: DataFrame, ignores: bool = False) -> DataFrame:
+    """(diff_id, grp, file, side, n, text): added and removed lines of analyzable patches, numbered within their side; with the ignores of inline_ignores if asked for.
+
+    One projection and one explode: a side is an array, numbers are places in it, and a line's neighbour is the element before."""
+    patches = F.filter("patches", lambda g: F.lower(F.regexp_extract(g["file"], "(\\.[^./]*)$", 1)).isin(*ANALYZABLE))
+
+    def side(name: str, sign: str, lines: Column) -> Column:
+        mine = F.filter(lines, lambda x: x.startswith(sign) & ~x.startswith(sign * 3))
+        rows = F.transform(mine, lambda x, i: F.struct(F.lit(name).alias("side"), (i + 1).alias("n"), F.trim(F.substr(x, F.lit(2))).alias("text")))
+        if not ignores:
+            return rows
+        own = lambda x: F.when(x["text"].contains(IGNORE), _ignored(x["text"]))
+        both = F.transform(F.array(rows), lambda xs: F.transform(xs, lambda x, i: F.struct(x["side"].alias("side"), x["n"].alias("n"), x["text"].alias("text"), F.array_compact(F.array(own(x), own(F.get(xs, i - 1)))).alias("ignores"))))
+        return F.get(both, F.lit(0))
+
+    names = ["side", "n", "text", *["ignores"] * ignores]
+    of = lambda g: F.transform(F.concat(side("added", "+", g["lines"]), side("removed", "-", g["lines"])), lambda x: F.struct(g["grp"].alias("grp"), g["file"].alias("file"), *[x[c].alias(c) for c in names]))
+    # an inner explode would have the array made twice, once to see whether it is empty
+    rows = parse.patch_arrays(diffs).select("diff_id", F.explode_outer(F.flatten(F.transform(patches, of))).alias("x"))
+    return rows.where("x is not null").select("diff_id", *[f"x.{c}" for c in ["grp", "file", *names]])
+
+
+def _ignored(text: Column) -> Column:
+    return F.nullif(F.regexp_extract(text, f"//\\s*{IGNORE}:\\s*([\\w.*-]+)", 1), F.lit(""))
 
 
 def inline_ignores(lines: DataFrame) -> DataFrame:
     """lines with ignores: the ids that a comment on the same or the previous line of the side names."""
-    own = F.nullif(F.regexp_extract("text", f"//\\s*{IGNORE}:\\s*([\\w.*-]+)", 1), F.lit(""))
+    own = _ignored(F.col("text"))
     w = Window.partitionBy("diff_id", "grp", "side").orderBy("n")
     return lines.withColumn("own", own).withColumn("ignores", F.array_compact(F.array("own", F.lag("own").over(w)))).drop("own")
 
@@ -157,7 +175,7 @@ def loop_removes(lines: DataFrame) -> DataFrame:
 def changes(diffs: DataFrame) -> DataFrame:
     """Distinct (diff_id, seq, file, kind, symbol, meta, ignores); seq, a struct, orders them as they were found."""
     # several branches read the lines and two what is found in them, so each is made once
-    every_line = tables.written(inline_ignores(side_lines(diffs)), "side-lines")
+    every_line = tables.written(side_lines(diffs, ignores=True), "side-lines")
     lines = every_line.where("text <> ''")
     made = token_changes(*[F.col(c) for c in ("side", "text", "t", "g2", "g3")])
     split = tokenised(lines.where(F.col("text").rlike(HINTS)))
