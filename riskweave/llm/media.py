@@ -6,7 +6,8 @@ full-resolution RGB tensor.
 
 `pack` stores bytes losslessly in such a file, in the format's unit, the quantised coefficient: 64 bytes are the
 coefficients of one 8x8 block in zigzag order, the first byte as DC, the others plus 256 as AC, so that all AC coefficients
-have one magnitude category. The file has a DC scan of the bits above the eighth, eight DC refinements of a bit each, an AC
+have one magnitude category. The file is in colour, with chroma of half the width and height of luma, so that its tensor
+takes chroma upsampling. It has an interleaved DC scan of the bits above the eighth, eight DC refinements of a bit each, and for each component an AC
 scan without the lowest bit and an AC refinement. Scans whose code table has a single one-bit code have fixed places for
 all bits, which numpy packs and unpacks without a loop; other scans are decoded coefficient by coefficient. The length
 of the payload is in an application segment.
@@ -16,6 +17,7 @@ rows are treated alike; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -59,10 +61,10 @@ def _segment(marker: int, body: bytes) -> bytes:
     return struct.pack(">BBH", 0xFF, marker, len(body) + 2) + body
 
 
-def _scan(component: int, ss: int, se: int, ah: int, al: int, bits: np.ndarray) -> bytes:
-    pad = -len(bits) % 8
-    data = np.packbits(np.r_[bits, np.ones(pad, np.uint8)]).tobytes().replace(b"\xff", b"\xff\x00")
-    return _segment(0xDA, bytes([1, component, 0x00, ss, se, ah << 4 | al])) + data
+def _scan(components: tuple[int, ...], ss: int, se: int, ah: int, al: int, bits: np.ndarray) -> bytes:
+    data = np.packbits(bits)
+    data[-1] |= (1 << -len(bits) % 8) - 1  # ones up to a whole byte
+    return _segment(0xDA, bytes([len(components), *[x for c in components for x in (c, 0)], ss, se, ah << 4 | al])) + data.tobytes().replace(b"\xff", b"\xff\x00")
 
 
 def _one_code(table: int, symbol: int) -> bytes:
@@ -71,24 +73,36 @@ def _one_code(table: int, symbol: int) -> bytes:
 
 
 def pack(payload: bytes) -> bytes:
-    """A progressive JPEG whose coefficients hold the payload, a positive multiple of 64 bytes."""
+    """A progressive JPEG in colour whose coefficients hold the payload, a positive multiple of 64 bytes.
+
+    Of the blocks two thirds are luma; the rest are two chroma components of half its width and height."""
     n = len(payload) // 64
-    wide = int(np.ceil(np.sqrt(n)))
-    high = -(-n // wide)
-    blocks = np.zeros((wide * high, 64), np.uint8)
+    units = -(-n // 6)
+    wide = int(np.ceil(np.sqrt(units)))
+    high = -(-units // wide)
+    blocks = np.zeros((wide * high * 6, 64), np.uint8)
     blocks[:n] = np.frombuffer(payload, np.uint8).reshape(n, 64)
-    count = len(blocks)
     out = [b"\xff\xd8", _segment(0xEB, MARK + struct.pack(">Q", len(payload))), _segment(0xDB, bytes([0, *[1] * 64]))]
-    out.append(_segment(0xC2, struct.pack(">BHHB", 8, high * 8, wide * 8, 1) + bytes([1, 0x11, 0])))
-    dc = blocks[:, 0]
-    out += [_one_code(0x00, 0), _scan(1, 0, 0, 0, 8, np.zeros(count, np.uint8))]
-    for bit in range(7, -1, -1):
-        out.append(_scan(1, 0, 0, bit + 1, bit, dc >> bit & 1))
+    out.append(_segment(0xC2, struct.pack(">BHHB", 8, high * 16, wide * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
+    # DC scans are interleaved: the four luma blocks of a unit, then one of each chroma
+    count = wide * high
+    luma = np.arange(4 * count).reshape(high, 2, wide, 2).transpose(0, 2, 1, 3).reshape(count, 4)
+    dc = blocks[np.c_[luma, 4 * count + np.arange(count), 5 * count + np.arange(count)].reshape(-1), 0]
+    out += [_one_code(0x00, 0), _scan((1, 2, 3), 0, 0, 0, 8, np.zeros(len(dc), np.uint8))]
+    out += [_scan((1, 2, 3), 0, 0, bit + 1, bit, dc >> bit & 1) for bit in range(7, -1, -1)]
+    for key, own in enumerate(np.split(blocks, [wide * high * 4, wide * high * 5]), 1):
+        out += _component_scans(key, own)
+    return b"".join([*out, b"\xff\xd9"])
+
+
+def _component_scans(key: int, blocks: np.ndarray) -> list[bytes]:
+    """The AC scans of a component's blocks, with their code tables."""
+    count = len(blocks)
     # AC values are 256 to 511; without the lowest bit they have 8 bits, the first of which is set
     ac = np.zeros((count, 63, 9), np.uint8)
     ac[:, :, 1] = 1
     ac[:, :, 2:] = np.unpackbits(blocks[:, 1:, None], axis=2)[:, :, :7]
-    out += [_one_code(0x10, 0x08), _scan(1, 1, 63, 0, 1, ac.reshape(-1))]
+    out = [_one_code(0x10, 0x08), _scan((key,), 1, 63, 0, 1, ac.reshape(-1))]
     # one run covers up to 16384 blocks: symbol E0 says 2**14 plus a number of 14 bits, then come the blocks' refining bits
     low = blocks[:, 1:] & 1
     runs, left, at = [], count, 0
@@ -107,8 +121,7 @@ def pack(payload: bytes) -> bytes:
         code = names.index(size)
         head = [code >> 1 & 1, code & 1, *[(now - (1 << size)) >> i & 1 for i in range(size - 1, -1, -1)]]
         bits += [np.array(head, np.uint8), low[at : at + now].reshape(-1)]
-    out += [_scan(1, 1, 63, 1, 0, np.concatenate(bits)), b"\xff\xd9"]
-    return b"".join(out)
+    return [*out, _scan((key,), 1, 63, 1, 0, np.concatenate(bits))]
 
 
 class Bits:
@@ -224,13 +237,30 @@ def _places(img: Image, picks: list[tuple[Component, int]]) -> list[list[tuple[i
     return [[(k, (my * c.v + y) * c.wide + mx * c.h + x) for k, (c, _) in enumerate(picks) for y in range(c.v) for x in range(c.h)] for my in range(mcuy) for mx in range(mcux)]
 
 
+@functools.lru_cache(maxsize=3)
+def _order(high: int, wide: int, v: int, h: int) -> np.ndarray:
+    """A component's blocks in interleaved order, v times h a unit."""
+    return np.arange(high * wide).reshape(high // v, v, wide // h, h).transpose(0, 2, 1, 3).reshape(-1)
+
+
 def _decode(img: Image, picks: list, ss: int, se: int, ah: int, al: int, codes: dict, restart: int, stretches: list[bytes]) -> None:
-    """One scan. Scans of a single full component without restarts and with fixed places for bits go through numpy."""
+    """One scan. Scans of a single component, all of whose blocks have samples, without restarts and with fixed places for bits go through numpy."""
     c, tab = picks[0]
-    full = len(picks) == 1 and len(img.components) == 1 and not restart and len(stretches) == 1
+    whole = img.width % (8 * max(x.h for x in img.components)) == 0 and img.height % (8 * max(x.v for x in img.components)) == 0
+    full = len(picks) == 1 and (whole or len(img.components) == 1) and not restart and len(stretches) == 1
     dc, ac = codes.get(tab >> 4, {}), codes.get(0x10 | tab & 15, {})
     if full and _fixed(c.coef, ss, se, ah, al, dc if ss == 0 else ac, stretches[0]):
         return
+    if len(picks) > 1 and ss == 0 and not restart and len(stretches) == 1 and (ah or all(codes.get(x >> 4) == {(1, 0): 0} for _, x in picks)):
+        # one bit a block, or only differences of zero: bits have fixed places in the interleaved order
+        hm, vm = max(x.h for x in img.components), max(x.v for x in img.components)
+        if ah:
+            units = -(-img.width // (8 * hm)) * -(-img.height // (8 * vm))
+            bits, at = Bits(stretches[0]).bits[: units * sum(x.v * x.h for x, _ in picks)].reshape(units, -1), 0
+            for x, _ in picks:
+                x.coef[_order(x.high, x.wide, x.v, x.h), 0] |= bits[:, at : at + x.v * x.h].reshape(-1).astype(np.int32) << al
+                at += x.v * x.h
+        return
     units = _places(img, picks)
     step = restart or len(units)
     for k, data in enumerate(stretches):
@@ -338,9 +368,8 @@ def _fixed(coef: np.ndarray, ss: int, se: int, ah: int, al: int, codes: dict, da
 
 def payload(img: Image) -> bytes:
     """The bytes that `pack` stored."""
-    coef = img.components[0].coef
-    out = (coef & 0xFF).astype(np.uint8)  # AC values are 256 more
-    return out.tobytes()[: img.payload]
+    # AC values are 256 more
+    return b"".join((c.coef & 0xFF).astype(np.uint8).tobytes() for c in img.components)[: img.payload]
 
 
 _COS = np.array([[np.cos((2 * x + 1) * u * np.pi / 16) * (np.sqrt(0.125) if u == 0 else 0.5) for u in range(8)] for x in range(8)], np.float32)
@@ -362,15 +391,18 @@ def samples(c: Component, table: np.ndarray) -> np.ndarray:
 def rgb(img: Image) -> np.ndarray:
     """The full-resolution (height, width, 3) tensor; chroma is repeated to the size of luma."""
     hm, vm = max(c.h for c in img.components), max(c.v for c in img.components)
-    planes = []
-    for c in img.components:
-        p = samples(c, img.tables[c.table])
-        planes.append(p.repeat(vm // c.v, axis=0).repeat(hm // c.h, axis=1)[: img.height, : img.width])
+    planes = [samples(c, img.tables[c.table]) for c in img.components]
     if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, axis=2)
-    y, cb, cr = (p.astype(np.float32) for p in planes[:3])
-    out = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        return np.repeat(planes[0][: img.height, : img.width, None], 3, axis=2)
+    scale = [(vm // c.v, hm // c.h) for c in img.components]
+    rgb = np.empty((img.height, img.width, 3), np.uint8)
+    step = vm * max(1, (1 << 20) // (vm * img.width))  # rows at a time, so that floats take little memory
+    for top in range(0, img.height, step):
+        end = min(img.height, top + step)
+        y, cb, cr = (p[top // v : -(-end // v)].repeat(v, axis=0).repeat(h, axis=1)[: end - top, : img.width].astype(np.float32) for p, (v, h) in zip(planes[:3], scale[:3], strict=True))
+        out = np.stack([y + 1.402 * (cr - 128), y - 0.344136 * (cb - 128) - 0.714136 * (cr - 128), y + 1.772 * (cb - 128)], axis=2)
+        rgb[top:end] = np.clip(np.rint(out), 0, 255)
+    return rgb
 
 
 def padded(raw: bytes) -> bytes:

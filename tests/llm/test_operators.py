@@ -387,6 +387,20 @@ def test_media(docs, none):
     assert len(t.rgb) == t.width * t.height * 3
 
 
+def test_media_is_stored_in_colour():
+    """Files of the query have three components, chroma of half the size, whose upsampling and conversion their tensors need."""
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 6, 7, 24, 25, 700):
+        raw = rng.integers(0, 256, 64 * n).astype(np.uint8).tobytes()
+        img = media.read(media.pack(raw))
+        assert [(c.h, c.v) for c in img.components] == [(2, 2), (1, 1), (1, 1)] and media.payload(img) == raw
+        y, cb, cr = (media.samples(c, img.tables[c.table]).astype(np.float32) for c in img.components)
+        cb, cr = (np.kron(x, np.ones((2, 2), np.float32)) - 128 for x in (cb, cr))
+        want = np.clip(np.rint(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)), 0, 255)
+        assert (media.rgb(img) == want).all() and media.rgb(img).shape == (img.height, img.width, 3)
+    assert any((media.rgb(img)[:, :, 0] != media.rgb(img)[:, :, 1]).ravel())
+
+
 class Writer:
     def __init__(self):
         self.bits = []
