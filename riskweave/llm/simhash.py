@@ -11,7 +11,9 @@ entry joins several bytes:
   at least; that leaves d bytes free, which bounds a list by 256**d distinct fingerprints.
 * similarity mode: wide fingerprints under `PAIRS` pairs of bytes find candidates for a Jaccard similarity, which is
   then verified on the documents' whole sets of shingle hashes. Bits that may differ outnumber the bytes there, so the
-  tally has no guaranteed minimum beyond the pair of the index.
+  tally has no guaranteed minimum beyond the pair of the index. Rows move once for all pairs of bytes that have one byte in
+  common (`pivots`), as a group from which the lists are made where they are compared; only large groups and those with a
+  long list move once a pair.
 
 A pair is taken in the first list that it shares only, and a list gives a spanning forest of its pairs, so rows that
 are found stay in proportion to fingerprints however dense a group is.
@@ -24,12 +26,13 @@ repeated rows and equal texts fall into one group; an empty table gives an empty
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.llm import common
@@ -44,6 +47,8 @@ PROBE = 16
 BROADCAST = 50_000
 #: Nodes with a candidate, at most, whose ids (8 bytes each) are broadcast to pick their texts; more are joined by key.
 PICKED = 4_000_000
+#: Rows that agree in one positional byte, at most, that move as one group for all lists with that byte.
+GROUPED = 1 << 18
 #: Rows of a group of candidates that are compared in one block, at least.
 GROUP = 256
 #: Pairs of positional bytes that index a 256-bit fingerprint in similarity mode.
@@ -166,20 +171,54 @@ def byte_sets(n_bytes: int, max_distance: int | None) -> list[tuple[int, ...]]:
     return out
 
 
-def indexed(fps: DataFrame, sets: list[tuple[int, ...]], some: range) -> DataFrame:
-    """The inverted index of fps(id, fp, ...): a row (key, s, ...) for each set s of positional bytes of `some`."""
-    entry = [F.struct(F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in sets[i]])).alias("key"), F.lit(i).cast("short").alias("s")) for i in some]
-    return fps.select(F.explode(F.array(*entry)).alias("e"), *fps.columns).select("e.key", "e.s", *fps.columns)
+def pivots(sets: list[tuple[int, ...]], some: range) -> dict[int, list[int]]:
+    """The sets of `some`, each under one of its positions; few positions in all."""
+    left, out = list(some), {}
+    while left:
+        count = Counter(p for i in left for p in sets[i])
+        best = max(count, key=lambda p: (count[p], -p))
+        out[best] = [i for i in left if best in sets[i]]
+        left = [i for i in left if best not in sets[i]]
+    return out
+
+
+def _group(p: int) -> Column:
+    return F.xxhash64(F.lit(p), F.substring("fp", p + 1, 1))
+
+
+def grouped(fps: DataFrame, pivot: dict[int, list[int]]) -> DataFrame:
+    """A row (g, p, ...) of fps(id, fp, ...) for each pivot p; g names p and the byte there."""
+    entry = [F.struct(_group(p).alias("g"), F.lit(p).cast("short").alias("p")) for p in pivot]
+    return fps.select(F.explode(F.array(*entry)).alias("e"), *fps.columns).select("e.g", "e.p", *fps.columns)
+
+
+def probed(fps: DataFrame) -> DataFrame:
+    return fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0)
 
 
-def with_long_lists(fps: DataFrame, sets: list[tuple[int, ...]], some: range) -> tuple[DataFrame, bool]:
-    """The index with parts, the number of blocks of a list over BLOCK rows and null for others, and whether there is such a list.
+def wide_groups(fps: DataFrame, sets: list[tuple[int, ...]], pivot: dict[int, list[int]]) -> DataFrame:
+    """(g): the groups of over GROUPED rows or with a list of over BLOCK rows, as estimated from one fingerprint in PROBE. A pivot has 256 groups at most."""
+    long = indexed(probed(fps), sets, pivot).groupBy("g", "key").agg((F.count("*") * PROBE).alias("n")).where(F.col("n") > BLOCK).select("g")
+    large = grouped(probed(fps), pivot).groupBy("g").agg((F.count("*") * PROBE).alias("n")).where(F.col("n") > GROUPED).select("g")
+    return common.written(long.unionByName(large).distinct(), "wide-groups")
+
+
+def indexed(fps: DataFrame, sets: list[tuple[int, ...]], some: range | dict[int, list[int]]) -> DataFrame:
+    """The inverted index of fps(id, fp, ...): a row (key, s, ...) for each set s of positional bytes of `some`; of pivots also g, the group."""
+    at = [(i, {"g": _group(p)}) for p, x in some.items() for i in x] if isinstance(some, dict) else [(i, {}) for i in some]
+    entry = [F.struct(F.xxhash64(F.lit(i), F.concat(*[F.substring("fp", p + 1, 1) for p in sets[i]])).alias("key"), F.lit(i).cast("short").alias("s"), *[v.alias(k) for k, v in more.items()]) for i, more in at]
+    return fps.select(F.explode(F.array(*entry)).alias("e"), *fps.columns).select("e.*", *fps.columns)
+
+
+def with_long_lists(fps: DataFrame, sets: list[tuple[int, ...]], some: range | dict[int, list[int]], wide: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """The index, of the groups `wide` only if given, with parts, the number of blocks of a list over BLOCK rows and null for others, and whether there is such a list.
 
     Which lists are that long is estimated from one fingerprint in PROBE; the estimate decides how work is dealt out, never
     what is compared. Blocks grow with the root of a list, so that the copies of its rows are in proportion to the power 1.5."""
-    probe = indexed(fps.where(F.pmod(F.xxhash64("id", F.lit("probe")), F.lit(PROBE)) == 0), sets, some).groupBy("key").agg((F.count("*") * PROBE).alias("n"))
+    lists = lambda rows: indexed(rows, sets, some) if wide is None else indexed(rows, sets, some).join(F.broadcast(wide), "g", "left_semi").drop("g")
+    probe = lists(probed(fps)).groupBy("key").agg((F.count("*") * PROBE).alias("n"))
     hot = common.written(probe.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), F.sqrt("n") * 64)).cast("int").alias("parts")), "long-lists")
-    index = indexed(fps, sets, some)
+    index = lists(fps)
     if not (n_hot := hot.count()):
         return index.withColumn("parts", F.lit(None).cast("int")), False
     return index.join(F.broadcast(hot) if n_hot <= BROADCAST else hot, "key", "left"), True
@@ -214,13 +253,22 @@ def similar_candidates(fps: DataFrame, sets: list[tuple[int, ...]], most: int) -
         if not some:
             break
         rows = fps.select("id", "fp", F.col("id").alias("label")) if not found else common.written(labelled(), "labelled")
-        index, split = with_long_lists(rows, sets, some)
+        pivot = pivots(sets, some)
+        wide, groups = wide_groups(rows, sets, pivot), grouped(rows, pivot)
+        some_wide = not wide.isEmpty()
+        if some_wide:
+            groups = groups.join(F.broadcast(wide), "g", "left_anti")
+        moved = groups.select(F.col("g").alias("key"), F.col("p").alias("s"), F.lit(-1).cast("short").alias("r"), "id", "fp", "label")
+        found.append(common.written(pairs(moved, sets, most, 2, False, pivot), "groups"))
+        if not some_wide:
+            continue
+        index, split = with_long_lists(rows, sets, pivot, wide)
         part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
         own = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part, part))
         found.append(common.written(pairs(index.select(own.alias("key"), "s", F.lit(-1).cast("short").alias("r"), "id", "fp", "label"), sets, most, 2, False), "own-blocks"))
         if split:
             # blocks of one list meet, r being the side
-            index, _ = with_long_lists(common.written(labelled(), "labelled"), sets, some)
+            index, _ = with_long_lists(common.written(labelled(), "labelled"), sets, pivot, wide)
             rows = index.where("parts is not null").withColumn("p", part).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("o <> p")
             meet = rows.select(F.xxhash64("key", F.least("p", "o"), F.greatest("p", "o")).alias("key"), "s", (F.col("p") > F.col("o")).cast("short").alias("r"), "id", "fp", "label")
             found.append(common.written(pairs(meet, sets, most, 2, False), "met-blocks"))
@@ -293,17 +341,24 @@ def near(ids: np.ndarray, fps: np.ndarray, most: int) -> Iterator[tuple[np.ndarr
         yield i[ok] + at, j[ok] + at, d[i[ok], j[ok]].astype(np.int64)
 
 
-def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int, deep: bool) -> DataFrame:
+def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes: int, deep: bool, pivot: dict[int, list[int]] | None = None) -> DataFrame:
     """(a, b, d) of rows (key, s, r, id, fp, label): of each list, which is a key, a minimum spanning forest of its pairs of
     different labels at `most` differing bits or fewer whose tally of shared positional bytes is at least min_bytes.
 
     A pair counts in the first set s that it shares only. r is -1, or if deep a further positional byte of the list's, and a
-    pair counts in the first of these it shares only, or else a side, and pairs of different sides count.
+    pair counts in the first of these it shares only, or else a side, and pairs of different sides count. With pivots a key
+    is a group and s its pivot; the lists of a group are made here, one for each set under the pivot and byte beside it.
 
     Any threshold on the differing bits up to `most` connects the same rows by the forest as by all pairs. That holds for
     bits only: links by another measure are sought among all the rows that the forests connect (`within`)."""
     spots = np.array(sets)
     rest = np.array([[p for p in range(spots.max() + 1) if p not in x] for x in sets]) if deep else None
+    # by pivot, its sets and the other byte of each
+    under = np.full((spots.max() + 1, max(map(len, pivot.values()))), -1) if pivot else None
+    beside = np.zeros_like(under) if pivot else None
+    for p, at in (pivot or {}).items():
+        under[p, : len(at)] = at
+        beside[p, : len(at)] = [sum(sets[i]) - p for i in at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
@@ -360,6 +415,20 @@ def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes:
             u, v, d = ids[u[keep]], ids[v[keep]], d[keep]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v), pa.int64()), pa.array(np.maximum(u, v), pa.int64()), pa.array(d, pa.int32())], ["a", "b", "d"])
 
+        def lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not pivot:
+                yield some(cols)
+                return
+            key, p, r, ids, fps, label = cols
+            group = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            for of, other in zip(under.T, beside.T, strict=True):
+                at = np.flatnonzero(of[p] >= 0)
+                if len(at):
+                    own = group[at] * 256 + fps.view(np.uint8)[at, other[p[at]]]
+                    order = np.argsort(own, kind="stable")
+                    at = at[order]
+                    yield some([own[order], of[p[at]], r[at], ids[at], fps[at], label[at]])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -372,9 +441,9 @@ def pairs(blocks: DataFrame, sets: list[tuple[int, ...]], most: int, min_bytes:
             last = int(other[-1]) + 1 if len(other) else 0
             held = [x[last:] for x in cols]
             if last:
-                yield some([x[:last] for x in cols])
+                yield from lists([x[:last] for x in cols])
         if held is not None:
-            yield some(held)
+            yield from lists(held)
 
     return blocks.select("key", "s", "r", "id", "fp", "label").repartition("key").sortWithinPartitions("key", "id").mapInArrow(common.lean(run), "a long, b long, d int")
 
@@ -401,6 +470,11 @@ def jaccard(a, b, na: int, nb: int) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def picked(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of these ids where they are read, while the ids can be broadcast, so that a join moves no other sets; else all."""
+    return nodes.join(F.broadcast(ids), "id", "left_semi") if ids.count() <= PICKED else nodes
+
+
 def verified(edges: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The (a, b) of edges whose sets of shingles have a Jaccard similarity of at least `least`."""
     left = nodes.select(F.col("id").alias("a"), F.col("hashes").alias("sa"), F.col("n_shingles").alias("na"))
@@ -453,7 +527,8 @@ def within(edges: DataFrame, sure: DataFrame, nodes: DataFrame, least: float, mo
     size = F.greatest(F.lit(GROUP), F.sqrt("n") * 16)
     left = member.groupBy("grp").agg(F.count("*").alias("n"), F.min("part").alias("x"), F.max("part").alias("y")).where("x < y").select("grp", F.ceil(F.col("n") / size).cast("int").alias("parts"))
     rows = member.join(left, "grp").withColumn("s", F.pmod(F.xxhash64("id", F.lit("side")), F.col("parts")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select(F.xxhash64("grp", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "s", "id", "part").join(nodes, "id")
+    needed = common.written(member.join(left, "grp", "left_semi").select("id"), "apart-members")
+    rows = rows.select(F.xxhash64("grp", F.least("s", "o"), F.greatest("s", "o")).alias("key"), "s", "id", "part").join(picked(nodes, needed), "id")
     # sides are told apart only where two meet
     dealt = rows.select("key", "id", "part", "s", "fp", "n_shingles", "hashes").repartition("key").sortWithinPartitions("key", "id")
 
@@ -506,7 +581,9 @@ def similar_components(docs: DataFrame, k: int = 5, similarity: float = 0.8) ->
     first = common.written(common.components(sure, "near"), "near")
     ra, rb = first.select(F.col("node").alias("a"), F.col("root").alias("ra")), first.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = edges.join(nearest, ["a", "b"], "left_anti").join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    sure = common.written(sure.unionByName(verified(apart, linked, similarity)), "sure")
+    apart = common.written(apart.select("a", "b"), "apart")
+    ends = apart.select(F.col("a").alias("id")).unionByName(apart.select(F.col("b").alias("id"))).distinct()
+    sure = common.written(sure.unionByName(verified(apart, picked(linked, ends), similarity)), "sure")
     roots = common.components(sure.unionByName(within(edges, sure, linked, similarity, most)), "similar")
     named = nodes.join(roots, nodes["id"] == roots["node"], "left").select("digest", F.coalesce("root", "id").alias("component_id"))
     return rows.select("doc_id", "digest").join(named, "digest", "left")
@@ -517,8 +594,9 @@ def dedup(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
 
     Rows with a null doc_id are kept, as nothing names them; of rows that repeat a doc_id one is kept."""
     found = common.written(similar_components(docs, k, similarity).select("doc_id", "component_id"), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
+    gone = common.written(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # ids rather than whole texts move, while they can be broadcast
+    left = docs.join(F.broadcast(gone) if gone.count() <= PICKED else gone, "doc_id", "left_anti")
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         left = left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))

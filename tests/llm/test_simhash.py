@@ -74,3 +74,48 @@ def test_candidates_of_a_dense_group(spark, monkeypatch, block):
     assert len(i) > 10_000
     assert (found(edges, 1500) == roots(1500, np.stack([i, j], axis=1))).all()
     assert edges.count() < 4 * 1500
+
+
+@pytest.mark.parametrize(("block", "most_grouped"), [(4096, 1 << 18), (4096, 150), (90, 1 << 18)])
+def test_groups_of_a_byte(spark, monkeypatch, block, most_grouped):
+    """Rows move once a byte that pairs have in common, and what is found is the same whether none, some or all groups go list by list."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "GROUPED", most_grouped)
+    monkeypatch.setattr(simhash, "PROBE", 1)
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 2**63, (1, 4), dtype=np.uint64) ^ np.packbits(rng.random((300, 256)) < 0.04, axis=1).view("<u8")
+    base = rng.integers(0, 2**63, (500, 4), dtype=np.uint64)
+    fps = np.concatenate([dense, base, base[:200] ^ np.packbits(rng.random((200, 256)) < 0.1, axis=1).view("<u8")])
+    sets = simhash.byte_sets(32, None)
+    moved = []
+    pairs = simhash.pairs
+    monkeypatch.setattr(simhash, "pairs", lambda blocks, *x: moved.append(blocks.count()) or pairs(blocks, *x))
+    edges = simhash.similar_candidates(nodes(spark, fps), sets, 40)
+    diff = fps[:, None, :] ^ fps[None, :, :]
+    same = diff.view(np.uint8).reshape(len(fps), len(fps), 32) == 0
+    share = np.zeros((len(fps), len(fps)), bool)
+    for p, q in sets:
+        share |= same[:, :, p] & same[:, :, q]
+    i, j = np.nonzero(np.triu(share & (np.bitwise_count(diff).sum(axis=2) <= 40), 1))
+    assert (found(edges, len(fps)) == roots(len(fps), np.stack([i, j], axis=1))).all() and len(i) > 10_000
+    if block == 4096 and most_grouped > len(fps):
+        assert sum(moved) < len(sets) * len(fps) / 3
+    for some in (range(8), range(8, 96)):
+        at = simhash.pivots(sets, some)
+        assert sorted(i for x in at.values() for i in x) == list(some) and all(p in sets[i] for p, x in at.items() for i in x)
+
+
+def test_texts_do_not_move(spark, docs, monkeypatch):
+    """Copies are left out where texts are read, also if Spark by itself would join them by key."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plain = docs.dropDuplicates(["doc_id"])
+        left = simhash.dedup(common.written(plain, "docs"))
+        assert "Exchange hashpartitioning" not in left._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in left.where("doc_id is not null").collect())
+        monkeypatch.setattr(simhash, "PICKED", 0)
+        assert got == sorted(r.doc_id for r in simhash.dedup(common.written(plain, "docs")).where("doc_id is not null").collect())
+        assert 1 in got and 2 not in got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
